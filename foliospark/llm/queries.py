@@ -6,7 +6,9 @@ import importlib
 
 #: module and function of each query
 _PLACES = {
+    "op2_media_columns": "media",
     "op3_simhash_near_dedup": "simhash",
+    "op4_mix_sources": "mixing",
 }
 
 
