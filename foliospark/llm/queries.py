@@ -9,6 +9,7 @@ _PLACES = {
     "op2_media_columns": "media",
     "op3_simhash_near_dedup": "simhash",
     "op4_mix_sources": "mixing",
+    "op5_compression_language": "langid",
 }
 
 
