@@ -6,6 +6,7 @@ import importlib
 
 #: module and function of each query
 _PLACES = {
+    "op1_warc_revisits": "warc",
     "op2_media_columns": "media",
     "op3_simhash_near_dedup": "simhash",
     "op4_mix_sources": "mixing",
