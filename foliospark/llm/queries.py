@@ -11,6 +11,7 @@ _PLACES = {
     "op3_simhash_near_dedup": "simhash",
     "op4_mix_sources": "mixing",
     "op5_compression_language": "langid",
+    "op9_toxicity": "toxicity",
 }
 
 
