@@ -12,6 +12,7 @@ _PLACES = {
     "op4_mix_sources": "mixing",
     "op5_compression_language": "langid",
     "op9_toxicity": "toxicity",
+    "op10_sentencepiece": "pieces",
 }
 
 
