@@ -11,6 +11,7 @@ _PLACES = {
     "op3_simhash_near_dedup": "simhash",
     "op4_mix_sources": "mixing",
     "op5_compression_language": "langid",
+    "op6_secret_scan": "secret_scan",
     "op8_exact_topk": "topk",
     "op9_toxicity": "toxicity",
     "op10_sentencepiece": "pieces",
