@@ -12,6 +12,7 @@ _PLACES = {
     "op4_mix_sources": "mixing",
     "op5_compression_language": "langid",
     "op6_secret_scan": "secret_scan",
+    "op7_license_scan": "licenses",
     "op8_exact_topk": "topk",
     "op9_toxicity": "toxicity",
     "op10_sentencepiece": "pieces",
