@@ -12,11 +12,12 @@ library gives.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Where the public model lies by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of distinct words that a task keeps at most; beyond that it starts anew.
-CACHE_CHARS = 12_000_000
+#: Characters of distinct words, and pairs of pieces, that a task keeps at most; beyond that it starts anew.
+CACHE_CHARS, FOLLOWERS = 4_000_000, 300_000
 
 _ANY = 1 << 30  # the piece of a character that the model doesn't have
 
@@ -44,7 +45,7 @@ class PieceModel:
     squeeze: bool
     rank: dict[str, int] = field(default_factory=dict)
     split: dict[str, tuple[str, str] | None] = field(default_factory=dict)
-    lengths: dict[str, list[int]] = field(default_factory=dict)  # of pieces that end with up to three characters
+    lengths: dict[str, list[int]] = field(default_factory=dict)  # of pieces that end with up to four characters
 
 
 def load_model(path: str = MODEL) -> PieceModel:
@@ -80,7 +81,7 @@ def model_of(proto) -> PieceModel:
         _merges(model)
     by_end: dict[str, set] = {}
     for p in model.rank or ids:
-        by_end.setdefault(p[-3:], set()).add(len(p))
+        by_end.setdefault(p[-4:], set()).add(len(p))
     model.lengths = {end: sorted(n, reverse=True) for end, n in by_end.items()}
     return model
 
@@ -151,70 +152,91 @@ class SharedForward:
     """Encodes sorted words, keeping the forward table of the common prefix."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model, self.word = model, ""
-        self.last: list[str] = [""]  # piece that ends each prefix
-        self.best: list[float] = [0.0]  # score of each prefix (unigram)
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.ends: dict[str, list[int]] = {}
-        self.nodes = 0
+        self.model = model
+        self.follows: dict[str, dict[str, bool]] = {}  # for each piece, which pieces may follow it
+        self.n_follows = 0
+        self.ends: dict[str, tuple[int, ...]] = {}
         self.worst = min(model.score.values(), default=0.0) - 10.0
 
-    def pieces(self, word: str) -> list[str]:
-        shared, most = 0, min(len(word), len(self.word))
-        if word[:most] == self.word[:most]:
-            shared = most
-        else:
-            while word[shared] == self.word[shared]:
-                shared += 1
-        del self.last[shared + 1 :], self.best[shared + 1 :]
-        (self._merge if self.model.kind == "bpe" else self._score)(word, shared)
-        self.nodes += len(word) - shared
-        self.word = word
-        found, end = [], len(word)
-        while end:
-            found.append(self.last[end])
-            end -= len(found[-1])
-        return found[::-1]
-
-    def _ends(self, word: str, end: int) -> list[int]:
-        """Lengths, from long to short, of pieces that may end here; 1 always comes, as it also stands for unknown characters."""
-        key = word[max(0, end - 3) : end]
-        if key not in self.ends:
-            found = {1}.union(*(self.model.lengths.get(key[-n:], ()) for n in (1, 2, 3)))
-            self.ends[key] = sorted((n for n in found if n >= 3 or key[-n:] in self.model.ids), reverse=True) if len(key) == 3 else sorted((n for n in found if n <= len(key)), reverse=True)
+    def _ends(self, key: str) -> tuple[int, ...]:
+        """Lengths, from long to short, of the pieces that may end with these (up to four) characters; those within the key are pieces."""
+        longer = self.model.lengths.get(key, ()) if len(key) == 4 else ()
+        found = {n for n in longer if n > 4} | {n for n in range(1, len(key) + 1) if key[-n:] in (self.model.rank or self.model.ids)}
+        if len(self.ends) > 100_000:
+            self.ends.clear()
+        self.ends[key] = tuple(sorted(found, reverse=True))
         return self.ends[key]
 
-    def _merge(self, word: str, shared: int) -> None:
-        model, last, follows, ends = self.model, self.last, self.follows, self.ends
-        rank = model.rank
-        for end in range(shared + 1, len(word) + 1):
-            for n in ends.get(word[end - 3 : end] if end > 2 else word[:end]) or self._ends(word, end):
-                piece = word[end - n : end]
-                if n > end or piece not in rank:
-                    continue
-                before = last[end - n]
-                fits = follows.get((before, piece))
-                if fits is None:
-                    fits = follows[before, piece] = before not in rank or may_follow(model, before, piece)
-                if fits:
-                    last.append(piece)
-                    break
-            else:
-                last.append(word[end - 1])
-        if len(follows) > 2_000_000:
-            follows.clear()
-
-    def _score(self, word: str, shared: int) -> None:
-        model, best = self.model, self.best
-        for end in range(shared + 1, len(word) + 1):
-            top, piece = best[end - 1] + self.worst, word[end - 1]
-            for n in self._ends(word, end):
-                own = word[end - n : end]
-                value = model.score.get(own) if n <= end else None
-                if value is not None and (best[end - n] + value > top or own == piece):
-                    top, piece = best[end - n] + value, own
-            best.append(top)
-            self.last.append(piece)
+    def walk(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """Pieces of each word; words are sorted, so the walk is depth-first and each prefix is extended once."""
+        return self._merged(words) if self.model.kind == "bpe" else self._scored(words)
+
+    def _merged(self, words: Iterable[str]) -> Iterator[list[str]]:
+        model, ends, follows = self.model, self.ends, self.follows
+        rank, was, first = model.rank, "", {}
+        last, after = [""], [first]  # the piece that ends each prefix, and what is known of pieces that follow it
+        for word in words:
+            shared, most = 0, min(len(word), len(was))
+            while shared < most and word[shared] == was[shared]:
+                shared += 1
+            del last[shared + 1 :], after[shared + 1 :]
+            was = word
+            for end in range(shared + 1, len(word) + 1):
+                key = word[end - 4 : end] if end > 4 else word[:end]
+                lengths = ends.get(key)
+                if lengths is None:
+                    lengths = self._ends(key)
+                for n in lengths:
+                    if n > end:
+                        continue
+                    piece, known = word[end - n : end], after[end - n]
+                    fits = known.get(piece)
+                    if fits is None:
+                        before = last[end - n]
+                        fits = known[piece] = piece in rank and (before not in rank or may_follow(model, before, piece))
+                        self.n_follows += 1
+                    if fits:
+                        break
+                else:
+                    piece = word[end - 1]  # a character that the model doesn't have
+                last.append(piece)
+                own = follows.get(piece)
+                if own is None:
+                    own = follows[piece] = {}
+                after.append(own)
+            found, end = [], len(word)
+            while end:
+                piece = last[end]
+                found.append(piece)
+                end -= len(piece)
+            found.reverse()
+            yield found
+            if self.n_follows > FOLLOWERS:  # the tables of this word's prefixes live on in after
+                follows.clear()
+                self.n_follows = 0
+
+    def _scored(self, words: Iterable[str]) -> Iterator[list[str]]:
+        score, was, last, best = self.model.score, "", [""], [0.0]
+        for word in words:
+            shared, most = 0, min(len(word), len(was))
+            while shared < most and word[shared] == was[shared]:
+                shared += 1
+            del last[shared + 1 :], best[shared + 1 :]
+            was = word
+            for end in range(shared + 1, len(word) + 1):
+                key = word[end - 4 : end] if end > 4 else word[:end]
+                top, piece = None, word[end - 1]
+                for n in self.ends.get(key) or self._ends(key):
+                    own = word[end - n : end] if n <= end else ""
+                    if own in score and (top is None or best[end - n] + score[own] > top):
+                        top, piece = best[end - n] + score[own], own
+                best.append(best[end - 1] + self.worst if top is None else top)
+                last.append(piece)
+            found, end = [], len(word)
+            while end:
+                found.append(last[end])
+                end -= len(found[-1])
+            yield found[::-1]
 
 
 class Encoder:
@@ -223,6 +245,7 @@ class Encoder:
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.known_blanks: dict[int, list[int]] = {}
+        self.forward = SharedForward(model)
         self._fresh()
 
     def _fresh(self) -> None:
@@ -247,27 +270,34 @@ class Encoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        forward, made, sizes = SharedForward(self.model), [], []
+        made, sizes, ids_of, place = [], [], self.model.ids, self.place
         merges = self.model.kind == "bpe"
-        for word in sorted(words, key=lambda w: w.lstrip(MARK)) if merges else sorted(words):
-            body = word.lstrip(MARK) if merges else word
-            run = len(word) - len(body)
-            if merges and not body:
-                ids = list(blanks(self.model, run, self.known_blanks))
+        # merges of blanks come last, so the walk is over words with one mark at most
+        def body(word: str) -> str:
+            if word[:2] != MARK + MARK and word != MARK:
+                return word
+            bare = word.lstrip(MARK)
+            return MARK + bare if bare else ""
+
+        order = sorted(words, key=body) if merges else sorted(words)
+        for word, found in zip(order, self.forward.walk(map(body, order) if merges else order), strict=True):
+            before, ids = len(made), [ids_of.get(p, -1) for p in found]
+            if merges and word[:2] == MARK + MARK or not found:
+                run = len(word) - len(word.lstrip(MARK))
+                alone = bool(found) and found[0] == MARK
+                made += blanks(self.model, run - (1 if found and not alone else 0), self.known_blanks)
+                found, ids = found[alone:], ids[alone:]
+            if -1 in ids:
+                for piece, own in zip(found, ids, strict=True):
+                    if own >= 0:
+                        made.append(own)
+                    elif self.model.byte_ids or len(made) == before or made[-1] != self.model.unknown:
+                        made += _ids(self.model, piece)
             else:
-                found = forward.pieces(MARK + body if run and merges else body)
-                loose = run - (1 if found[0] != MARK else 0) if run and merges else 0
-                ids = list(blanks(self.model, loose, self.known_blanks)) if loose else []
-                for piece in found[1:] if loose and found[0] == MARK else found:
-                    own = self.model.ids.get(piece)
-                    if own is not None:
-                        ids.append(own)
-                    elif self.model.byte_ids or not ids or ids[-1] != self.model.unknown:
-                        ids.extend(_ids(self.model, piece))
-            self.place[word] = len(self.place)
+                made += ids
+            place[word] = len(place)
             self.chars += len(word)
-            made.extend(ids)
-            sizes.append(len(ids))
+            sizes.append(len(made) - before)
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes, dtype=np.int64)))
         self.values = np.concatenate((self.values, np.array(made, np.int32)))
 
@@ -295,8 +325,30 @@ def decode(model: PieceModel, ids: list[int]) -> str:
     return text[1:] if model.prefix and text.startswith(" ") else text
 
 
-#: Characters of texts whose words are worked out together.
-GROUP_CHARS = 4_000_000
+def decode_all(model: PieceModel, ids: np.ndarray, bounds: np.ndarray, shown: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Texts of many arrays of ids, one after another; shown and first are the bytes of all pieces and where each begins.
+
+    Where byte pieces make no UTF-8 the texts are decoded one by one, as decode() does it.
+    """
+    n = len(first) - 1
+    known = np.where((ids >= 0) & (ids < n), ids, n)  # the last one is empty
+    begin, size = np.r_[first, first[-1]][known], np.r_[np.diff(first), 0][known]
+    ends = np.cumsum(size)
+    data = shown[np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - size, size) + np.repeat(begin, size)]
+    at = np.r_[0, ends][bounds]
+    inner = at[:-1][at[:-1] < len(data)]
+    try:
+        data.tobytes().decode()
+        whole = not (data[inner] & 0xC0 == 0x80).any()
+    except UnicodeDecodeError:
+        whole = False
+    if not whole or model.prefix:
+        return pa.array([decode(model, ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
+
+
+#: Characters of texts whose words are worked out together, ids that are decoded together.
+GROUP_CHARS, GROUP_IDS = 1_500_000, 400_000
 
 
 def encoded(text: Column, model: PieceModel) -> Column:
@@ -318,7 +370,9 @@ def encoded(text: Column, model: PieceModel) -> Column:
                 bounds.append(bounds[-1][-1] + ends[1:])
                 start = stop
             flat = np.concatenate(values) if values else np.empty(0, np.int32)
+            del texts, values
             yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(flat, pa.int32()))
+            pa.default_memory_pool().release_unused()
 
     return apply(text)
 
@@ -328,8 +382,19 @@ def decoded(ids: Column, model: PieceModel) -> Column:
 
     @F.arrow_udf("string")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        shown = np.frombuffer(b"".join(model.bytes_of), np.uint8)
+        first = np.r_[0, np.cumsum([len(x) for x in model.bytes_of])]
         for batch in batches:
-            yield pa.array([None if x is None else decode(model, x) for x in batch.to_pylist()], pa.string())
+            ends, values = batch.offsets.to_numpy().astype(np.int64), batch.values.fill_null(-1).to_numpy()
+            parts, start = [], 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + GROUP_IDS, "right")) - 1)
+                parts.append(decode_all(model, values[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start], shown, first))
+                start = stop
+            texts = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+            del parts, values
+            yield pc.if_else(batch.is_valid(), texts, None) if batch.null_count else texts
+            pa.default_memory_pool().release_unused()
 
     return apply(ids)
 
