@@ -85,14 +85,20 @@ class Index:
         return sorted(zip(self.owner[at].tolist(), (where - self.place[at]).tolist(), where.tolist(), strict=True))
 
 
+def band_of(template: np.ndarray) -> int:
+    """Narrow enough that neighbouring copies of a short notice stay apart."""
+    return min(BAND, max(1, len(template) // 4))
+
+
 def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best local alignment with text place - template place within BAND of the diagonal: matched words, first and past-last place in the text."""
-    width = 2 * BAND + 1
+    """Best local alignment with text place - template place within the template's band around the diagonal: matched words, first and past-last place in the text."""
+    band = band_of(template)
+    width = 2 * band + 1
     best, end = 0, None
     score = np.zeros((len(template) + 1, width), np.int32)
     step = np.zeros((len(template) + 1, width), np.int8)  # 0 stop, 1 both, 2 template only, 3 text only
     drift = np.arange(width) * GAP
-    offsets = np.arange(width) - BAND
+    offsets = np.arange(width) - band
     for i in range(1, len(template) + 1):
         at = i - 1 + diagonal + offsets
         inside = (at >= 0) & (at < len(text))
@@ -112,7 +118,7 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
     i, j = end
     matched, last, first = 0, None, 0
     while i > 0 and step[i, j]:
-        place = i - 1 + diagonal + j - BAND
+        place = i - 1 + diagonal + j - band
         if step[i, j] == 1:
             if text[place] == template[i - 1]:
                 matched, first = matched + 1, place
@@ -132,8 +138,8 @@ def matches_of(text: bytes | None, index: Index, coverage: float = COVERAGE) ->
     words, begins, ends = words_of(text)
     found, seen = [], {}
     for template, diagonal, place in index.hits(words):
-        done = seen.get(template)
-        if done is not None and any(a - BAND <= diagonal <= a + BAND and b <= place < c for a, b, c in done[-4:]):
+        done, band = seen.get(template), band_of(index.words[template])
+        if done is not None and any(a - band <= diagonal <= a + band and b <= place < c for a, b, c in done[-4:]):
             continue
         matched, first, last = align(index.words[template], words, diagonal)
         seen.setdefault(template, []).append((diagonal, min(first, place), max(last, place + 1)))
