@@ -12,6 +12,7 @@ from foliospark.operators import access, catalog, eav, jobs, pages, prompts
 from foliospark.plans import inputs as I
 from foliospark.sinks import export
 from foliospark.sources.files import table, updated_since
+from foliospark.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,6 +204,16 @@ def latest_job_per_type(spark, d):
     return jobs.latest(I.job_events(spark, d), ["document_id", "job_type"], ["created_at", "job_id"]).select("document_id", "job_type", "job_id")
 
 
+@query(SQL["latest_job_per_type"])
+def stream_latest_jobs(spark, d):
+    """The same table kept up by a stream of job events, here all that is there."""
+    events = ingest.stream_table(spark, d, "events")
+    rows = events.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("job_type"), F.col("ts").alias("created_at"), F.col("event_id").alias("job_id"))
+    folder = ingest.scratch(spark)
+    ingest.run_upsert(rows, f"{folder}/table", f"{folder}/checkpoint", ["document_id", "job_type"], ["created_at", "job_id"])
+    return ingest.current(spark, f"{folder}/table").select("document_id", "job_type", "job_id")
+
+
 @query("SELECT event_id AS document_id FROM events WHERE ts > (SELECT TIMESTAMP '2024-01-15 00:00:00')")
 def retention_filter(spark, d):
     return jobs.kept_since(I.outcomes(spark, d), "2024-01-15 00:00:00").select("document_id")

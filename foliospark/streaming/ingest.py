@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/{name}.parquet*")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    return f"{shared.rstrip('/')}/foliospark/stream-{uuid.uuid4().hex}"
+
+
 def upsert_into(path: str, keys: list[str], order: list[str]):
     """foreachBatch function that keeps the last row of each key; a batch that comes again changes nothing.
 
@@ -54,4 +62,4 @@ def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], o
 
 def windowed(events: DataFrame, time: str, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
     """Jobs and failures of each type and window; events later than the watermark are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
