@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +41,10 @@ def password_hash(password: Column, salt_hex: Column) -> Column:
 
 def password_fits(password: Column, stored: Column) -> Column:
     return password_hash(password, F.substring_index(stored, "$", 1)) == stored
+
+
+def signature(message: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a message in hex."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = bytes(x ^ 0x36 for x in block), bytes(x ^ 0x5C for x in block)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))), 256)

@@ -45,3 +45,12 @@ def checked(requested: DataFrame, documents: DataFrame, user_id: int) -> DataFra
     """(document_id) with the answer to a batch request: ok, missing or foreign."""
     met = requested.join(documents.select("document_id", "uploaded_by"), "document_id", "left")
     return met.select("document_id", F.when(F.col("uploaded_by").isNull(), "missing").when(F.col("uploaded_by") != user_id, "foreign").otherwise("ok").alias("verdict"))
+
+
+def new_users(incoming: DataFrame, users: DataFrame) -> DataFrame:
+    """Incoming (username, email) of which neither is taken; repeats among the incoming stay for the caller to see."""
+    return incoming.join(users.select("username"), "username", "left_anti").join(users.select("email"), "email", "left_anti").select(*incoming.columns)
+
+
+def live_sessions(sessions: DataFrame, now: str) -> DataFrame:
+    return sessions.where(F.col("expires_at") > F.lit(now).cast("timestamp"))

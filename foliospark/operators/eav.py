@@ -142,3 +142,21 @@ def by_template(documents: DataFrame, rules: list[dict]) -> DataFrame:
         group = 0 if rule.get("regex") else 1
         rows.append(F.struct(F.lit(rule["name"]).alias("field_name"), F.nullif(F.regexp_extract("text", pattern, group), F.lit("")).alias("field_value")))
     return documents.select("document_id", F.explode(F.array(*rows)).alias("r")).select("document_id", "r.*").where("field_value is not null")
+
+
+def looked_up(groups: Column, path: str) -> Column:
+    """Value at "group.field" of a map of maps, null where either is missing."""
+    group, _, field = path.partition(".")
+    return F.try_element_at(F.try_element_at(groups, F.lit(group)), F.lit(field))
+
+
+def at_path(document: Column, path: str) -> Column:
+    """Value of a JSON text at a dotted path that may hold positions, as results[0].x."""
+    return F.get_json_object(document, f"$.{path}")
+
+
+def result_view(model_jobs: DataFrame) -> DataFrame:
+    """(document_id, job_type, created_at, job_id, result) of a model's jobs to one row per document: the last result of each task, the prefix llm_ taken off."""
+    own = model_jobs.where(F.col("job_type").like("llm\\_%")).withColumn("task", F.regexp_replace("job_type", "^llm_", ""))
+    last = own.groupBy("document_id", "task").agg(F.max_by("result", F.struct("created_at", "job_id")).alias("result"))
+    return last.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "result")))).alias("results"))

@@ -63,3 +63,15 @@ def outliers(values: DataFrame, group: str, value: str, factor: float = 1.5) ->
     q = values.groupBy(group).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
     spread = (F.col("q3") - F.col("q1")) * factor
     return values.join(q, group).where((F.col(value) < F.col("q1") - spread) | (F.col(value) > F.col("q3") + spread)).drop("q1", "q3")
+
+
+def removed(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those whose keys are among gone: a delete as a rewrite."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def current_status(documents: DataFrame, events: DataFrame, deleted: str = "deleted") -> DataFrame:
+    """Documents with the status of their last event (document_id, status, at, event_id); without events it stays, deleted ones are left out."""
+    last = latest(events, ["document_id"], ["at", "event_id"]).select("document_id", F.col("status").alias("__status"))
+    met = documents.join(last, "document_id", "left").withColumn("status", F.coalesce("__status", "status")).drop("__status")
+    return met.where(F.col("status") != deleted)

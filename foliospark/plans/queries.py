@@ -368,3 +368,31 @@ def incremental_pull(spark, d):
 def password_hashes(spark, d):
     salt = F.lower(F.hex(F.col("c_mktsegment").cast("binary")))
     return table(spark, d, "customer").select("c_custkey", mask.password_hash(F.col("c_name"), salt).alias("hashed"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def hard_delete(spark, d):
+    gone = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return jobs.removed(table(spark, d, "customer").select("c_custkey", "c_name"), gone, ["c_custkey"])
+
+
+@query("""SELECT c_custkey AS document_id, coalesce(s, 'uploaded') AS status FROM customer LEFT JOIN (SELECT user_id, arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'deleted' ELSE 'completed' END, (ts, event_id)) AS s
+  FROM events GROUP BY user_id) ON user_id = c_custkey WHERE coalesce(s, 'uploaded') <> 'deleted'""")
+def current_status(spark, d):
+    docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("uploaded").alias("status"))
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "deleted").otherwise("completed")
+    events = table(spark, d, "events").select(F.col("user_id").alias("document_id"), status.alias("status"), F.col("ts").alias("at"), "event_id")
+    return jobs.current_status(docs, events)
+
+
+@query("SELECT s_name AS username, s_name || '@x' AS email FROM supplier WHERE s_name NOT IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM customer WHERE c_custkey % 2 = 0)")
+def new_users(spark, d):
+    incoming = table(spark, d, "supplier").select(F.col("s_name").alias("username"), F.concat("s_name", F.lit("@x")).alias("email"))
+    known = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("username"), F.col("c_name").alias("email"))
+    return access.new_users(incoming, known)
+
+
+@query("""SELECT user_id AS document_id, string_agg(event_type || '=' || r, ',' ORDER BY event_type) AS results FROM (SELECT user_id, event_type, arg_max(event_id, (ts, event_id))::VARCHAR AS r FROM events GROUP BY ALL) GROUP BY user_id""")
+def result_view(spark, d):
+    made = I.job_events(spark, d).withColumn("job_type", F.concat(F.lit("llm_"), "job_type")).withColumn("result", F.col("job_id").cast("string"))
+    return eav.result_view(made).select("document_id", F.array_join(F.transform(F.map_entries("results"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("results"))

@@ -60,3 +60,8 @@ def spreadsheet(rows: DataFrame) -> DataFrame:
 def flat(structured: DataFrame) -> DataFrame:
     """(document_id, group_name, field, value) to dotted keys."""
     return structured.select("document_id", F.concat_ws(".", "group_name", "field").alias("key"), "value")
+
+
+def append_rows(eav: DataFrame, path: str, day: str) -> None:
+    """EAV rows added to a table partitioned by the day they came."""
+    eav.withColumn("day", F.lit(day)).write.mode("append").partitionBy("day").parquet(path)

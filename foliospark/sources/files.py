@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -54,3 +55,13 @@ def updated_since(documents: DataFrame, since: str | Column, limit: int = 100) -
     """Completed documents changed after a time, oldest first, to be pulled a page at a time."""
     after = F.lit(since).cast("timestamp") if isinstance(since, str) else since
     return documents.where((F.col("status") == "completed") & (F.col("updated_at") > after)).orderBy("updated_at", "document_id").limit(limit)
+
+
+def settings(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """A JSON object of settings with defaults for what it lacks; nested objects are completed too. Read on the driver: it's one small file."""
+    given = json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+    def completed(own: dict, base: dict) -> dict:
+        return base | {k: completed(v, base[k]) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in own.items()}
+
+    return completed(given, defaults)

@@ -61,3 +61,12 @@ def test_password_hash(spark):
     df = spark.createDataFrame([("pw", "00ff")], "p string, s string")
     hashed = mask.password_hash(df.p, df.s)
     assert df.select(mask.password_fits(df.p, hashed), mask.password_fits(F.lit("other"), hashed)).first()[:] == (True, False)
+
+
+def test_signature(spark):
+    import hashlib
+    import hmac
+
+    df = spark.createDataFrame([("body é",)], "m string")
+    for key in (b"k", b"long" * 40):
+        assert df.select(mask.signature(df.m, key)).first()[0] == hmac.new(key, "body é".encode(), hashlib.sha256).hexdigest()

@@ -155,3 +155,15 @@ def test_streams(spark, tmp_path):
     q = ingest.windowed(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_lookups_settings_and_append(spark, tmp_path):
+    df = spark.createDataFrame([({"a": {"b": "x"}}, '{"r": [{"x": 1}]}')], "g map<string,map<string,string>>, j string")
+    row = df.select(eav.looked_up(F.col("g"), "a.b"), eav.looked_up(F.col("g"), "z.b"), eav.at_path(F.col("j"), "r[0].x")).first()
+    assert row[:] == ("x", None, "1")
+    (tmp_path / "s.json").write_text('{"a": {"x": 1}, "c": 3}')
+    assert files.settings(spark, str(tmp_path / "s.json"), {"a": {"x": 0, "y": 2}, "b": 5}) == {"a": {"x": 1, "y": 2}, "b": 5, "c": 3}
+    rows = spark.createDataFrame([(1, "a", "b")], EAV)
+    for day in ("2025-01-01", "2025-01-02"):
+        export.append_rows(rows, str(tmp_path / "eav"), day)
+    assert spark.read.parquet(str(tmp_path / "eav")).count() == 2
