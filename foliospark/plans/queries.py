@@ -78,9 +78,9 @@ def extract_korean(spark, d):
     return k.select("document_id", extract.person_name(F.col("text")).alias("name"), extract.address(F.col("text")).alias("address"), F.array_join(extract.dates(F.col("text")), "|").alias("dates"), amounts.alias("amounts"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(text, '(\d{3})(\d{6})(\d{4})', '\1******\3', 'g') AS text FROM documents WHERE regexp_matches(text, '\d{13}')""")
+@query(r"""SELECT doc_id, regexp_replace(text, '(\d{3})(\d{6})(\d{4})', '\1******\3', 'g') AS text FROM documents""")
 def mask_within(spark, d):
-    return table(spark, d, "documents").where(F.col("text").rlike(r"\d{13}")).select("doc_id", mask.within(F.col("text"), r"\d{13}").alias("text"))
+    return table(spark, d, "documents").select("doc_id", mask.within(F.col("text"), r"\d{13}").alias("text"))
 
 
 @query(f"""WITH {I.IDS_SQL} SELECT o_orderkey, left(resident_id, 3) || repeat('*', length(resident_id) - 7) || right(resident_id, 4) AS resident_id,
@@ -268,9 +268,9 @@ def detail_with_jobs(spark, d):
     return catalog.with_jobs(docs, made).select("document_id", F.when(F.col("jobs").isNotNull(), F.array_join(line, ",")).alias("jobs"))
 
 
-@query("SELECT doc_id, 'Summarise in ' || lang || ' (title, date): ' || left(text, 40) AS prompt FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, 'Summarise in ' || lang || ' (title, date): ' || text AS prompt FROM documents WHERE text IS NOT NULL")
 def render_prompt(spark, d):
-    prompt = prompts.rendered("Summarise in {lang} ({fields}): {text}", {"lang": F.col("lang"), "fields": ["title", "date"], "text": F.substring("text", 1, 40)})
+    prompt = prompts.rendered("Summarise in {lang} ({fields}): {text}", {"lang": F.col("lang"), "fields": ["title", "date"], "text": F.col("text")})
     return table(spark, d, "documents").where("text is not null").select("doc_id", prompt.alias("prompt"))
 
 
@@ -323,14 +323,14 @@ def export_html(spark, d):
     return export.html_table(export.pairs(I.eav(spark, d)))
 
 
-@query("""SELECT coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.field_name, b.field_name) AS field_name, coalesce(b.field_value, a.field_value) AS field_value,
+@query("""SELECT coalesce(a.document_id, b.document_id) AS document_id, 'lang' AS field_name, coalesce(b.field_value, a.field_value) AS field_value,
   CASE WHEN b.field_value IS NOT NULL THEN 'llm' ELSE 'ocr' END AS extraction_method
-  FROM (SELECT doc_id AS document_id, 'lang' AS field_name, max(lang) AS field_value FROM documents WHERE doc_id % 3 > 0 GROUP BY doc_id) a
-  FULL JOIN (SELECT doc_id AS document_id, 'lang' AS field_name, max(source) AS field_value FROM documents WHERE doc_id % 2 = 0 GROUP BY doc_id) b ON a.document_id = b.document_id""")
+  FROM (SELECT doc_id AS document_id, max(lang) AS field_value FROM documents GROUP BY doc_id) a
+  FULL JOIN (SELECT doc_id AS document_id, max(quality)::VARCHAR AS field_value FROM labels GROUP BY doc_id) b ON a.document_id = b.document_id""")
 def merge_extractions(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("lang").alias("field_name"), "lang", "source")
-    ocr = docs.where("document_id % 3 > 0").withColumn("field_value", F.col("lang"))
-    return eav.merged(ocr, docs.where("document_id % 2 = 0").withColumn("field_value", F.col("source")))
+    ocr = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("lang").alias("field_name"), F.col("lang").alias("field_value"))
+    llm = table(spark, d, "labels").select(F.col("doc_id").alias("document_id"), F.lit("lang").alias("field_name"), F.col("quality").cast("string").alias("field_value"))
+    return eav.merged(ocr, llm)
 
 
 @query("""SELECT doc_id AS document_id, 'license' AS field_name, regexp_extract(text, '[Ll]icensed under[^.\\n]*', 0) AS field_value FROM documents WHERE regexp_matches(text, '[Ll]icensed under[^.\\n]*')
@@ -355,7 +355,7 @@ def value_outliers(spark, d):
 @query("""SELECT o_custkey AS document_id, status FROM (SELECT o_custkey, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
 def upsert_status(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("n"))
-    return jobs.upserted(o.where("n % 2 = 0"), o.where("n % 2 = 1"), ["document_id"], ["at", "n"]).select("document_id", "status")
+    return jobs.upserted(o.where("at < '1996-01-01'"), o.where("at >= '1996-01-01'"), ["document_id"], ["at", "n"]).select("document_id", "status")
 
 
 @query("SELECT o_orderkey AS document_id FROM orders WHERE o_orderstatus = 'F' AND o_orderdate > TIMESTAMP '1996-01-01' ORDER BY o_orderdate, o_orderkey LIMIT 100")
@@ -385,10 +385,10 @@ def current_status(spark, d):
     return jobs.current_status(docs, events)
 
 
-@query("SELECT s_name AS username, s_name || '@x' AS email FROM supplier WHERE s_name NOT IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM customer WHERE c_custkey % 2 = 0)")
+@query("SELECT s_name AS username, s_name || '@x' AS email FROM supplier WHERE s_name NOT IN (SELECT replace(c_name, 'Customer', 'Supplier') FROM customer WHERE c_mktsegment = 'BUILDING')")
 def new_users(spark, d):
     incoming = table(spark, d, "supplier").select(F.col("s_name").alias("username"), F.concat("s_name", F.lit("@x")).alias("email"))
-    known = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("username"), F.col("c_name").alias("email"))
+    known = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("username"), F.col("c_name").alias("email"))
     return access.new_users(incoming, known)
 
 
