@@ -87,7 +87,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisits = rows.where(F.col("kind") == "revisit").drop("kind")
     asof = latest_earlier(responses, revisits.where(usable))
     known = responses.groupBy(F.col("record_id").alias("response_id")).agg(F.min("headers").alias("stored"))
-    met = revisits.join(asof, ["url", "ts"], "left").join(known, "response_id", "left")
+    # rows without a response get keys of their own, so that their null doesn't gather them in one task
+    asked = revisits.join(asof, ["url", "ts"], "left")
+    asked = asked.withColumn("key", F.coalesce(F.col("response_id").cast("string"), F.concat(F.lit("none "), F.xxhash64("record_id"))))
+    known = known.select(F.col("response_id").cast("string").alias("key"), "stored")
+    met = asked.join(known, "key", "left").drop("key")
     met = met.withColumn("stored", header_map(F.col("stored"))).withColumn("fresh", header_map(F.col("headers")))
 
     def both(name: str) -> tuple[Column, Column]:
