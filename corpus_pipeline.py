@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import mixing, pieces, secret_scan, simhash, toxicity
-from foliospark.llm.common import fold, stored
+from foliospark.llm.common import fold, narrow_batches, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores under 0.5 stay, as do those without words; the network learns from the table's labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     weights = toxicity.fitted(docs, labels)
-    return docs.withColumn("__score", toxicity.toxicity(F.col("text"), weights)).where("__score < 0.5").select(*docs.columns)
+    return narrow_batches(docs).withColumn("__score", toxicity.toxicity(F.col("text"), weights)).where("__score < 0.5").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

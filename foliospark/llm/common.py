@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this package: blank and the controls 9 to 13.
@@ -41,6 +41,14 @@ def drop_stored(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def narrow_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with the session's batches for Python functions held to so many rows: whole texts are wide, and a worker holds a few copies of a batch."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of the id written as decimal text, modulo parts."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id) % F.lit(parts)
@@ -49,3 +57,16 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 def n_words(text: str | Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bounded_sample(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """The rows of each group with the most smallest values of order, a hash: most rows a group at most, chosen alike on every run.
+
+    Group sizes are counted first and only rows under a hash threshold, four times most a group on average, are
+    sorted, so no task sees a large group. Rows equal in all columns count once.
+    """
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size"))
+    joined = df.join(sizes, F.col(group) == F.col("__group"))
+    low = joined.where(F.pmod(F.col(order), F.lit(1 << 20)).cast("double") * F.col("__size") < F.lit(4.0 * most * (1 << 20)))
+    numbered = low.drop("__group", "__size").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.col(order), F.lit(1 << 20)), order)))
+    return numbered.where(F.col("__n") <= most).drop("__n")

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fold
+from foliospark.llm.common import bounded_sample, fold, narrow_batches
 
 #: Bytes of a piece.
 PIECE = 1024
@@ -44,9 +44,9 @@ def training_passages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_ch
     """
     usable = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64(F.lit(seed), F.md5(F.col("text").cast("binary")))
-    usable = usable.select("lang", "text", order.alias("order")).withColumn("n", F.expr("row_number() over (partition by lang order by order)"))
-    begin = F.pmod("order", F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
-    rows = usable.where(F.col("n") <= sample_docs).select("lang", "order", F.substr("text", begin, F.lit(sample_chars)).alias("passage")).collect()
+    begin = F.pmod(order, F.greatest(F.lit(1), F.length("text") - sample_chars + 1)) + 1
+    passages = usable.select("lang", order.alias("order"), F.substr("text", begin, F.lit(sample_chars)).alias("passage"))
+    rows = bounded_sample(passages, "lang", "order", sample_docs).collect()
     found: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["order"], r["passage"])):
         found.setdefault(r["lang"], []).append(plain(r["passage"]))
@@ -99,7 +99,7 @@ def identify(docs: DataFrame, labelled: DataFrame, min_margin: float = 0.0) -> D
     out, a null doc_id stays null, an empty table gives an empty one.
     """
     found = language(F.col("text"), training_passages(labelled), min_margin)
-    return docs.select("doc_id", found.alias("found")).select("doc_id", "found.*")
+    return narrow_batches(docs).select("doc_id", found.alias("found")).select("doc_id", "found.*")
 
 
 def op5_compression_language(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import narrow_batches
 from foliospark.llm.license_texts import TEMPLATES
 
 #: Words of a k-gram, k-grams of a winnowing window, places that an alignment may drift from its diagonal.
@@ -173,7 +174,7 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, coverage: float
     Null, empty and very short texts match nothing; repeated rows give repeated matches, a null doc_id stays null, other
     columns are left out, an empty table gives an empty one. A notice within a header is reported beside it.
     """
-    found = docs.select("doc_id", license_matches(F.col("text"), templates, coverage).alias("found"))
+    found = narrow_batches(docs).select("doc_id", license_matches(F.col("text"), templates, coverage).alias("found"))
     return found.select("doc_id", F.explode_outer("found").alias("m")).where("m is not null").select("doc_id", "m.*")
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import narrow_batches
+
 #: Fixed values of the file format: boxes that hold other boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
 #: Samples (bytes) to a second, bytes of one stored sample (frame), frames of one chunk.
@@ -232,7 +234,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     of any name are left out, an empty table gives an empty one.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    stored = docs.select("doc_id", size.alias("n_bytes"), store_text(F.col("text")).alias("media"))
+    stored = narrow_batches(docs).select("doc_id", size.alias("n_bytes"), store_text(F.col("text")).alias("media"))
     return stored.withColumn("facts", media_facts(F.col("media")))
 
 

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import narrow_batches
+
 #: The sign that stands for a blank.
 MARK = "▁"
 #: Where the public model lies by default.
@@ -405,7 +407,7 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, text: str = "text
     Null and empty texts give an empty array. A text that holds the mark itself (U+2581) reads back with a blank in its
     place, as with the model's own library. Repeated rows stay, an empty table gives an empty one.
     """
-    return docs.withColumn("piece_ids", encoded(F.col(text), load_model(model_path)))
+    return narrow_batches(docs).withColumn("piece_ids", encoded(F.col(text), load_model(model_path)))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

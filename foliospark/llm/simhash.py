@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import stored
+from foliospark.llm.common import narrow_batches, stored
 from foliospark.llm.components import connected_components
 
 #: Nodes of one bucket that a task compares at once.
@@ -200,7 +200,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     fingerprint; a fingerprint that only such rows have is linked to nothing and has a null component_id. Repeated
     rows stay repeated; other columns, whatever their names, are left out; an empty table gives an empty one.
     """
-    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("print")), "prints")
+    prints = stored(narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("print")), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("id")), "nodes")
     roots = connected_components(near_links(nodes, radius))
     rooted = stored(nodes.join(roots, nodes.id == roots.node, "left").select("print", F.coalesce("root", "id").alias("component_id")), "roots")

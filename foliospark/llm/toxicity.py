@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import fold
+from foliospark.llm.common import bounded_sample, fold, narrow_batches
 from foliospark.llm.langid import plain
 
 #: Words of a window, words between the beginnings of two windows.
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 1200
 #: One clean text in so many gives another that repeats one of its words, so that stuttering alone means nothing.
 REPEATED = 4
 #: Bytes of text whose windows are computed together; longer texts are cut between words, a window's words repeated.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 18
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,6 +81,23 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(word, np.concatenate(slots)[order], np.r_[0, np.cumsum(np.bincount(owner, minlength=len(begins)))], first_word)
 
 
+def words_of_many(texts: list[bytes]) -> Words:
+    """words_of() a bounded batch of texts at a time."""
+    parts, held = [[]], 0
+    for text in texts:
+        if held > BATCH_BYTES:
+            parts, held = [*parts, []], 0
+        parts[-1].append(text)
+        held += len(text)
+    done = [words_of(p) for p in parts]
+
+    def ends(arrays: list[np.ndarray]) -> np.ndarray:
+        ahead = np.cumsum([0] + [int(a[-1]) for a in arrays])
+        return np.concatenate([np.zeros(1, np.int64), *[a[1:] + b for a, b in zip(arrays, ahead[:-1], strict=True)]])
+
+    return Words(np.concatenate([x.word for x in done]), np.concatenate([x.gram for x in done]), ends([x.first_gram for x in done]), ends([x.first_word for x in done]))
+
+
 def window_starts(first_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and text of every window; the last window of a text ends with it."""
     n = np.diff(first_word)
@@ -108,11 +125,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
 
 
-def embedded(w: dict, words: Words) -> np.ndarray:
-    count = np.diff(words.first_gram)
-    if not len(count):
-        return np.empty((0, WIDTH), np.float32)
-    return w["word"][words.word] + np.add.reduceat(w["gram"][words.gram], words.first_gram[:-1]) / count[:, None].astype(np.float32)
+def embedded(w: dict, words: Words, seen: np.ndarray | None = None, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """Vector of each word from begin to end; seen: 0 for words that show their characters alone."""
+    end = len(words.word) if end is None else end
+    word = w["word"][words.word[begin:end]]
+    word = word if seen is None else word * seen[:, None]
+    for a in range(begin, end, 32_768):  # the vectors of all n-grams at once would be many times as large
+        first = words.first_gram[a : min(a + 32_768, end) + 1]
+        grams = np.add.reduceat(w["gram"][words.gram[first[0] : first[-1]]], first[:-1] - first[0])
+        word[a - begin : a - begin + len(grams)] += grams / np.diff(first)[:, None].astype(np.float32)
+    return word
+
+
+def logits(w: dict, words: Words, starts: np.ndarray, lengths: np.ndarray, block: int = 4096) -> np.ndarray:
+    """Logit of every window, a block of neighbouring windows and their words at a time."""
+    found = [np.empty(0, np.float32)]
+    for i in range(0, len(starts), block):
+        first, n = starts[i : i + block], lengths[i : i + block]
+        begin = int(first.min())
+        found.append(forward(w, embedded(w, words, None, begin, int((first + n).max())), first - begin, n))
+    return np.concatenate(found)
 
 
 def forward(w: dict, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool = False):
@@ -149,7 +181,7 @@ def forward(w: dict, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, kee
     return (logit, saved | {"states": states, "hidden": hidden, "weight": weight, "pooled": pooled}) if keep else logit
 
 
-def backward(w: dict, words: Words, s: dict, d_logit: np.ndarray) -> dict[str, np.ndarray]:
+def backward(w: dict, words: Words, seen: np.ndarray, s: dict, d_logit: np.ndarray) -> dict[str, np.ndarray]:
     g = {k: np.zeros_like(v) for k, v in w.items()}
     g["out"], g["out_bias"] = s["pooled"].T @ d_logit, d_logit.sum(keepdims=True)
     d_pooled = d_logit[:, None] * w["out"]
@@ -178,7 +210,7 @@ def backward(w: dict, words: Words, s: dict, d_logit: np.ndarray) -> dict[str, n
             g[f"in_{side}"] += s["x"][at].T @ d_gate
             g[f"bias_{side}"] += d_gate.sum(axis=0)
             np.add.at(d_x, at, d_gate @ w[f"in_{side}"].T)
-    np.add.at(g["word"], words.word, d_x)
+    np.add.at(g["word"], words.word, d_x * seen[:, None])
     count = np.diff(words.first_gram)
     np.add.at(g["gram"], words.gram, np.repeat(d_x / count[:, None], count, axis=0))
     return g
@@ -196,11 +228,13 @@ def _chosen(words: Words, starts: np.ndarray, lengths: np.ndarray) -> tuple[Word
     return own, np.cumsum(lengths) - lengths
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_epochs: int = 4, epochs: int = 7, batch: int = 128, rate: float = 0.01) -> dict[str, np.ndarray]:
+def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_steps: int = 200, steps: int = 300, epochs: int = 6, batch: int = 128, rate: float = 0.01, blind: float = 0.3) -> dict[str, np.ndarray]:
     """Weights fitted to whole labelled texts.
 
     First every text gives two windows at random; then, epoch by epoch, its worst window by the network so far (and,
-    for clean texts, one more at random). Classes weigh the same. Without both classes the network stays as made.
+    for clean texts, one more at random). Few texts make more epochs, so that the number of steps stays about the
+    same. Classes weigh the same; a share of the words (blind) shows its characters alone. Without both classes the
+    network stays as made.
     """
     rng, w = np.random.default_rng(seed), fresh_weights(seed)
     texts, labels = [plain(x or "") for x in texts], list(labels)
@@ -208,7 +242,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_epochs
         word = clean[int(rng.random() * len(clean))]
         texts.append(b" " + b" ".join([word] * WINDOW) + b" ")
         labels.append(0)
-    words = words_of(texts)
+    words = words_of_many(texts)
     starts, lengths, owner = window_starts(words.first_word)
     label = np.asarray(labels, np.float32)
     if len(set(labels)) < 2 or not len(starts):
@@ -218,13 +252,14 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_epochs
     n = np.bincount(owner, minlength=len(label))
     some = np.flatnonzero(n)
     moments, step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}, 0
+    warm_epochs = -(-warm_steps * batch // (2 * len(some)))
+    epochs = max(epochs, -(-steps * batch // (2 * len(some))))
     for epoch in range(warm_epochs + epochs):
         random = [first[some] + (rng.random(len(some)) * n[some]).astype(np.int64) for _ in range(2)]
         if epoch < warm_epochs:
             picked = np.concatenate(random)
         else:
-            x = embedded(w, words)
-            logit = np.concatenate([forward(w, x, starts[i : i + 8192], lengths[i : i + 8192]) for i in range(0, len(starts), 8192)])
+            logit = logits(w, words, starts, lengths)
             worst = np.lexsort((-logit, owner))[first[some]]
             picked = np.concatenate((worst, random[0][label[some] == 0]))
         picked = rng.permutation(picked)
@@ -232,8 +267,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_epochs
             rows = picked[i : i + batch]
             own, at = _chosen(words, starts[rows], lengths[rows])
             y = label[owner[rows]]
-            logit, saved = forward(w, embedded(w, own), at, lengths[rows], keep=True)
-            gradient = backward(w, own, saved, ((_sigmoid(logit) - y) * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(rows)).astype(np.float32))
+            seen = (rng.random(len(own.word)) >= blind).astype(np.float32)
+            logit, saved = forward(w, embedded(w, own, seen), at, lengths[rows], keep=True)
+            gradient = backward(w, own, seen, saved, ((_sigmoid(logit) - y) * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(rows)).astype(np.float32))
             step += 1
             for k, (m, v) in moments.items():
                 d = gradient[k] + np.float32(1e-4) * w[k] * (k in ("word", "gram"))
@@ -246,9 +282,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_epochs
 def _parts(text: bytes) -> Iterator[bytes]:
     """A text as plain() gives it, in parts of bounded size that share the words of a window."""
     while len(text) > 2 * BATCH_BYTES:
-        cut = text.find(b" ", BATCH_BYTES)
-        if cut < 0:
-            break
+        cut = text.find(b" ", BATCH_BYTES, 2 * BATCH_BYTES)
+        if cut < 0:  # a word as long as that is cut
+            yield text[:BATCH_BYTES] + b" "
+            text = b" " + text[BATCH_BYTES:]
+            continue
         yield text[: cut + 1]
         back = cut
         for _ in range(WINDOW):
@@ -261,7 +299,7 @@ def _parts(text: bytes) -> Iterator[bytes]:
 
 def scores(w: dict, texts: Iterator[str | None]) -> np.ndarray:
     """Score of each whole text: of its worst window; null and wordless texts score 0."""
-    parts, owner, held, found = [], [], 0, []
+    parts, owner, held = [], [], 0
     texts = list(texts)
     best = np.full(len(texts), -np.inf, np.float32)
 
@@ -270,9 +308,7 @@ def scores(w: dict, texts: Iterator[str | None]) -> np.ndarray:
         words = words_of(parts)
         starts, lengths, text = window_starts(words.first_word)
         if len(starts):
-            x = embedded(w, words)
-            logit = np.concatenate([forward(w, x, starts[i : i + 4096], lengths[i : i + 4096]) for i in range(0, len(starts), 4096)])
-            np.maximum.at(best, np.asarray(owner)[text], logit)
+            np.maximum.at(best, np.asarray(owner)[text], logits(w, words, starts, lengths))
         parts, owner, held = [], [], 0
 
     for i, text in enumerate(texts):
@@ -294,8 +330,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     Labels join on doc_id; rows with a null id, text or label teach nothing.
     """
     order = F.xxhash64(F.lit(seed), "doc_id")
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic").withColumn("order", order)
-    known = known.withColumn("n", F.expr("row_number() over (partition by toxic order by order, doc_id)")).where(F.col("n") <= sample_rows)
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", order.alias("order"))
+    known = bounded_sample(known, "toxic", "order", sample_rows).drop("order")
     rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").limit(4 * sample_rows).collect()
     return sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
 
@@ -320,7 +356,7 @@ def score_documents(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFram
     Null, empty and wordless texts score 0. Repeated rows stay and score the same, a null doc_id stays null, other
     columns are left out, an empty table gives an empty one.
     """
-    found = docs.select("doc_id", toxicity(F.col("text"), weights).alias("score"))
+    found = narrow_batches(docs).select("doc_id", toxicity(F.col("text"), weights).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
