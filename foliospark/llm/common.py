@@ -63,7 +63,8 @@ def bounded_sample(df: DataFrame, group: str, order: str, most: int) -> DataFram
     """The rows of each group with the most smallest values of order, a hash: most rows a group at most, chosen alike on every run.
 
     Group sizes are counted first and only rows under a hash threshold, four times most a group on average, are
-    sorted, so no task sees a large group. Rows equal in all columns count once.
+    sorted. The join with the sizes may still deal all rows by group, so one task can read a large group. Rows equal
+    in all columns count once.
     """
     sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size"))
     joined = df.join(sizes, F.col(group) == F.col("__group"))
