@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import mixing, pieces, secret_scan, simhash, toxicity
+from foliospark.llm import jaccard, mixing, pieces, secret_scan, toxicity
 from foliospark.llm.common import fold, narrow_batches, stored
 
 
@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of fingerprints linked at 4 or fewer bits the document with the smallest doc_id stays."""
-    return simhash.near_dedup(docs)
+    """Of every group linked by a Jaccard similarity of 0.8 or more of 5-word shingles the document with the smallest doc_id stays."""
+    return jaccard.near_dedup(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
