@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives; DataFrame functions only.
 
-Candidates are words that hold a long run of key-like characters with a digit. Their features go through a forest that
+Candidates are all long runs of key-like characters with a digit, whatever stands around them in a word, any values
+after a secret's name, and passwords in URLs. Their features go through a forest that
 is trained from labelled findings by Spark's own learner and then written out as one column expression, so a scan is
 a plain projection.
 """
@@ -14,12 +15,22 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word with a candidate: an optional name with = or :, an optional quote, the candidate, marks.
-CANDIDATE = r"""^[\"'(\[{<]*(?:([A-Za-z][A-Za-z0-9_.-]{0,40})[\"']?(?::=|=>|=|:)[\"']?)?((?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{12,}={0,2})[^A-Za-z0-9+/_=-]*$"""
-#: Whether a text holds any such run; only those texts are cut into words.
-ANYWHERE = r"(?:^|[^A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{12}"
+_NAMES = "pass|pwd|secret|token|api|auth|cred|bearer|private|signing|access"
+_SIGN = r"""[\"']?(?:=>|:=|=|:)[\"']?"""
+#: The forms of a candidate within a word: a password in a URL, a value of any characters after a secret's name, a run of key-like characters with a digit after any name or none.
+_URL = r"[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@]*+:([^\s/@]{6,}+)@"
+_NAMED = rf"""((?=[A-Za-z0-9_.-]*?(?i:{_NAMES}))[A-Za-z0-9_.-]++){_SIGN}((?!//)[^\s\"'<>,;&(){{}}\[\]]{{5,}}[^\s\"'<>,;&(){{}}\[\].!?:])"""
+_RUN = rf"""(?:([A-Za-z_.-][A-Za-z0-9_.-]*+){_SIGN})?((?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{{11,}}[A-Za-z0-9+/_-](?![A-Za-z0-9+/_-])(?:={{1,2}}+(?![A-Za-z0-9\"'])|(?!=)))"""
+CANDIDATE = rf"(?<![A-Za-z0-9_.-])(?:{_URL}|{_NAMED}|{_RUN})"
+#: Whether a text holds any; only those texts are cut into words.
+ANYWHERE = (
+    r"(?:^|[^A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{12}"
+    rf"|(?i:{_NAMES})[A-Za-z0-9_.-]*+[\"']?\s*+(?:=|:)|://[^\s:/@]*+:[^\s/@]{{6,}}+@"
+)
+#: A word that is a secret's name and nothing else but marks.
+SECRET_NAME_WORD = rf"""^[\"'(\[{{<]*(?=[A-Za-z0-9_.-]*?(?i:{_NAMES}))[A-Za-z0-9_.-]++[\"']?"""
 #: Words that secrets stand by, words that harmless values stand by, prefixes that issuers give.
-SECRET_NAMES = r"(?i)pass|pwd|secret|token|api|auth|cred|bearer|private|signing|access"
+SECRET_NAMES = f"(?i){_NAMES}"
 PLAIN_NAMES = r"(?i)commit|sha|md5|checksum|digest|hash|uuid|guid|etag|version|revision|order|invoice|isbn|card|serial|build|phone|file|path|id$"
 ISSUERS = r"^(AKIA|ASIA)[A-Z2-7]{16}$|^gh[pousr]_|^sk[-_](live|test|proj)|^xox[abprs]-|^AIza|^glpat-|^eyJ"
 #: Words whose presence makes a value look written by hand.
@@ -37,9 +48,19 @@ def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
-def features(word: Column, before: Column, earlier: Column, after: Column) -> Column:
-    """Struct of the candidate in a word, its name, and its features; before, earlier and after are the neighbouring words."""
-    value, own = F.regexp_extract(word, CANDIDATE, 2), F.regexp_extract(word, CANDIDATE, 1)
+def found_in(word: Column, before: Column, earlier: Column) -> Column:
+    """All candidates of a word, with their names; a secret's name that stands before the word counts as part of it."""
+    name = F.when(before.isin("=", ":", "=>", ":=") & earlier.rlike(SECRET_NAME_WORD + "$"), F.concat(earlier, F.lit("="))).when(before.rlike(SECRET_NAME_WORD + "(?:=>|:=|=|:)$"), before)
+    return F.regexp_extract_all(F.concat(F.coalesce(name, F.lit("")), word), F.lit(CANDIDATE), F.lit(0))
+
+
+def features(found: Column, before: Column, earlier: Column, after: Column) -> Column:
+    """Struct of a candidate, its name, and its features; before, earlier and after are the words next to the candidate's."""
+
+    def group(*numbers: int) -> Column:
+        return F.concat(*[F.coalesce(F.regexp_extract(found, CANDIDATE, n), F.lit("")) for n in numbers])
+
+    value, own = group(1, 3, 5), F.when(group(1) != "", F.lit("password")).otherwise(group(2, 4))
     sign = before.isin("=", ":", "=>", ":=")
     name = F.when(own != "", own).when(sign, earlier).otherwise(before)
     assigned = (own != "") | sign | before.rlike(r"[=:]$")
@@ -89,6 +110,10 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
         (1, prose, F.concat(secret, F.lit(":")), mixed),
         (1, prose, one("key", "use", "with"), F.concat(one("ghp_", "sk_live_", "xoxb-", "glpat-"), F.substring(mixed, 1, 28))),
         (1, prose, prose, F.concat(secret, F.lit("="), F.substring(mixed, 1, 24))),
+        (1, prose, prose, F.concat(secret, F.lit("="), F.substring(mixed, 1, 5), one("!", "#", "$", "@"), F.substring(mixed, 6, 6), one("$", "!", "%"), F.substring(mixed, 12, 4))),
+        (1, prose, F.concat(secret, F.lit(":")), F.substring(F.translate(mixed, "0123456789", "qXvKzWjRgT"), 1, 28)),
+        (0, prose, F.concat(secret, F.lit(":")), one("required", "undefined", "therefore", "optional", "expired", "unlimited", "validation", "necessary", "something", "invalid", "generated", "forbidden")),
+        (0, prose, prose, F.concat(secret, F.lit("="), one("os.environ.get", "request.headers", "self.settings", "process.env.KEY", "config.password", "getpass.getpass", "${PASSWORD}", "$HOME/config", "string", "boolean"))),
         (0, prose, plain_name, hash_),
         (0, plain_name, F.lit("="), quoted(hash_)),
         (0, prose, F.concat(plain_name, F.lit(":")), F.substring(hash_, 1, 32)),
@@ -110,10 +135,11 @@ def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
 def train_forest(findings: DataFrame, seed: int = 1) -> list:
     """Trees fitted to labelled findings (earlier, before, word, after, label), as nested (feature, threshold, left, right) or votes.
 
-    Words without a candidate and rows without a label teach nothing.
+    Words without a candidate and rows without a label teach nothing; of a word with several each does.
     """
-    words = [F.coalesce(c, F.lit("")) for c in ("word", "before", "earlier", "after")]
-    rows = findings.where("label in (0, 1)").where(F.col("word").rlike(CANDIDATE)).select(features(*words).alias("f"), F.col("label").cast("double").alias("label"))
+    word, before, earlier, after = [F.coalesce(c, F.lit("")) for c in ("word", "before", "earlier", "after")]
+    each = findings.where("label in (0, 1)").select(F.explode(found_in(word, before, earlier)).alias("found"), before.alias("before"), earlier.alias("earlier"), after.alias("after"), "label")
+    rows = each.select(features(*[F.col(c) for c in ("found", "before", "earlier", "after")]).alias("f"), F.col("label").cast("double").alias("label"))
     table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("f.*", "label"))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
     return [tree_of(iter(text.splitlines()[1:])) for text in model.toDebugString.split("\n  Tree ")[1:]]
@@ -146,14 +172,17 @@ def forest_score(trees: list, f: Column) -> Column:
 
 
 def with_contexts(docs: DataFrame) -> DataFrame:
-    """docs with __contexts: (word_no, word, earlier, before, after) of every candidate word of the whole text; null where there is none."""
+    """docs with __contexts: (word_no, found, earlier, before, after) of every candidate of the whole text; null where there is none."""
     words = docs.withColumn("__words", F.when(F.col("text").rlike(ANYWHERE), F.split("text", r"\s+")))
 
     def at(i: Column) -> Column:
         return F.coalesce(F.get(F.col("__words"), i), F.lit(""))
 
-    places = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.get(F.col("__words"), i).rlike(CANDIDATE))
-    context = F.transform(places, lambda i: F.struct(i.alias("word_no"), at(i).alias("word"), at(i - 2).alias("earlier"), at(i - 1).alias("before"), at(i + 1).alias("after")))
+    def of_word(i: Column) -> Column:
+        return F.transform(found_in(at(i), at(i - 1), at(i - 2)), lambda m: F.struct(i.alias("word_no"), m.alias("found"), at(i - 2).alias("earlier"), at(i - 1).alias("before"), at(i + 1).alias("after")))
+
+    long_ = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.length(at(i)) >= 6)
+    context = F.flatten(F.transform(long_, of_word))
     return words.withColumn("__contexts", F.when(F.col("__words").isNotNull(), context)).drop("__words")
 
 
@@ -165,14 +194,14 @@ def scan(docs: DataFrame, trees: list) -> DataFrame:
     """
     # explode_outer: a filter that Spark infers for explode would work out the contexts a second time
     found = with_contexts(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("__contexts").alias("x")).where("x is not null")
-    found = found.select("doc_id", F.col("x.word_no").alias("word_no"), features(*[F.col(f"x.{c}") for c in ("word", "before", "earlier", "after")]).alias("f"))
+    found = found.select("doc_id", F.col("x.word_no").alias("word_no"), features(*[F.col(f"x.{c}") for c in ("found", "before", "earlier", "after")]).alias("f"))
     found = found.select("doc_id", "word_no", "f.*", forest_score(trees, F.col("f")).alias("score"))
     return found.withColumn("is_secret", (F.col("score") >= CONFIRM).cast("int"))
 
 
 def redacted(docs: DataFrame, trees: list, sign: str = "[SECRET]") -> DataFrame:
     """docs with each confirmed secret in text replaced by a sign and n_chars, where there is one, counted anew; all other rows and columns as they are."""
-    marked = with_contexts(docs).withColumn("__features", F.transform("__contexts", lambda x: features(x["word"], x["before"], x["earlier"], x["after"])))
+    marked = with_contexts(docs).withColumn("__features", F.transform("__contexts", lambda x: features(x["found"], x["before"], x["earlier"], x["after"])))
     values = F.transform(F.filter("__features", lambda f: forest_score(trees, f) >= CONFIRM), lambda f: f["value"])
     long_first = F.transform(F.sort_array(F.transform(F.array_distinct(values), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
     text = F.when(F.size(values) > 0, F.aggregate(long_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(sign)))).otherwise(F.col("text"))

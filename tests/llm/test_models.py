@@ -223,3 +223,32 @@ def test_encode_documents(spark):
     assert pieces.encode_documents(df.limit(0)).count() == 0
     broken = spark.createDataFrame([([3 + 0xE4],), ([-1, 10**6],), (None,), ([],)], "ids array<int>")
     assert [r[0] for r in broken.select(pieces.decoded(F.col("ids"), model)).collect()] == ["�", "", None, ""]
+
+
+def test_secrets_within_words(spark, trees):
+    value, issued = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "AKIA" + "QWERTYUIOP234567"
+    letters, marks = "qWvKzXjRgTbNmPlHsDfYcQaZ", "S3cr3t!pass#2024xyz"
+    texts = {
+        f"see https://api.example.com/v1?api_key={value} there": {value},
+        f"see token={value}&x=y there": {value},
+        f'see {{"user":"bob","api_key":"{value}","n":1}} there': {value},
+        f"see postgres://admin:{value}@db:5432/x there": {value},
+        f"see user=bob;password={value};x=1 there": {value},
+        f"see key={issued},secret={value[::-1]},n=1 there": {issued, value[::-1]},
+        f"see <b>{issued}</b> there": {issued},
+        f"see {'a_very_long_' * 5}api_key={value} there": {value},
+        f"see api_key={letters} there": {letters},
+        f"see password={marks} there": {marks},
+        f"see --password={letters} there": {letters},
+        f'see password = "{marks}" there': {marks},
+        "the password: required, a token=undefined and access:something": set(),
+        "see commit=9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c;file=build/output/v1.2.3/main.o there": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).cache()
+    got = {i: set() for i in range(len(texts))}
+    for r in secret_scan.scan(df, trees).where("is_secret = 1").collect():
+        got[r["doc_id"]].add(r["value"])
+    assert got == dict(enumerate(texts.values()))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df, trees).collect()}
+    for i, (text, values) in enumerate(texts.items()):
+        assert not any(v in clean[i] for v in values) and (values or clean[i] == text)
