@@ -14,6 +14,22 @@ SINGLE = ("full_text", "summary", "category")
 CATEGORIES = ("personal_info", "dates", "amounts", "tables")
 
 
+def _float_text(value: Column) -> Column:
+    """A double as Python writes it: plain from 1e-4 to under 1e16, else with an exponent of two digits or more."""
+    text = value.cast("string")
+    power = F.nullif(F.regexp_extract(text, r"E(-?\d+)$", 1), F.lit("")).cast("int")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,20)").cast("string"), "0+$", ""), r"\.$", ".0")
+    head = F.regexp_replace(F.regexp_extract(text, "^([^E]+)E", 1), r"\.0$", "")
+    raised = F.concat(head, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    return F.when(power.isNull(), text).when(power.between(-4, 15), plain).otherwise(raised)
+
+
+def _amount_text(amount: Column) -> Column:
+    """The number of an amount as text: won as whole numbers of any length, other currencies as floats."""
+    whole = F.replace(F.regexp_extract(amount["text"], r"^([\d,]+)", 1), F.lit(",")).try_cast("decimal(38,0)").cast("string")
+    return F.when(amount["currency"] == "KRW", F.coalesce(whole, amount["value"].try_cast("decimal(38,0)").cast("string"))).otherwise(_float_text(amount["value"]))
+
+
 def shred(documents: DataFrame) -> DataFrame:
     """(document_id, text, confidence, entities as extract.structured gives them) to EAV rows, list items numbered from 1."""
     e = F.col("entities")
@@ -25,6 +41,7 @@ def shred(documents: DataFrame) -> DataFrame:
         return F.coalesce(F.transform(values, lambda v, i: F.struct(F.concat(F.lit(f"{name}_"), i + 1).alias("field_name"), v.alias("field_value"))), F.array())
 
     won = F.coalesce(F.flatten(F.transform(e["amounts"], lambda a, i: F.array(
+        F.struct(F.concat(F.lit("amounts_"), i + 1, F.lit("_value")).alias("field_name"), _amount_text(a).alias("field_value")),
         F.struct(F.concat(F.lit("amounts_"), i + 1, F.lit("_currency")).alias("field_name"), a["currency"].alias("field_value")),
         F.struct(F.concat(F.lit("amounts_"), i + 1, F.lit("_text")).alias("field_name"), a["text"].alias("field_value")),
     ))), F.array())
@@ -156,7 +173,8 @@ def at_path(document: Column, path: str) -> Column:
 
 
 def result_view(model_jobs: DataFrame) -> DataFrame:
-    """(document_id, job_type, created_at, job_id, result) of a model's jobs to one row per document: the last result of each task, the prefix llm_ taken off."""
+    """(document_id, job_type, status, created_at, completed_at, job_id, result, error_message) of a model's jobs to one row per document: the last job of each task, the prefix llm_ taken off."""
     own = model_jobs.where(F.col("job_type").like("llm\\_%")).withColumn("task", F.regexp_replace("job_type", "^llm_", ""))
-    last = own.groupBy("document_id", "task").agg(F.max_by("result", F.struct("created_at", "job_id")).alias("result"))
-    return last.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "result")))).alias("results"))
+    job = F.struct("job_id", "status", "created_at", "completed_at", "result", "error_message")
+    last = own.groupBy("document_id", "task").agg(F.max_by(job, F.struct("created_at", "job_id")).alias("job"))
+    return last.groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("task", "job")))).alias("results"))

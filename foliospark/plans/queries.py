@@ -143,9 +143,7 @@ def map_schema(spark, d):
 u AS (SELECT document_id, unnest(range(1, len(p) + 1)) AS item, unnest(p) AS v, 'personal_info_phones_' AS n FROM t UNION ALL SELECT document_id, unnest(range(1, len(e) + 1)), unnest(e), 'personal_info_emails_' FROM t)
 SELECT document_id, n || item AS field_name, v AS field_value FROM u UNION ALL SELECT document_id, 'full_text', md5(text) FROM t WHERE text IS NOT NULL""")
 def eav_shred(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.lit(0.9).alias("confidence"), F.struct(
-        F.lit(None).cast("string").alias("name"), extract.phones(F.col("text"), False).alias("phones"), extract.emails(F.col("text")).alias("emails"), F.lit(None).cast("string").alias("address"),
-        F.array().cast("array<string>").alias("dates"), F.array().cast("array<struct<value:double,currency:string,text:string>>").alias("amounts")).alias("entities"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text", F.lit(0.9).alias("confidence"), extract.structured(F.col("text"), False).alias("entities"))
     out = eav.shred(docs)
     return out.select("document_id", "field_name", F.when(F.col("field_name") == "full_text", F.md5("field_value")).otherwise(F.col("field_value")).alias("field_value"))
 
@@ -395,4 +393,5 @@ def new_users(spark, d):
 @query("""SELECT user_id AS document_id, string_agg(event_type || '=' || r, ',' ORDER BY event_type) AS results FROM (SELECT user_id, event_type, arg_max(event_id, (ts, event_id))::VARCHAR AS r FROM events GROUP BY ALL) GROUP BY user_id""")
 def result_view(spark, d):
     made = I.job_events(spark, d).withColumn("job_type", F.concat(F.lit("llm_"), "job_type")).withColumn("result", F.col("job_id").cast("string"))
-    return eav.result_view(made).select("document_id", F.array_join(F.transform(F.map_entries("results"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("results"))
+    made = made.select("*", F.lit("completed").alias("status"), F.col("created_at").alias("completed_at"), F.lit(None).cast("string").alias("error_message"))
+    return eav.result_view(made).select("document_id", F.array_join(F.transform(F.map_entries("results"), lambda e: F.concat_ws("=", e["key"], e["value"]["result"])), ",").alias("results"))

@@ -62,6 +62,24 @@ def test_shred_and_reassemble(spark):
     assert back["personal_info", "emails", 1] == "a@b.co" and back["amounts", "currency", 1] == "KRW" and back["dates", None, 1] == "2025년 01월 02일"
 
 
+def test_amounts_keep_their_numbers(spark):
+    text = "12,300원 그리고 00012345678901234567890원 그리고 $1,234.5 $ 25000000 $0.00002 $123456789012345678"
+    docs = spark.createDataFrame([(1, text, 0.5)], "document_id long, text string, confidence double")
+    rows = eav.shred(docs.withColumn("entities", extract.structured(F.col("text"), False)))
+    names = {r["field_name"]: r["field_value"] for r in rows.collect()}
+    want = [str(12300), str(12345678901234567890), str(1234.5), str(25000000.0), str(0.00002), str(123456789012345678.0)]
+    assert [names[f"amounts_{i}_value"] for i in range(1, 7)] == want
+    back = {(r["category"], r["field"], r["item"]): r["value"] for r in eav.reassemble(rows).collect()}
+    assert back["amounts", "value", 3] == "1234.5"
+
+
+def test_result_view_keeps_all_members(spark):
+    jobs_ = [(1, "llm_summary", "completed", 1, 2, 10, "old", None), (1, "llm_summary", "failed", 3, None, 11, None, "broke"), (1, "ocr", "completed", 4, 5, 12, "x", None)]
+    df = spark.createDataFrame(jobs_, "document_id long, job_type string, status string, created_at long, completed_at long, job_id long, result string, error_message string")
+    results = eav.result_view(df).first()["results"]
+    assert {k: v.asDict() for k, v in results.items()} == {"summary": {"job_id": 11, "status": "failed", "created_at": 3, "completed_at": None, "result": None, "error_message": "broke"}}
+
+
 def test_replies(spark):
     rows = [(1, "summary", "s"), (2, "classification", " c "), (3, "extraction", '{"a": 1, "b": "x", "c": [1]}'), (4, "qa", "q")]
     got = {(r[0], r[1], r[2]) for r in eav.shred_reply(spark.createDataFrame(rows, "document_id long, task string, reply string")).collect()}
