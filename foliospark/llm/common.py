@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this package: blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Values that a hash is folded to before it is held against a threshold.
+_HASHES = 1 << 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of this machine in local mode and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or "/tmp/checkpoints").rstrip("/")
+    if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
@@ -34,15 +39,20 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a table made by stored()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by stored(), when nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def narrow_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with the session's batches for Python functions held to so many rows: whole texts are wide, and a worker holds a few copies of a batch."""
+    """df, with the session's batches for Python functions held to so many rows: whole texts are wide, and a worker holds a few copies of a batch.
+
+    Spark reads the setting when a plan runs, which is after this package has returned it, so it stays lowered for the
+    session; a lower one of the user's is kept.
+    """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
@@ -59,15 +69,30 @@ def n_words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def bounded_sample(df: DataFrame, group: str, order: str, most: int) -> DataFrame:
+def bounded_sample(df: DataFrame, group: str, order: str, most: int, most_groups: int = 1000) -> DataFrame:
     """The rows of each group with the most smallest values of order, a hash: most rows a group at most, chosen alike on every run.
 
-    Group sizes are counted first and only rows under a hash threshold, four times most a group on average, are
-    sorted. The join with the sizes may still deal all rows by group, so one task can read a large group. Rows equal
-    in all columns count once.
+    Rows equal in all columns count once, and the bound is measured on distinct hashes, so a group of many copies of
+    few rows keeps them all. Each group's number of hashes is estimated where the rows lie; a threshold of about eight
+    times most hashes then thins the rows before any of them is moved, so no task reads a large group. A threshold
+    that leaves a group fewer than most of its hashes (by the estimate's error) is lifted for that group. Groups are
+    the classes that a model learns: more than most_groups raise. Rows with a null group or order are left out.
     """
-    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__size"))
-    joined = df.join(sizes, F.col(group) == F.col("__group"))
-    low = joined.where(F.pmod(F.col(order), F.lit(1 << 20)).cast("double") * F.col("__size") < F.lit(4.0 * most * (1 << 20)))
-    numbered = low.drop("__group", "__size").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.col(order), F.lit(1 << 20)), order)))
+    place = F.pmod(F.col(order), F.lit(_HASHES))
+    rows = df.where(F.col(group).isNotNull() & F.col(order).isNotNull())
+    found = rows.groupBy(group).agg(F.approx_count_distinct(order).alias("n")).limit(most_groups + 1).collect()
+    if len(found) > most_groups:
+        raise ValueError(f"more than {most_groups} groups in {group}")
+    if not found:
+        return rows
+    below = {r[0]: min(_HASHES, int(_HASHES * 8 * most / max(1, r["n"]))) for r in found}
+
+    def thinned(limits: dict) -> DataFrame:
+        limit = F.coalesce(*[F.when(F.col(group) == g, F.lit(n)) for g, n in limits.items()])
+        return rows.where(place < limit)
+
+    if any(n < _HASHES for n in below.values()):
+        left = {r[0]: r["n"] for r in thinned(below).groupBy(group).agg(F.count_distinct(order).alias("n")).collect()}
+        below = {g: n if left.get(g, 0) >= most else _HASHES for g, n in below.items()}
+    numbered = thinned(below).distinct().withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(place, *df.columns)))
     return numbered.where(F.col("__n") <= most).drop("__n")

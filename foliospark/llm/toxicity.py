@@ -21,10 +21,10 @@ from foliospark.llm.langid import plain
 #: Words of a window, words between the beginnings of two windows.
 WINDOW, STRIDE = 24, 12
 #: Lengths of character n-grams in bytes, slots of each embedding table, size of an embedding and of a state.
-GRAMS, SLOTS, WIDTH, STATE = (4, 6, 7), 1 << 13, 8, 8
-#: Rows of each class that the network is fitted on, at most.
-SAMPLE_ROWS = 1200
-#: One clean text in so many gives another that repeats one of its words, so that stuttering alone means nothing.
+GRAMS, SLOTS, WIDTH, STATE = (3, 4, 5), 1 << 13, 8, 8
+#: Rows of each class that the network is fitted on, at most; characters of a text that it may learn from.
+SAMPLE_ROWS, SAMPLE_CHARS = 1200, 50_000
+#: One clean text in so many gives another that repeats one of its words: such a window is unlike any of real text, so that without clean examples its score is chance.
 REPEATED = 4
 #: Bytes of text whose windows are computed together; longer texts are cut between words, a window's words repeated.
 BATCH_BYTES = 1 << 18
@@ -115,8 +115,7 @@ def fresh_weights(seed: int) -> dict[str, np.ndarray]:
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
     w = {"word": normal(SLOTS, WIDTH, scale=0.05), "gram": normal(SLOTS, WIDTH, scale=0.05)}
-    for side in ("f", "b"):
-        w |= {f"in_{side}": normal(WIDTH, 3 * STATE, scale=0.6), f"bias_{side}": np.zeros(3 * STATE, np.float32), f"rec_{side}": normal(STATE, 3 * STATE, scale=0.3)}
+    w |= {"in": normal(2, WIDTH, 3 * STATE, scale=0.6), "bias": np.zeros((2, 1, 3 * STATE), np.float32), "rec": normal(2, STATE, 3 * STATE, scale=0.3)}
     w |= {"att": normal(2 * STATE, STATE, scale=0.4), "att_bias": np.zeros(STATE, np.float32), "att_out": normal(STATE, scale=0.4)}
     return w | {"out": normal(2 * STATE, scale=0.4), "out_bias": np.zeros(1, np.float32)}
 
@@ -148,28 +147,26 @@ def logits(w: dict, words: Words, starts: np.ndarray, lengths: np.ndarray, block
 
 
 def forward(w: dict, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool = False):
-    """Logit of each window over the embedded words x; keep: with what backward() needs."""
+    """Logit of each window over the embedded words x; keep: with what backward() needs. Both directions run side by side."""
     index = starts[:, None] + np.minimum(np.arange(WINDOW), lengths[:, None] - 1)
     there = (np.arange(WINDOW) < lengths[:, None]).astype(np.float32)
-    full = bool(there.all())
+    full, side = bool(there.all()), np.arange(2)[:, None]
+    order, mask = np.stack((index, index[:, ::-1])), np.stack((there, there[:, ::-1]))[..., None]
     states = np.empty((WINDOW, len(starts), 2 * STATE), np.float32)
-    saved: dict = {"index": index, "there": there, "x": x}
-    for side, steps in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
-        gates = x @ w[f"in_{side}"] + w[f"bias_{side}"]
-        h, part = np.zeros((len(starts), STATE), np.float32), slice(0, STATE) if side == "f" else slice(STATE, None)
-        trace = []
-        for t in steps:
-            g, r = gates[index[:, t]], h @ w[f"rec_{side}"]
-            zr = _sigmoid(g[:, : 2 * STATE] + r[:, : 2 * STATE])
-            z, reset = zr[:, :STATE], zr[:, STATE:]
-            new = np.tanh(g[:, 2 * STATE :] + reset * r[:, 2 * STATE :])
-            after = new + z * (h - new)
-            if not full:
-                after = np.where(there[:, t, None] > 0, after, h)
-            if keep:
-                trace.append((t, h, z, reset, new, r[:, 2 * STATE :]))
-            states[t, :, part] = h = after
-        saved[side] = trace
+    gates, h, trace = x @ w["in"] + w["bias"], np.zeros((2, len(starts), STATE), np.float32), []
+    for t in range(WINDOW):
+        g, r = gates[side, order[:, :, t]], h @ w["rec"]
+        zr = _sigmoid(g[..., : 2 * STATE] + r[..., : 2 * STATE])
+        z, reset = zr[..., :STATE], zr[..., STATE:]
+        new = np.tanh(g[..., 2 * STATE :] + reset * r[..., 2 * STATE :])
+        after = new + z * (h - new)
+        if not full:
+            after = np.where(mask[:, :, t] > 0, after, h)
+        if keep:
+            trace.append((h, z, reset, new, r[..., 2 * STATE :]))
+        h = after
+        states[t, :, :STATE], states[WINDOW - 1 - t, :, STATE:] = h[0], h[1]
+    saved = {"order": order, "mask": mask, "x": x, "trace": trace}
     hidden = np.tanh(states @ w["att"] + w["att_bias"])
     weight = hidden @ w["att_out"]
     if not full:
@@ -192,30 +189,32 @@ def backward(w: dict, words: Words, seen: np.ndarray, s: dict, d_logit: np.ndarr
     d_hidden = d_score[:, :, None] * w["att_out"] * (1 - s["hidden"] ** 2)
     g["att"], g["att_bias"] = np.einsum("tbh,tba->ha", s["states"], d_hidden), d_hidden.sum(axis=(0, 1))
     d_states += d_hidden @ w["att"].T
-    d_x = np.zeros_like(s["x"])
-    for side in ("f", "b"):
-        part, carry = slice(0, STATE) if side == "f" else slice(STATE, None), 0
-        for t, h, z, reset, new, rec in reversed(s[side]):
-            d_h = d_states[t, :, part] + carry
-            there = s["there"][:, t, None]
-            skipped, d_h = d_h * (1 - there), d_h * there
-            d_new = d_h * (1 - z) * (1 - new**2)
-            d_z = d_h * (h - new) * z * (1 - z)
-            d_r = d_new * rec * reset * (1 - reset)
-            d_gate = np.concatenate((d_z, d_r, d_new), axis=1)
-            d_rec = np.concatenate((d_z, d_r, d_new * reset), axis=1)
-            g[f"rec_{side}"] += h.T @ d_rec
-            carry = d_h * z + d_rec @ w[f"rec_{side}"].T + skipped
-            at = s["index"][:, t]
-            g[f"in_{side}"] += s["x"][at].T @ d_gate
-            g[f"bias_{side}"] += d_gate.sum(axis=0)
-            np.add.at(d_x, at, d_gate @ w[f"in_{side}"].T)
-    np.add.at(g["word"], words.word, d_x * seen[:, None])
+    d_gates, carry, side = np.zeros((2, len(s["x"]), 3 * STATE), np.float32), 0, np.arange(2)[:, None]
+    for t in range(WINDOW - 1, -1, -1):
+        h, z, reset, new, rec = s["trace"][t]
+        d_h = np.stack((d_states[t, :, :STATE], d_states[WINDOW - 1 - t, :, STATE:])) + carry
+        there = s["mask"][:, :, t]
+        skipped, d_h = d_h * (1 - there), d_h * there
+        d_new = d_h * (1 - z) * (1 - new**2)
+        d_z = d_h * (h - new) * z * (1 - z)
+        d_r = d_new * rec * reset * (1 - reset)
+        d_rec = np.concatenate((d_z, d_r, d_new * reset), axis=2)
+        g["rec"] += h.transpose(0, 2, 1) @ d_rec
+        carry = d_h * z + d_rec @ w["rec"].transpose(0, 2, 1) + skipped
+        d_gates[side, s["order"][:, :, t]] += np.concatenate((d_z, d_r, d_new), axis=2)  # at one step no two windows meet a word
+    g["in"], g["bias"] = s["x"].T @ d_gates, d_gates.sum(axis=1, keepdims=True)
+    d_x = (d_gates @ w["in"].transpose(0, 2, 1)).sum(axis=0)
     count = np.diff(words.first_gram)
-    np.add.at(g["gram"], words.gram, np.repeat(d_x / count[:, None], count, axis=0))
+    g["word"] = _summed(words.word, d_x * seen[:, None])
+    g["gram"] = _summed(words.gram, np.repeat(d_x / count[:, None], count, axis=0))
     return g
 
 
+def _summed(slots: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows of each slot."""
+    return np.stack([np.bincount(slots, rows[:, i], SLOTS) for i in range(WIDTH)], axis=1)
+
+
 def _chosen(words: Words, starts: np.ndarray, lengths: np.ndarray) -> tuple[Words, np.ndarray]:
     """The words of some windows alone."""
 
@@ -228,13 +227,12 @@ def _chosen(words: Words, starts: np.ndarray, lengths: np.ndarray) -> tuple[Word
     return own, np.cumsum(lengths) - lengths
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_steps: int = 200, steps: int = 300, epochs: int = 6, batch: int = 128, rate: float = 0.01, blind: float = 0.3) -> dict[str, np.ndarray]:
+def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_steps: int = 100, steps: int = 100, epochs: int = 2, batch: int = 128, rate: float = 0.01, blind: float = 0.3) -> dict[str, np.ndarray]:
     """Weights fitted to whole labelled texts.
 
     First every text gives two windows at random; then, epoch by epoch, its worst window by the network so far (and,
     for clean texts, one more at random). Few texts make more epochs, so that the number of steps stays about the
-    same. Classes weigh the same; a share of the words (blind) shows its characters alone. Without both classes the
-    network stays as made.
+    same. A share of the words (blind) shows its characters alone. Without both classes the network stays as made.
     """
     rng, w = np.random.default_rng(seed), fresh_weights(seed)
     texts, labels = [plain(x or "") for x in texts], list(labels)
@@ -247,7 +245,6 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_steps:
     label = np.asarray(labels, np.float32)
     if len(set(labels)) < 2 or not len(starts):
         return w
-    share = float(np.clip(label.mean(), 0.05, 0.95))
     first = np.searchsorted(owner, np.arange(len(label)))
     n = np.bincount(owner, minlength=len(label))
     some = np.flatnonzero(n)
@@ -269,7 +266,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 3, warm_steps:
             y = label[owner[rows]]
             seen = (rng.random(len(own.word)) >= blind).astype(np.float32)
             logit, saved = forward(w, embedded(w, own, seen), at, lengths[rows], keep=True)
-            gradient = backward(w, own, seen, saved, ((_sigmoid(logit) - y) * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(rows)).astype(np.float32))
+            gradient = backward(w, own, seen, saved, ((_sigmoid(logit) - y) / len(rows)).astype(np.float32))
             step += 1
             for k, (m, v) in moments.items():
                 d = gradient[k] + np.float32(1e-4) * w[k] * (k in ("word", "gram"))
@@ -324,16 +321,19 @@ def scores(w: dict, texts: Iterator[str | None]) -> np.ndarray:
     return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-best.astype(np.float64))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> list:
-    """(text, toxic) of at most sample_rows labelled documents a class, drawn by a seeded hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, seed: int = 11) -> list:
+    """(doc_id, text, toxic) of at most sample_rows labelled documents a class, drawn by a seeded hash of the id.
 
-    Labels join on doc_id; rows with a null id, text or label teach nothing.
+    Labels join on doc_id. Rows with a null id, text or label and texts of more than sample_chars characters teach
+    nothing; of several texts of one id the one with the least hash does, and an id with both labels counts in both
+    classes. So at most 2 * sample_rows rows reach the driver, the same ones on every run.
     """
     order = F.xxhash64(F.lit(seed), "doc_id")
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic", order.alias("order"))
     known = bounded_sample(known, "toxic", "order", sample_rows).drop("order")
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic").limit(4 * sample_rows).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["toxic"]))
+    texts = docs.where(F.length("text") <= sample_chars).select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")).collect()
+    return sorted(rows, key=lambda r: (r["doc_id"], r["toxic"]))
 
 
 def toxicity(text: Column, weights: dict[str, np.ndarray]) -> Column:

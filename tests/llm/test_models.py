@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
 from foliospark.llm import langid, licenses, pieces, secret_scan, topk, toxicity
+from foliospark.llm.common import bounded_sample
 from foliospark.llm.license_texts import TEMPLATES
 
 SYLLABLES = {"aa": "ka lo mi tu re".split(), "bb": "sch enk ölt urg ist".split(), "cc": "qui eau oir ent ais".split()}
@@ -34,6 +35,29 @@ def test_language_held_out_accuracy(spark):
     assert langid.identify(df.limit(0), df).count() == 0
 
 
+def test_groups_of_copies_are_learned(spark):
+    """Many copies of few texts keep their language; copies count once."""
+    rng = random.Random(2)
+    few, many = [made_text("aa", rng, 20) for _ in range(3)], [made_text("bb", rng, 20) for _ in range(3000)]
+    df = spark.createDataFrame([(i, few[i % 3], "aa") for i in range(30_000)] + [(i, t, "bb") for i, t in enumerate(many)] + [(0, "x", None)], "doc_id long, text string, lang string")
+    found = langid.training_passages(df, sample_docs=50)
+    assert sorted(found) == ["aa", "bb"] and all(langid.plain(t).strip() in found["aa"] for t in few) and len(found["aa"]) < 4 * len(langid.plain(few[0]))
+    rows = df.where("lang is not null").withColumn("h", F.xxhash64("text"))
+    taken = bounded_sample(rows.select("lang", "text", "h"), "lang", "h", 50).collect()
+    assert sorted(Counter(r["lang"] for r in taken).items()) == [("aa", 3), ("bb", 50)]
+    again = bounded_sample(rows.select("lang", "text", "h").repartition(7), "lang", "h", 50).collect()
+    assert sorted(taken) == sorted(again)
+    with pytest.raises(ValueError):
+        bounded_sample(rows.select("lang", "text", "h"), "text", "h", 50, most_groups=10)
+
+
+def test_training_rows(spark):
+    docs = spark.createDataFrame([(1, "b", 0), (1, "a", 0), (1, "a", 0), (2, None, 0), (3, "x" * 30, 0), (4, "y", 0), (None, "z", 0)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1), (None, 1), (9, 0), (4, None)], "doc_id long, toxic int")
+    got = [tuple(r[c] for c in ("doc_id", "text", "toxic")) for r in toxicity.training_rows(docs, labels, sample_chars=20)]
+    assert [(i, y) for i, _, y in got] == [(1, 0), (1, 1), (4, 1)] and got[0][1] == got[1][1]
+
+
 def test_gradient():
     texts = [b" one two three ", b" four five six seven " * 9]
     words = toxicity.words_of(texts)
@@ -173,6 +197,38 @@ def test_top_k_is_exact(spark, scale):
     assert len(few) == 2 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("large", [3e6, 5e6])
+def test_top_k_of_large_components(spark, large):
+    """Scores beyond what floats hold (and, at 5e6 * 256, near the end of 64 bits), with ties."""
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-large, large, (300, 4))
+    x[20:30], x[40] = x[10], np.array([large] * 4)
+    df = spark.createDataFrame([(i, v.tolist(), "a", 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, query_id string, score int")
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in enumerate(x.tolist())}
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, 300, 10):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(i, -s) for s, i in want]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e8] * 4), (1, [1.0] * 4)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
+def test_search_in_several_blocks(spark, monkeypatch):
+    """Blocks of vectors and of queries smaller than cells, so that cells and query blocks are split."""
+    for name, n in (("BLOCK", 16), ("QUERIES", 8), ("ANNULUS", 4), ("SAMPLE", 20)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.05, (90, 3)) for c in ([0, 0, 1], [0, 1, 0], [1, 0, 0], [0.6, 0.6, 0])])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(256 * x).astype(int)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 4 == 0).collect()}
+    for q in range(0, 360, 4):
+        want = sorted((-int(whole[q] @ whole[i]), i) for i in range(360) if i != q)[:5]
+        assert [got[q, k] for k in range(1, 6)] == [(i, -s) for s, i in want]
+
+
 def odd_texts():
     rng = random.Random(5)
     letters = "aaeett \n\t  ▁éß你🙂ABC.,'0123 thinger"
