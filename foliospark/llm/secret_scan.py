@@ -1,148 +1,197 @@
 """Secret scan with a random forest that removes false positives; DataFrame functions only.
 
-Candidates are all long runs of key-like characters with a digit, whatever stands around them in a word, any values
-after a secret's name, and passwords in URLs. Their features go through a forest that
-is trained from labelled findings by Spark's own learner and then written out as one column expression, so a scan is
-a plain projection.
+One pass of a linear pattern marks every candidate of a whole text: passwords in URLs, values after a secret's name, and
+long runs of key-like characters with a digit, any number in a word and whatever stands around them. A candidate is
+described by its length, its character transitions, how much of it a dictionary covers, the path it was found in and the
+words next to it; transitions and words weigh what labelled findings teach. The forest is trained by Spark's own learner
+and written out as one column expression, so a scan is a plain projection.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+import zlib
+from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import drop_stored, stored
+from foliospark.llm.findings import labelled_findings
+
 _NAMES = "pass|pwd|secret|token|api|auth|cred|bearer|private|signing|access"
-_SIGN = r"""[\"']?(?:=>|:=|=|:)[\"']?"""
-#: The forms of a candidate within a word: a password in a URL, a value of any characters after a secret's name, a run of key-like characters with a digit after any name or none.
-_URL = r"[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@]*+:([^\s/@]{6,}+)@"
-_NAMED = rf"""((?=[A-Za-z0-9_.-]*?(?i:{_NAMES}))[A-Za-z0-9_.-]++){_SIGN}((?!//)[^\s\"'<>,;&(){{}}\[\]]{{5,}}[^\s\"'<>,;&(){{}}\[\].!?:])"""
-_RUN = rf"""(?:([A-Za-z_.-][A-Za-z0-9_.-]*+){_SIGN})?((?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{{11,}}[A-Za-z0-9+/_-](?![A-Za-z0-9+/_-])(?:={{1,2}}+(?![A-Za-z0-9\"'])|(?!=)))"""
-CANDIDATE = rf"(?<![A-Za-z0-9_.-])(?:{_URL}|{_NAMED}|{_RUN})"
-#: Whether a text holds any; only those texts are cut into words.
-ANYWHERE = (
-    r"(?:^|[^A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]*[0-9])[A-Za-z0-9+/_.-]{12}"
-    rf"|(?i:{_NAMES})[A-Za-z0-9_.-]*+[\"']?\s*+(?:=|:)|://[^\s:/@]*+:[^\s/@]{{6,}}+@"
+_BLANK = r"[\s\p{Z}]"
+_SIGN = rf"""{_BLANK}{{0,3}}+[\"']?{_BLANK}{{0,3}}+(?:=>|:=|=|:){_BLANK}{{0,3}}+[\"'`]?"""
+#: The forms of a candidate: what comes before it, and itself. All quantifiers are possessive or bounded, so the pattern is linear.
+_URL = r"(://[^\s:/@]*+:)([^\s/@]{6,}+)(?=@)"
+_NAMED = (
+    r"((?<![\p{L}\p{N}_.-])(?:"
+    rf"(?=[A-Za-z0-9_.-]++{_SIGN})(?=[A-Za-z0-9_.-]*?(?i:{_NAMES}))[A-Za-z0-9_.-]++{_SIGN}|(?i:bearer){_BLANK}{{1,3}}+))"
+    r"""((?!//|(?i:bearer|basic)[\s\p{Z}])[^\s\p{Z}\"'`<>,;&|(){}\[\]]{6,}+)"""
 )
-#: A word that is a secret's name and nothing else but marks.
-SECRET_NAME_WORD = rf"""^[\"'(\[{{<]*(?=[A-Za-z0-9_.-]*?(?i:{_NAMES}))[A-Za-z0-9_.-]++[\"']?"""
-#: Words that secrets stand by, words that harmless values stand by, prefixes that issuers give.
-SECRET_NAMES = f"(?i){_NAMES}"
-PLAIN_NAMES = r"(?i)commit|sha|md5|checksum|digest|hash|uuid|guid|etag|version|revision|order|invoice|isbn|card|serial|build|phone|file|path|id$"
+_RUN = r"((?<![\p{L}\p{N}+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{12,}+(?:={1,2}(?![A-Za-z0-9\"']))?)"
+CANDIDATE = f"{_URL}|{_NAMED}|{_RUN}"
+#: Characters that Unicode keeps out of texts; they mark where a candidate begins and ends.
+_OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufffd"
+#: Least length of a candidate, characters next to it that are looked at.
+LEAST, NEAR = 6, 100
+#: Words that secrets stand by, words that harmless values stand by, prefixes that issuers give, paths of code that is no product.
+SECRET_NAMES = f"(?i)(?:{_NAMES})"
+PLAIN_NAMES = r"(?i)commit|sha\d|md5|checksum|digest|hash|uuid|guid|etag|version|revision|order|invoice|isbn|card|serial|build|phone|file|path|(?:^|_)id$"
 ISSUERS = r"^(AKIA|ASIA)[A-Z2-7]{16}$|^gh[pousr]_|^sk[-_](live|test|proj)|^xox[abprs]-|^AIza|^glpat-|^eyJ"
-#: Words whose presence makes a value look written by hand.
-WORDS = (
-    "example", "sample", "dummy", "test", "fake", "your", "here", "change", "insert", "replace", "placeholder", "secret", "password", "token",
-    "key", "user", "name", "value", "file", "path", "build", "version", "release", "config", "default", "index", "main", "module", "number",
-    "case", "output", "image", "data", "model", "xxxx", "0000", "1234", "abcd",
+PLAIN_PATHS = r"(?i)(?:^|[/_.-])(?:tests?|spec|examples?|samples?|mocks?|fixtures?|docs?|vendor|lock|min)(?:$|[/_.-])"
+FEATURES = (
+    "length", "transitions", "changes", "digits", "upper", "hex", "distinct", "dictionary", "marks", "path", "around_path", "name_words", "near_words", "secret_name", "plain_name", "issuer", "assigned",
 )
-FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "path", "around_path", "secret_name", "plain_name", "issuer", "assigned")
 #: Trees, their depth, and the share of votes that confirms a candidate.
-TREES, DEPTH, CONFIRM = 12, 5, 0.5
+TREES, DEPTH, CONFIRM = 16, 6, 0.5
+#: Where the dictionary's words come from by default: a public vocabulary. Bits of a dictionary's slot, slots of neighbouring words.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+DICTIONARY_BITS, WORD_SLOTS = 19, 1024
+#: Characters of a transition: small letters, digits, and one place each for capitals, + / = and other marks.
+_KINDS = 40
+
+
+@dataclass
+class Model:
+    """What a scan needs: bounded by the constants above."""
+
+    trees: list
+    transitions: bytes  # of each pair of kinds, how much more common it is in secrets, as a level
+    words: bytes  # of each slot of neighbouring words, the same
+    dictionary: bytes  # one byte a slot, 1 where a word has it
+
+
+def dictionary_of(words: list[str]) -> bytes:
+    """Words (small letters) as slots that a scan looks up; some 4 % of other words meet a taken slot with 20,000 words."""
+    slots = bytearray(1 << DICTIONARY_BITS)
+    for word in words:
+        slots[_slot_of(word)] = 1
+    return bytes(slots)
+
+
+def _slot_of(word: str) -> int:
+    return zlib.crc32(word.encode()) >> (32 - DICTIONARY_BITS)
+
+
+def vocabulary_words(path: str = VOCABULARY) -> list[str]:
+    """Whole words of at least four letters in a tokenizer's vocabulary; the file is one of bounded size, read on the driver."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    return sorted({w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>") and len(w) >= 8 and w.removesuffix("</w>").isalpha() and w.isascii()})
 
 
 def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
-def found_in(word: Column, before: Column, earlier: Column) -> Column:
-    """All candidates of a word, with their names; a secret's name that stands before the word counts as part of it."""
-    name = F.when(before.isin("=", ":", "=>", ":=") & earlier.rlike(SECRET_NAME_WORD + "$"), F.concat(earlier, F.lit("="))).when(before.rlike(SECRET_NAME_WORD + "(?:=>|:=|=|:)$"), before)
-    return F.regexp_extract_all(F.concat(F.coalesce(name, F.lit("")), word), F.lit(CANDIDATE), F.lit(0))
+def _flag(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("double")
+
+
+def kinds(value: Column) -> Column:
+    """Kind of each character, as one character each: a-z and 0-9 are themselves, capitals A, + and / their own, other marks one."""
+    return F.regexp_replace(F.regexp_replace(value, r"[A-Z]", "A"), r"[^a-z0-9A+/]", "-")
+
+
+def transitions(value: Column) -> Column:
+    """Numbers of all transitions of a value of two characters or more."""
+    order = F.lit("abcdefghijklmnopqrstuvwxyz0123456789A+/-")
+    places = F.transform(F.split(kinds(value), ""), lambda c: F.instr(order, c) - 1)
+    return F.zip_with(F.slice(places, 1, F.length(value) - 1), F.slice(places, 2, F.length(value) - 1), lambda a, b: a * _KINDS + b)
+
+
+def name_of(left: Column) -> Column:
+    """The word before a sign of assignment, else the last word of what stands before a candidate."""
+    return F.regexp_extract(left, rf"([\p{{L}}\p{{N}}_.-]*+){_BLANK}{{0,3}}[\"']?{_BLANK}{{0,3}}(?:=>|:=|=|:)?{_BLANK}{{0,3}}[\"'`(\[{{<]?$", 1)
+
+
+def word_slots(text: Column) -> Column:
+    """Slots of the words of a text, cut at all but letters."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
+    return F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(WORD_SLOTS)).cast("int"))
+
 
+def level(weight: float) -> int:
+    """A log odd as one byte: sixteenths around 64."""
+    return min(127, max(1, round(weight * 16) + 64))
 
-def features(found: Column, before: Column, earlier: Column, after: Column) -> Column:
-    """Struct of a candidate, its name, and its features; before, earlier and after are the words next to the candidate's."""
 
-    def group(*numbers: int) -> Column:
-        return F.concat(*[F.coalesce(F.regexp_extract(found, CANDIDATE, n), F.lit("")) for n in numbers])
+def _mean(slots: Column, levels: bytes) -> Column:
+    """Mean weight of slots; 0 where there are none."""
 
-    value, own = group(1, 3, 5), F.when(group(1) != "", F.lit("password")).otherwise(group(2, 4))
-    sign = before.isin("=", ":", "=>", ":=")
-    name = F.when(own != "", own).when(sign, earlier).otherwise(before)
-    assigned = (own != "") | sign | before.rlike(r"[=:]$")
-    bare = F.regexp_replace(F.lower(value), "|".join(WORDS), "")
-    near = F.concat_ws(" ", name, F.when(~assigned, earlier), F.when(~assigned, after))
+    def one(i: Column) -> Column:
+        return F.ascii(F.substring(F.lit(levels), i + 1, 1).cast("string"))
 
-    def flag(c: Column) -> Column:
-        return F.coalesce(c, F.lit(False)).cast("double")
+    return F.when(F.size(slots) > 0, (F.aggregate(slots, F.lit(0), lambda a, i: a + one(i)) / F.size(slots) - 64) / 16).otherwise(0.0)
 
+
+def features(value: Column, left: Column, right: Column, path: Column, model: Model) -> Column:
+    """Struct of a candidate's name and features."""
+    name = name_of(left)
+    assigned = left.rlike(rf"(?:=>|:=|=|:){_BLANK}{{0,3}}[\"'`]?$") | left.rlike(rf"(?i)bearer{_BLANK}+$")
+    words = F.regexp_extract_all(value, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))
+    known = F.filter(words, lambda w: F.substring(F.lit(model.dictionary), F.shiftright(F.crc32(F.lower(w).cast("binary")), 32 - DICTIONARY_BITS).cast("int") + 1, 1) == F.lit(b"\x01"))
+    near = F.concat_ws(" ", left, right)
     columns = {
         "length": F.length(value).cast("double"),
-        "transitions": _share(value, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"),
+        "transitions": _mean(transitions(value), model.transitions),
+        "changes": _share(value, r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"),
         "digits": _share(value, "[0-9]"),
         "upper": _share(value, "[A-Z]"),
-        "hex": flag(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]")),
+        "hex": _flag(value.rlike("^[0-9a-f]+$") & value.rlike("[a-f]")),
         "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
-        "dictionary": 1 - F.length(bare) / F.length(value),
-        "path": _share(value, r"[/.]"),
-        "around_path": flag(F.concat_ws(" ", earlier, before, after).rlike(r"[\w.-]/[\w.-]|://")),
-        "secret_name": flag(near.rlike(SECRET_NAMES)),
-        "plain_name": flag(near.rlike(PLAIN_NAMES)),
-        "issuer": flag(value.rlike(ISSUERS)),
-        "assigned": flag(assigned),
+        "dictionary": F.aggregate(known, F.lit(0), lambda a, w: a + F.length(w)) / F.length(value),
+        "marks": _share(value, r"[/._-]"),
+        "path": _flag(path.rlike(PLAIN_PATHS)),
+        "around_path": _flag(near.rlike(r"[\w.-]/[\w.-]|://")),
+        "name_words": _mean(word_slots(name), model.words),
+        "near_words": _mean(word_slots(near), model.words),
+        "secret_name": _flag(name.rlike(SECRET_NAMES)),
+        "plain_name": _flag(name.rlike(PLAIN_NAMES)),
+        "issuer": _flag(value.rlike(ISSUERS)),
+        "assigned": _flag(assigned),
     }
-    return F.struct(value.alias("value"), name.alias("name"), *[c.alias(n) for n, c in columns.items()])
-
-
-def labelled_findings(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """n findings (earlier, before, word, after, label) drawn by rule: a third real secrets of several kinds, the rest look-alikes."""
-    hash_ = F.sha1(F.col("id").cast("string").cast("binary"))
-    other = F.sha1(F.concat(F.lit("b"), F.col("id").cast("string")).cast("binary"))
-    upper = F.translate(F.upper(F.substring(hash_, 1, 16)), "0189", "GKQZ")
-    mixed = F.substring(F.regexp_replace(F.base64(F.unhex(F.concat(hash_, other))), "[+/=]", "x"), 1, 32)
-    pick = F.pmod(F.xxhash64("id"), F.lit(997))
-
-    def one(*words: str) -> Column:
-        return F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(pick, F.lit(len(words))) + 1).cast("int"))
-
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    prose = one("the", "of", "and", "see", "with", "in", "que", "der", "hand", "eran")
-    secret = one("token", "api_key", "secret", "auth_token", "access_key", "client_secret", "password")
-    plain_name = one("commit", "sha1", "checksum", "etag", "revision", "digest", "md5", "uuid", "build_id", "version")
-    cases = [
-        (1, prose, prose, F.concat(F.lit("AKIA"), upper)),
-        (1, secret, F.lit("="), quoted(F.substring(F.concat(hash_, other), 1, 40))),
-        (1, prose, prose, F.concat(one("password=", "passwd=", "pwd=", "secret="), F.substring(hash_, 1, 18))),
-        (1, prose, F.concat(secret, F.lit(":")), mixed),
-        (1, prose, one("key", "use", "with"), F.concat(one("ghp_", "sk_live_", "xoxb-", "glpat-"), F.substring(mixed, 1, 28))),
-        (1, prose, prose, F.concat(secret, F.lit("="), F.substring(mixed, 1, 24))),
-        (1, prose, prose, F.concat(secret, F.lit("="), F.substring(mixed, 1, 5), one("!", "#", "$", "@"), F.substring(mixed, 6, 6), one("$", "!", "%"), F.substring(mixed, 12, 4))),
-        (1, prose, F.concat(secret, F.lit(":")), F.substring(F.translate(mixed, "0123456789", "qXvKzWjRgT"), 1, 28)),
-        (0, prose, F.concat(secret, F.lit(":")), one("required", "undefined", "therefore", "optional", "expired", "unlimited", "validation", "necessary", "something", "invalid", "generated", "forbidden")),
-        (0, prose, prose, F.concat(secret, F.lit("="), one("os.environ.get", "request.headers", "self.settings", "process.env.KEY", "config.password", "getpass.getpass", "${PASSWORD}", "$HOME/config", "string", "boolean"))),
-        (0, prose, plain_name, hash_),
-        (0, plain_name, F.lit("="), quoted(hash_)),
-        (0, prose, F.concat(plain_name, F.lit(":")), F.substring(hash_, 1, 32)),
-        (0, prose, prose, F.concat_ws("-", F.substring(hash_, 1, 8), F.substring(hash_, 9, 4), F.substring(hash_, 13, 4), F.substring(hash_, 17, 4), F.substring(hash_, 21, 12))),
-        (0, prose, prose, F.concat(one("build/output/", "src/main/", "/usr/lib/", "data/images/"), one("v1.2.", "file_", "index."), pick.cast("string"), one(".txt", ".json", "/main.py"))),
-        (0, secret, F.lit("="), quoted(F.concat(one("your-api-key-here-", "example_token_", "change_me_", "xxxxxxxxxxxx", "dummy-secret-"), pick.cast("string")))),
-        (0, prose, prose, F.concat(secret, F.lit("="), one("example", "your_", "test_", "placeholder"), one("password_", "token_value_", "key_"), pick.cast("string"))),
-        (0, prose, one("card", "order", "number", "the", "of"), F.concat(F.lit("4"), F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**15)).cast("string"), 15, "7"))),
-        (0, prose, prose, F.concat_ws(".", *[(F.pmod(F.shiftright(F.xxhash64("id"), 8 * i), F.lit(155)) + 100).cast("string") for i in range(4)])),
-        (0, prose, prose, F.concat(one("release-", "version_", "model-number-", "test_case_"), pick.cast("string"), one("-default", "_config", "-main"))),
-        (0, prose, prose, F.concat(F.substring(F.regexp_replace(hash_, "[0-9]", ""), 1, 12), one("tion", "ment", "keit"), F.pmod(pick, F.lit(10)).cast("string"))),
-        (0, prose, F.lit("tel"), F.concat(one("+49-", "+1-", "+33-"), F.lpad(pick.cast("string"), 3, "2"), F.lit("-555-"), F.lpad(pick.cast("string"), 4, "3"))),
-    ]
-    case = F.pmod(F.col("id"), F.lit(len(cases)))
-    rows = F.coalesce(*[F.when(case == i, F.struct(e.alias("earlier"), b.alias("before"), w.alias("word"), prose.alias("after"), F.lit(y).alias("label"))) for i, (y, e, b, w) in enumerate(cases)])
-    return spark.range(0, n, 1, 4).select(rows.alias("r")).select("r.*")
-
-
-def train_forest(findings: DataFrame, seed: int = 1) -> list:
-    """Trees fitted to labelled findings (earlier, before, word, after, label), as nested (feature, threshold, left, right) or votes.
-
-    Words without a candidate and rows without a label teach nothing; of a word with several each does.
+    return F.struct(name.alias("name"), *[c.alias(n) for n, c in columns.items()])
+
+
+def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1) -> Model:
+    """A model fitted to labelled findings (left, value, right, path, label): what stands before and after a value, and where it was found.
+
+    First the log odds of character transitions and of neighbouring words are counted, then the forest is grown on all
+    features. words: those of the dictionary, by default a public vocabulary's. Rows without a value or label teach
+    nothing; null neighbours and paths count as empty.
     """
-    word, before, earlier, after = [F.coalesce(c, F.lit("")) for c in ("word", "before", "earlier", "after")]
-    each = findings.where("label in (0, 1)").select(F.explode(found_in(word, before, earlier)).alias("found"), before.alias("before"), earlier.alias("earlier"), after.alias("after"), "label")
-    rows = each.select(features(*[F.col(c) for c in ("found", "before", "earlier", "after")]).alias("f"), F.col("label").cast("double").alias("label"))
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.select("f.*", "label"))
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
-    return [tree_of(iter(text.splitlines()[1:])) for text in model.toDebugString.split("\n  Tree ")[1:]]
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right", "path")]
+    rows = findings.where("label in (0, 1) and length(value) > 1").select("value", *texts, F.col("label").cast("double").alias("label"))
+    rows = stored(rows, "findings")
+
+    def odds(slots: Column, n: int, least: float) -> bytes:
+        """Log odds of each slot as levels, drawn towards 0 where it is rare."""
+        counts = rows.select("label", F.explode(slots).alias("slot")).groupBy("slot").agg(F.sum("label").alias("yes"), F.count("*").alias("all")).where("slot >= 0").collect()
+        yes, total = sum(r["yes"] for r in counts), sum(r["all"] for r in counts)
+        out = bytearray([level(0)] * n)
+        for r in counts:
+            p, q = (r["yes"] + least) / (yes + n * least / 10), (r["all"] - r["yes"] + least) / (total - yes + n * least / 10)
+            out[r["slot"]] = level(math.log(p / q))
+        return bytes(out)
+
+    model = Model(
+        [],
+        odds(transitions(F.col("value")), _KINDS * _KINDS, 2.0),
+        odds(word_slots(F.concat_ws(" ", "left", "right")), WORD_SLOTS, 5.0),
+        dictionary_of(vocabulary_words() if words is None else words),
+    )
+    table = rows.select(features(*[F.col(c) for c in ("value", "left", "right", "path")], model).alias("f"), "label").select("f.*", "label")
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
+    model.trees = [tree_of(iter(text.splitlines()[1:])) for text in forest.toDebugString.split("\n  Tree ")[1:]]
+    drop_stored(rows)
+    return model
 
 
 def tree_of(lines) -> tuple | float:
@@ -171,47 +220,95 @@ def forest_score(trees: list, f: Column) -> Column:
     return total / len(trees)
 
 
-def with_contexts(docs: DataFrame) -> DataFrame:
-    """docs with __contexts: (word_no, found, earlier, before, after) of every candidate of the whole text; null where there is none."""
-    words = docs.withColumn("__words", F.when(F.col("text").rlike(ANYWHERE), F.split("text", r"\s+")))
+def marked(text: Column) -> Column:
+    """The text cut before and after each candidate: plain, candidate, plain, ...; null without a candidate."""
+    clean = F.translate(text, _OPEN + _CLOSE, _OTHER * 2)
+    signs = F.regexp_replace(clean, CANDIDATE, f"$1$3{_OPEN}$2$4$5{_CLOSE}")
+    return F.when(F.contains(signs, F.lit(_OPEN)), F.split(signs, f"[{_OPEN}{_CLOSE}]", -1))
+
+
+def trimmed(raw: Column) -> Column:
+    """A candidate without the marks that end a sentence."""
+    return F.regexp_replace(raw, r"[.!?:]+$", "")
+
+
+def candidates(parts: Column) -> Column:
+    """Of the parts that marked() gives, each candidate as (nth part, value, left, right)."""
+
+    def part(i: Column) -> Column:
+        return F.coalesce(F.get(parts, i), F.lit(""))
 
-    def at(i: Column) -> Column:
-        return F.coalesce(F.get(F.col("__words"), i), F.lit(""))
+    def one(j: Column) -> Column:
+        i = 2 * j + 1
+        left = F.right(F.concat(F.right(part(i - 2), F.lit(NEAR)), part(i - 1)), F.lit(NEAR))
+        right = F.left(F.concat(part(i + 1), F.left(part(i + 2), F.lit(NEAR))), F.lit(NEAR))
+        return F.struct(i.alias("part"), trimmed(part(i)).alias("value"), left.alias("left"), right.alias("right"))
 
-    def of_word(i: Column) -> Column:
-        return F.transform(found_in(at(i), at(i - 1), at(i - 2)), lambda m: F.struct(i.alias("word_no"), m.alias("found"), at(i - 2).alias("earlier"), at(i - 1).alias("before"), at(i + 1).alias("after")))
+    found = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2).cast("int")), one)
+    return F.filter(found, lambda x: F.length(x["value"]) >= LEAST)
 
-    long_ = F.filter(F.sequence(F.lit(0), F.size("__words") - 1), lambda i: F.length(at(i)) >= 6)
-    context = F.flatten(F.transform(long_, of_word))
-    return words.withColumn("__contexts", F.when(F.col("__words").isNotNull(), context)).drop("__words")
 
+#: Parts that are summed together, so that places cost far less than the square of their number.
+_GROUP = 256
 
-def scan(docs: DataFrame, trees: list) -> DataFrame:
-    """docs (doc_id, text) to one row per candidate: doc_id, word_no, value, name, features, score, is_secret.
 
-    Null and empty texts have no candidate; repeated rows give repeated findings, a null doc_id stays null, other
-    columns are left out, an empty table gives an empty one. word_no counts white-space separated words from 0.
+def _sizes(parts: Column) -> Column:
+    """Characters of each group of parts."""
+    groups = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / _GROUP).cast("int"))
+    return F.transform(groups, lambda g: _total(F.slice(parts, g * _GROUP + 1, F.lit(_GROUP))))
+
+
+def _total(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
+
+
+def _begin(parts: Column, sizes: Column, i: Column) -> Column:
+    """Character at which part i begins."""
+    group = F.floor(i / _GROUP).cast("int")
+    ahead = F.aggregate(F.slice(sizes, F.lit(1), group), F.lit(0), lambda a, n: a + n)
+    return ahead + _total(F.slice(parts, group * _GROUP + 1, i - group * _GROUP))
+
+
+def scan(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
+    """docs (doc_id, text) to one row per candidate: doc_id, begin, end, value, name, features, score, is_secret.
+
+    begin and end are places of characters in the whole text (end past the last); of overlapping candidates the one
+    that begins first counts, of two at one place the URL's before a named one before a run. path: a column that says
+    where the text comes from. Null and empty texts have no candidate; repeated rows give repeated findings, a null
+    doc_id stays null, other columns are left out, an empty table gives an empty one. Time and memory grow with a
+    text's length. The noncharacters U+FDD0 and U+FDD1 in a text count as U+FFFD.
     """
-    # explode_outer: a filter that Spark infers for explode would work out the contexts a second time
-    found = with_contexts(docs.select("doc_id", "text")).select("doc_id", F.explode_outer("__contexts").alias("x")).where("x is not null")
-    found = found.select("doc_id", F.col("x.word_no").alias("word_no"), features(*[F.col(f"x.{c}") for c in ("found", "before", "earlier", "after")]).alias("f"))
-    found = found.select("doc_id", "word_no", "f.*", forest_score(trees, F.col("f")).alias("score"))
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    cut = docs.select("doc_id", where.alias("where"), marked(F.col("text")).alias("parts"))
+    cut = cut.withColumn("sizes", F.when(F.col("parts").isNotNull(), _sizes(F.col("parts"))))
+    placed = F.transform(candidates(F.col("parts")), lambda x: F.struct(_begin(F.col("parts"), F.col("sizes"), x["part"]).alias("begin"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+    # explode_outer: a filter that Spark infers for explode would work out the parts a second time
+    found = cut.select("doc_id", "where", F.explode_outer(F.when(F.col("parts").isNotNull(), placed)).alias("x")).where("x is not null")
+    found = found.select("doc_id", F.col("x.begin").alias("begin"), (F.col("x.begin") + F.length("x.value")).alias("end"), F.col("x.value").alias("value"), features(*[F.col(f"x.{c}") for c in ("value", "left", "right")], F.col("where"), model).alias("f"))
+    found = found.select("doc_id", "begin", "end", "value", "f.*", forest_score(model.trees, F.col("f")).alias("score"))
     return found.withColumn("is_secret", (F.col("score") >= CONFIRM).cast("int"))
 
 
-def redacted(docs: DataFrame, trees: list, sign: str = "[SECRET]") -> DataFrame:
-    """docs with each confirmed secret in text replaced by a sign and n_chars, where there is one, counted anew; all other rows and columns as they are."""
-    marked = with_contexts(docs).withColumn("__features", F.transform("__contexts", lambda x: features(x["found"], x["before"], x["earlier"], x["after"])))
-    values = F.transform(F.filter("__features", lambda f: forest_score(trees, f) >= CONFIRM), lambda f: f["value"])
-    long_first = F.transform(F.sort_array(F.transform(F.array_distinct(values), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
-    text = F.when(F.size(values) > 0, F.aggregate(long_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(sign)))).otherwise(F.col("text"))
-    out = marked.withColumn("__text", text)
+def redacted(docs: DataFrame, model: Model, sign: str = "[SECRET]", path: str | None = None) -> DataFrame:
+    """docs with each confirmed secret in text replaced by a sign, at its own place only, and n_chars, where there is one, counted anew.
+
+    All rows stay, repeated ones too, with all other columns, whatever their names, as they are; null, empty and clean
+    texts are untouched; an empty table gives an empty one. Candidates are those of scan().
+    """
+    where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
+    cut = docs.select(F.struct("*").alias("row"), where.alias("where"), marked(F.col("text")).alias("parts"))
+    judged = F.transform(candidates(F.col("parts")), lambda x: F.struct(x["part"].alias("part"), F.length(x["value"]).alias("n"), features(x["value"], x["left"], x["right"], F.col("where"), model).alias("f")))
+    cut = cut.withColumn("judged", F.when(F.col("parts").isNotNull(), judged))
+    good = F.transform(F.filter("judged", lambda x: forest_score(model.trees, x["f"]) >= CONFIRM), lambda x: F.struct(x["part"].alias("part"), x["n"].alias("n")))
+    cut = cut.select("row", "parts", F.map_from_entries(F.when(F.col("parts").isNotNull(), good)).alias("hits"))
+    pieces = F.transform("parts", lambda p, i: F.when(F.try_element_at(F.col("hits"), i).isNotNull(), F.concat(F.lit(sign), F.substr(p, F.try_element_at(F.col("hits"), i) + 1, F.length(p)))).otherwise(p))
+    text = F.when(F.size("hits") > 0, F.array_join(pieces, "")).otherwise(F.col("row.text"))
+    out = cut.select("row", text.alias("text"), (F.size("hits") > 0).alias("changed"))
+    own = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        changed = F.col("__text").isNotNull() & (F.col("__text") != F.col("text"))
-        out = out.withColumn("n_chars", F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col("__text")).select(*docs.columns)
+        own["n_chars"] = F.when(F.col("changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
-    trees = train_forest(labelled_findings(spark))
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), trees)
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_findings(spark)), path="source")

@@ -9,7 +9,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from foliospark.llm import langid, licenses, pieces, secret_scan, topk, toxicity
+from foliospark.llm import langid, licenses, pieces, topk, toxicity
 from foliospark.llm.common import bounded_sample
 from foliospark.llm.license_texts import TEMPLATES
 
@@ -115,37 +115,6 @@ def test_toxicity_learns(spark):
     assert abs(alone[0] - got[8]["score"]) < 1e-6  # neighbours in a batch don't matter
 
 
-@pytest.fixture(scope="module")
-def trees(spark):
-    return secret_scan.train_forest(secret_scan.labelled_findings(spark, 1500))
-
-
-def test_secrets(spark, trees):
-    key = "AKIA" + "QWERTYUIOP234567"
-    rows = [
-        (1, f'some words token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and {key} here', 9),
-        (2, "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixes build/output/v1.2.3/main.o and 4785380592391139", 9),
-        (3, "password=b7db7aa4a5fcc78305, then password=example_password_12", 9),
-        (4, None, 9), (5, "", 9), (6, "no candidates at all " * 3000, 9), (7, f"{key}", 9), (7, f"{key}", 9), (None, f"x {key}", 9),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    found = secret_scan.scan(df, trees).collect()
-    yes = Counter((r["doc_id"], r["value"]) for r in found if r["is_secret"])
-    assert yes == {(1, "04dbebab91ab85687d33eeaaf9ac699e1188f962"): 1, (1, key): 1, (3, "b7db7aa4a5fcc78305"): 1, (7, key): 2, (None, key): 1}
-    assert {r["doc_id"] for r in found if not r["is_secret"]} == {2, 3}
-    clean = secret_scan.redacted(df.withColumn("n_chars", F.length("text")), trees)
-    assert clean.columns == ["doc_id", "text", "score", "n_chars"]
-    out = {(r["doc_id"], r["text"], r["n_chars"]) for r in clean.collect()}
-    assert (1, 'some words token = "[SECRET]" and [SECRET] here', 47) in out and (2, rows[1][1], len(rows[1][1])) in out and (4, None, None) in out
-    assert secret_scan.scan(df.limit(0), trees).count() == 0
-
-
-def test_secret_scan_runs_no_python(spark, trees):
-    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
-    for plan in (secret_scan.scan(df, trees), secret_scan.redacted(df, trees)):
-        assert "Python" not in plan._jdf.queryExecution().executedPlan().toString().replace("Scan ExistingRDD", "")
-
-
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
@@ -279,32 +248,3 @@ def test_encode_documents(spark):
     assert pieces.encode_documents(df.limit(0)).count() == 0
     broken = spark.createDataFrame([([3 + 0xE4],), ([-1, 10**6],), (None,), ([],)], "ids array<int>")
     assert [r[0] for r in broken.select(pieces.decoded(F.col("ids"), model)).collect()] == ["�", "", None, ""]
-
-
-def test_secrets_within_words(spark, trees):
-    value, issued = "9f8e7d6c5b4a39281706f5e4d3c2b1a0", "AKIA" + "QWERTYUIOP234567"
-    letters, marks = "qWvKzXjRgTbNmPlHsDfYcQaZ", "S3cr3t!pass#2024xyz"
-    texts = {
-        f"see https://api.example.com/v1?api_key={value} there": {value},
-        f"see token={value}&x=y there": {value},
-        f'see {{"user":"bob","api_key":"{value}","n":1}} there': {value},
-        f"see postgres://admin:{value}@db:5432/x there": {value},
-        f"see user=bob;password={value};x=1 there": {value},
-        f"see key={issued},secret={value[::-1]},n=1 there": {issued, value[::-1]},
-        f"see <b>{issued}</b> there": {issued},
-        f"see {'a_very_long_' * 5}api_key={value} there": {value},
-        f"see api_key={letters} there": {letters},
-        f"see password={marks} there": {marks},
-        f"see --password={letters} there": {letters},
-        f'see password = "{marks}" there': {marks},
-        "the password: required, a token=undefined and access:something": set(),
-        "see commit=9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c;file=build/output/v1.2.3/main.o there": set(),
-    }
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).cache()
-    got = {i: set() for i in range(len(texts))}
-    for r in secret_scan.scan(df, trees).where("is_secret = 1").collect():
-        got[r["doc_id"]].add(r["value"])
-    assert got == dict(enumerate(texts.values()))
-    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df, trees).collect()}
-    for i, (text, values) in enumerate(texts.items()):
-        assert not any(v in clean[i] for v in values) and (values or clean[i] == text)
