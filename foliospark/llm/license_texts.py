@@ -1,14 +1,57 @@
-"""Texts of common open licences and their notices."""
+"""Texts of common open licences and the notices that name them."""
 
+#: Words that tell licences of one family apart, besides single digits.
+TELLING = (
+    "nc", "sa", "nd", "noncommercial", "sharealike", "noderivatives", "noderivs", "lesser", "library", "affero", "zero", "v1", "v2", "v3", "11", "mit", "apache", "mozilla", "eclipse", "bsd", "isc", "boost", "artistic", "unlicense", "zlib",
+)
+#: Licences as people name them in a notice.
+NAMES = [
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache-2.0 License"), ("Apache-1.1", "Apache License, Version 1.1"),
+    ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-3.0", "GNU General Public License, version 3"), ("GPL-2.0", "GPL v2"), ("GPL-3.0", "GPL v3"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("MPL-2.0", "Mozilla Public License, version 2.0"), ("MPL-1.1", "Mozilla Public License, version 1.1"),
+    ("EPL-1.0", "Eclipse Public License, version 1.0"), ("EPL-2.0", "Eclipse Public License, version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"), ("Artistic-2.0", "Artistic License 2.0"), ("Zlib", "zlib License"),
+    ("CC0-1.0", "CC0 1.0 Universal Public Domain Dedication"), ("CC0-1.0", "CC0 1.0"),
+]
+#: The forms of a notice.
+FORMS = ("Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "This project is licensed under the {}.", "Distributed under the terms of the {}.")
+#: Elements of the Creative Commons licences, with the words of their names.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+VERSIONS = ("4.0", "3.0", "2.0")
+
+
+def notices() -> list[tuple[str, str, str]]:
+    """(licence, template, text) of every name in every form."""
+    out = [(code, f"notice-{form.split(' ')[0].lower()}-{n}", form.format(name)) for code, name in NAMES for n, form in enumerate(FORMS)]
+    for element, name in COMMONS.items():
+        for version in VERSIONS:
+            kind = "International" if version == "4.0" else "Unported" if version == "3.0" else "Generic"
+            code = f"CC-{element}-{version}"
+            out += [(code, "notice", f"Licensed under CC {element} {version}."), (code, "notice-work", f"This work is licensed under CC {element} {version}."), (code, "deed", f"This work is licensed under a Creative Commons {name} {version} {kind} License.")]
+    return out
+
+
+_GNU = (
+    "This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later "
+    "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+)
+_REDISTRIBUTION = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NO_ENDORSEMENT = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE '
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+    "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: Public licence wording as (licence, template, text).
-TEMPLATES = [
-    ("MIT", "notice", "Released under the MIT License."),
-    ("MIT", "notice-licensed", "Licensed under the MIT License."),
-    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", "notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+TEXTS = [
+    *[(code, "header", _GNU.format(mark=";" if version[0] == "2" else ":", comma=";" if version[0] == "2" else ",", name=name, version=version)) for code, name, version in (
+        ("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"), ("AGPL-3.0", "Affero General Public License", "3"))],
+    ("BSD-2-Clause", "text", _REDISTRIBUTION + _DISCLAIMER),
+    ("BSD-3-Clause", "text", _REDISTRIBUTION + _NO_ENDORSEMENT + _DISCLAIMER),
     (
         "MIT", "text",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -29,18 +72,6 @@ TEMPLATES = [
         "OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
         "PERFORMANCE OF THIS SOFTWARE.",
     ),
-    (
-        "BSD-2-Clause", "text",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution.",
-    ),
-    (
-        "BSD-3-Clause", "third-clause",
-        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
-        "this software without specific prior written permission.",
-    ),
     (
         "Apache-2.0", "header",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
@@ -48,16 +79,37 @@ TEMPLATES = [
         'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express '
         "or implied. See the License for the specific language governing permissions and limitations under the License.",
     ),
-    (
-        "GPL-3.0", "header",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
-        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
-        "PURPOSE. See the GNU General Public License for more details.",
-    ),
     (
         "MPL-2.0", "header",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    (
+        "Unlicense", "text",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+        "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ),
+    (
+        "Zlib", "text",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+        "any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the "
+        "original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be "
+        "misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0", "text",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and "
+        "transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ),
+    (
+        "EPL-2.0", "header",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    ),
+    (
+        "CC0-1.0", "text",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ),
 ]
+
+TEMPLATES = [*notices(), *TEXTS]
