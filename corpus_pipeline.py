@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard, mixing, pieces, secret_scan, toxicity
-from foliospark.llm.common import fold, narrow_batches, stored
+from foliospark.llm.common import drop_stored, fold, narrow_batches, stored
+from foliospark.llm.findings import labelled_findings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; confirmed secrets in their texts become a sign."""
-    trees = secret_scan.train_forest(secret_scan.labelled_findings(spark))
-    return secret_scan.redacted(docs, trees)
+    return secret_scan.redacted(docs, secret_scan.train(labelled_findings(spark)), path="source")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
