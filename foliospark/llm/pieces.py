@@ -1,17 +1,20 @@
-"""SentencePiece encoding and decoding by a forward pass that distinct words share along their prefixes.
+"""SentencePiece encoding and decoding by a Viterbi forward pass that distinct words share along their prefixes.
 
 A text is cut before each run of blanks into marked words; no piece crosses such a cut. The distinct marked words are
 sorted, which is the depth-first order of their trie, and the forward table of the last word is kept up to the common
-prefix with the next one, so every node of the trie is worked out once.
-
-For a unigram model the table holds the best score of each prefix (Viterbi). The scores of a BPE model are merge ranks,
-whose sum means nothing; there the table holds the one piece with which the merges of a prefix end: the piece that may
-follow the last piece of the shorter prefix without an earlier merge across the seam. Both give what the model's own
-library gives.
+prefix with the next one, so every node of the trie is worked out once. The table holds, for each prefix, the best
+score of any way to cut it into pieces, and the last piece of that way.
+
+A piece adds a score that may depend on the piece before it. In a unigram model it is the piece's own. The scores of a
+BPE model are merge ranks, whose sum means nothing; there a piece adds 0 where the merges leave the seam between the two
+open and minus infinity where an earlier merge closes it. One way alone has no closed seam, so the best score is that
+of the model's own cut, and a prefix is done with as soon as a piece reaches 0. Both give what the model's own library
+gives.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -150,15 +153,39 @@ def _ids(model: PieceModel, piece: str) -> list[int]:
     return [model.byte_ids[b] for b in piece.encode("utf-8", "replace")] if model.byte_ids else [model.unknown]
 
 
+class Alone(dict):
+    """Scores of pieces whatever stands before them."""
+
+    def __missing__(self, piece: str) -> float:
+        return -math.inf
+
+
+class After(dict):
+    """Scores of the pieces that follow one piece of a BPE model, worked out when first asked for."""
+
+    def __init__(self, walk: SharedForward, before: str) -> None:
+        self.walk, self.before = walk, before
+
+    def __missing__(self, piece: str) -> float:
+        model = self.walk.model
+        fits = piece in model.rank and (self.before not in model.rank or may_follow(model, self.before, piece))
+        self.walk.n_follows += 1
+        score = self[piece] = 0.0 if fits else -math.inf
+        return score
+
+
 class SharedForward:
     """Encodes sorted words, keeping the forward table of the common prefix."""
 
     def __init__(self, model: PieceModel) -> None:
-        self.model = model
-        self.follows: dict[str, dict[str, bool]] = {}  # for each piece, which pieces may follow it
+        self.model, self.merges = model, model.kind == "bpe"
+        self.alone = Alone(model.score)
+        self.follows: dict[str, After] = {}  # for each piece of a BPE model, the scores of those that follow
         self.n_follows = 0
         self.ends: dict[str, tuple[int, ...]] = {}
-        self.worst = min(model.score.values(), default=0.0) - 10.0
+        #: No piece adds more, so a way that loses nothing can't be beaten; a character that the model doesn't have adds less than any piece.
+        self.most = 0.0 if self.merges else max(model.score.values(), default=0.0)
+        self.unknown = 0.0 if self.merges else min(model.score.values(), default=0.0) - 10.0
 
     def _ends(self, key: str) -> tuple[int, ...]:
         """Lengths, from long to short, of the pieces that may end with these (up to four) characters; those within the key are pieces."""
@@ -171,74 +198,50 @@ class SharedForward:
 
     def walk(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of each word; words are sorted, so the walk is depth-first and each prefix is extended once."""
-        return self._merged(words) if self.model.kind == "bpe" else self._scored(words)
-
-    def _merged(self, words: Iterable[str]) -> Iterator[list[str]]:
-        model, ends, follows = self.model, self.ends, self.follows
-        rank, was, first = model.rank, "", {}
-        last, after = [""], [first]  # the piece that ends each prefix, and what is known of pieces that follow it
+        merges, ends, follows, most = self.merges, self.ends, self.follows, self.most
+        best, last = [0.0], [""]  # of each prefix: the best score, and the piece that ends the way to it
+        adds: list[dict] = [After(self, "") if merges else self.alone]  # of each prefix: what the next piece adds
+        was = ""
         for word in words:
-            shared, most = 0, min(len(word), len(was))
-            while shared < most and word[shared] == was[shared]:
+            shared, limit = 0, min(len(word), len(was))
+            while shared < limit and word[shared] == was[shared]:
                 shared += 1
-            del last[shared + 1 :], after[shared + 1 :]
+            del best[shared + 1 :], last[shared + 1 :], adds[shared + 1 :]
             was = word
             for end in range(shared + 1, len(word) + 1):
                 key = word[end - 4 : end] if end > 4 else word[:end]
                 lengths = ends.get(key)
                 if lengths is None:
                     lengths = self._ends(key)
+                top, chosen = -math.inf, ""
                 for n in lengths:
                     if n > end:
                         continue
-                    piece, known = word[end - n : end], after[end - n]
-                    fits = known.get(piece)
-                    if fits is None:
-                        before = last[end - n]
-                        fits = known[piece] = piece in rank and (before not in rank or may_follow(model, before, piece))
-                        self.n_follows += 1
-                    if fits:
-                        break
+                    piece = word[end - n : end]
+                    score = best[end - n] + adds[end - n][piece]
+                    if score > top:
+                        top, chosen = score, piece
+                        if merges and top == most:
+                            break
+                if not chosen:
+                    top, chosen = best[end - 1] + self.unknown, word[end - 1]
+                best.append(top)
+                last.append(chosen)
+                if merges:
+                    own = follows.get(chosen)
+                    if own is None:
+                        own = follows[chosen] = After(self, chosen)
+                    adds.append(own)
                 else:
-                    piece = word[end - 1]  # a character that the model doesn't have
-                last.append(piece)
-                own = follows.get(piece)
-                if own is None:
-                    own = follows[piece] = {}
-                after.append(own)
-            found, end = [], len(word)
-            while end:
-                piece = last[end]
-                found.append(piece)
-                end -= len(piece)
-            found.reverse()
-            yield found
-            if self.n_follows > FOLLOWERS:  # the tables of this word's prefixes live on in after
-                follows.clear()
-                self.n_follows = 0
-
-    def _scored(self, words: Iterable[str]) -> Iterator[list[str]]:
-        score, was, last, best = self.model.score, "", [""], [0.0]
-        for word in words:
-            shared, most = 0, min(len(word), len(was))
-            while shared < most and word[shared] == was[shared]:
-                shared += 1
-            del last[shared + 1 :], best[shared + 1 :]
-            was = word
-            for end in range(shared + 1, len(word) + 1):
-                key = word[end - 4 : end] if end > 4 else word[:end]
-                top, piece = None, word[end - 1]
-                for n in self.ends.get(key) or self._ends(key):
-                    own = word[end - n : end] if n <= end else ""
-                    if own in score and (top is None or best[end - n] + score[own] > top):
-                        top, piece = best[end - n] + score[own], own
-                best.append(best[end - 1] + self.worst if top is None else top)
-                last.append(piece)
+                    adds.append(self.alone)
             found, end = [], len(word)
             while end:
                 found.append(last[end])
                 end -= len(found[-1])
             yield found[::-1]
+            if self.n_follows > FOLLOWERS:  # the scores along this word's prefixes live on in adds
+                follows.clear()
+                self.n_follows = 0
 
 
 class Encoder:

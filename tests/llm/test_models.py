@@ -281,7 +281,9 @@ def test_prefixes_are_shared():
     known = forward._ends
     forward._ends = lambda key: (calls.append(key), known(key))[1]
     words = sorted(f"▁prefix{a}{b}" for a in "abcd" for b in "xyz")
-    assert ["".join(p) for p in forward.walk(words)] == words
+    made = list(forward.walk(words))
+    assert ["".join(p) for p in made] == words
+    assert made == [next(pieces.SharedForward(forward.model).walk([w])) for w in words]
     assert len(calls) <= len({w[:n] for w in words for n in range(1, len(w) + 1)})
 
 
