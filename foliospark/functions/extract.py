@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliospark.functions.text import WS, strip
+from foliospark.functions.text import BLANKS, WS, strip
 
 #: Patterns whose matches define the results.
 NAME = rf"이{WS}*름{WS}*(?::|{WS}){WS}*([가-힣]{{2,5}})"
-ADDRESS = rf"주{WS}*소{WS}*(?::|{WS}){WS}*((?:[가-힣0-9,-]|{WS})+[동로길]{WS}*[0-9-]+)"
+ADDRESS = rf"주{WS}*소{WS}*(?::|{WS}){WS}*([가-힣0-9,\-{BLANKS}]+[동로길]{WS}*[0-9-]+)"
 PHONE = r"(01[016789]|02|0[3-9]\d{1})-?(\d{3,4})-?(\d{4})"
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 DATE_KOREAN = rf"(\d{{4}}){WS}*년{WS}*(\d{{1,2}}){WS}*월{WS}*(\d{{1,2}}){WS}*일"
@@ -19,6 +19,19 @@ WON = rf"([\d,]+){WS}*원"
 DOLLAR = rf"\${WS}*([\d,.]+)"
 
 
+def from_start(characters: str, pattern: str) -> str:
+    """A pattern that begins with a run of characters, tried only where such a run begins or the last match ended.
+
+    The matches are the same, since what fails at the beginning of a run fails within it as well; but the time no longer
+    grows with the square of a run's length.
+    """
+    return rf"(?:\G|(?<!{characters})){pattern}"
+
+
+_EMAIL = from_start("[a-zA-Z0-9._%+-]", r"[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}")
+_WON = from_start(r"[\d,]", rf"([\d,]++){WS}*원")
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -37,7 +50,7 @@ def address(text: Column) -> Column:
 
 
 def emails(text: Column) -> Column:
-    return all_matches(text, EMAIL)
+    return all_matches(text, _EMAIL)
 
 
 def phones(text: Column, anchored: bool = True) -> Column:
@@ -64,7 +77,7 @@ def amounts(text: Column) -> Column:
 
         return F.filter(F.transform(all_matches(text, pattern), one), lambda x: x["value"].isNotNull())
 
-    return F.concat(found(WON, "KRW", "decimal(38,0)"), found(DOLLAR, "USD", "double"))
+    return F.concat(found(_WON, "KRW", "decimal(38,0)"), found(DOLLAR, "USD", "double"))
 
 
 def structured(text: Column, anchored: bool = True) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as Unicode text tools see it; Java's \s is ASCII only.
-WS = r"[ \t\n\r\f\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+BLANKS = r" \t\n\r\f\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+WS = f"[{BLANKS}]"
 
 
 def collapse(text: Column) -> Column:
@@ -27,7 +28,7 @@ def drop_controls(text: Column) -> Column:
 def join_date_parts(text: Column) -> Column:
     """Korean dates with blanks inside, in compact form."""
     w = f"{WS}*"
-    return F.regexp_replace(text, rf"(\d+){w}년{w}(\d+){w}월{w}(\d+){w}일", "$1년 $2월 $3일")
+    return F.regexp_replace(text, rf"(?<!\d)(\d++){w}년{w}(\d++){w}월{w}(\d++){w}일", "$1년 $2월 $3일")
 
 
 def join_digits(text: Column) -> Column:

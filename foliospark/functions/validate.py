@@ -25,6 +25,15 @@ def file_size(size: Column, most: int = 100 * 1024 * 1024) -> Column:
     return _rule("file_size", size <= most)
 
 
+#: What a client lets through before an upload, narrower than the server's rules.
+CLIENT_TYPES, CLIENT_SIZE = ("pdf", "jpg", "jpeg", "png", "tiff", "bmp", "doc", "docx"), 10 * 1024 * 1024
+
+
+def upload(name: Column, size: Column) -> Column:
+    """The client's check: the part after the last dot, then the size."""
+    return F.coalesce(_rule("file_type", F.lower(F.substring_index(name, ".", -1)).isin(*CLIENT_TYPES)), _rule("file_size", size <= CLIENT_SIZE))
+
+
 def api_key(value: Column) -> Column:
     return F.coalesce(_rule("too_short", F.length(value) >= 16), _rule("characters", value.rlike(r"^[a-zA-Z0-9_\-.]+$")))
 

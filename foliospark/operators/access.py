@@ -22,12 +22,12 @@ def permission_table(spark: SparkSession) -> DataFrame:
 
 
 def effective(user_roles: DataFrame, permissions: DataFrame) -> DataFrame:
-    """(user_id, permission), each once. permissions is a constant of a few rows."""
-    return user_roles.join(F.broadcast(permissions), "role_name").select("user_id", "permission").distinct()
+    """(user_id, permission), each once."""
+    return user_roles.join(permissions, "role_name").select("user_id", "permission").distinct()
 
 
 def with_permission(users: DataFrame, user_roles: DataFrame, permissions: DataFrame, permission: str) -> DataFrame:
-    roles = F.broadcast(permissions.where(F.col("permission") == permission))
+    roles = permissions.where(F.col("permission") == permission)
     return users.join(user_roles.join(roles, "role_name", "left_semi"), "user_id", "left_semi")
 
 
@@ -36,9 +36,9 @@ def owned(owner: Column, user_id: int | str) -> Column:
 
 
 def visible(documents: DataFrame, user_roles: DataFrame, user_id: int) -> DataFrame:
-    """Documents that a user may see: an admin all, others their own."""
-    admins = user_roles.where((F.col("user_id") == user_id) & (F.col("role_name") == "admin")).agg((F.count("*") > 0).alias("is_admin"))
-    return documents.crossJoin(F.broadcast(admins)).where(F.col("is_admin") | owned(F.col("uploaded_by"), user_id)).drop("is_admin")
+    """Documents that a user may see: an admin all, others their own. Whether the user is an admin is one flag, read first, so that the owner reaches the scan."""
+    is_admin = not user_roles.where((F.col("user_id") == user_id) & (F.col("role_name") == "admin")).isEmpty()
+    return documents if is_admin else documents.where(owned(F.col("uploaded_by"), user_id))
 
 
 def checked(requested: DataFrame, documents: DataFrame, user_id: int) -> DataFrame:

@@ -83,9 +83,52 @@ def structure(eav: DataFrame, order: str | None = None) -> DataFrame:
     return out.where(~(F.col("group_name").isNull() & F.col("field").isin(*SINGLE)) | (F.coalesce("value", F.lit("")) != ""))
 
 
+def first_values(eav: DataFrame, order: str) -> DataFrame:
+    """(document_id, field_name, field_value): of several rows of one name the first by order, of equal ones the least value."""
+    return eav.groupBy("document_id", "field_name").agg(F.min_by("field_value", F.struct(order, "field_value")).alias("field_value"))
+
+
+def displayed(eav: DataFrame, hidden: tuple = ("full_text",)) -> DataFrame:
+    """Rows of the fields that are shown."""
+    return eav.where(~F.col("field_name").isin(*hidden))
+
+
+def confident(eav: DataFrame, least: float) -> DataFrame:
+    return eav.where(F.col("confidence") >= least)
+
+
+def field_names(structured: DataFrame) -> DataFrame:
+    """(document_id, fields): names of the top level, each once, in order."""
+    return structured.groupBy("document_id").agg(F.array_sort(F.collect_set(F.coalesce("group_name", "field"))).alias("fields"))
+
+
+def scalar_members(rows: DataFrame, column: str) -> DataFrame:
+    """rows with (name, value) for each member of a JSON object that is a text, a number or a truth value; texts that hold none give no row."""
+    parsed = rows.withColumn("__json", F.try_parse_json(column)).where(F.schema_of_variant("__json").startswith("OBJECT"))
+    met = parsed.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("__json").outer()))
+    kind = F.schema_of_variant("value")
+    met = met.where(~kind.rlike("^(OBJECT|ARRAY|VOID)"))
+    return met.select(*rows.columns, F.col("key").alias("name"), F.col("value").cast("string").alias("value"))
+
+
 def normalized(structured: DataFrame) -> DataFrame:
     """Values normalised by the name of the inner field."""
-    return structured.withColumn("value", normalize.by_field(F.col("field"), F.col("value")))
+    return normalize.normalized_values(structured, "field", "value")
+
+
+def processed(eav: DataFrame, order: str | None = None) -> DataFrame:
+    """The whole way: structure, normalise, leave out what is blank."""
+    return pruned(normalized(structure(eav, order)))
+
+
+#: What a document without data says.
+NO_DATA = "추출된 데이터가 없습니다."
+
+
+def read_view(documents: DataFrame, eav: DataFrame) -> DataFrame:
+    """documents with their data as maps (groups, singles), not normalised, or the message that there is none."""
+    met = documents.join(as_maps(structure(eav)), "document_id", "left")
+    return met.withColumn("message", F.when(F.col("groups").isNull() & F.col("singles").isNull(), NO_DATA))
 
 
 def pruned(structured: DataFrame) -> DataFrame:

@@ -12,6 +12,11 @@ def variables(template: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", template)))
 
 
+def field_count(variables_: Column) -> Column:
+    """Number of a template's fields; 0 where it names none."""
+    return F.coalesce(F.size(variables_), F.lit(0))
+
+
 def rendered(template: str, values: dict[str, Column | list]) -> Column:
     """The template with each {name} replaced; lists are joined by ", ". Missing names raise."""
     if missing := [v for v in variables(template) if v not in values]:

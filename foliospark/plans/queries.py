@@ -2,36 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions import extract, mask, normalize, text, validate
 from foliospark.operators import access, catalog, eav, jobs, pages, prompts
 from foliospark.plans import inputs as I
+from foliospark.plans.registry import SQL, query
 from foliospark.sinks import export
 from foliospark.sources.files import table, updated_since
 from foliospark.streaming import ingest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 _EMAIL = extract.EMAIL
 #: White space for the SQL side, whose patterns know other escapes.
 _WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query(f"""
 WITH d AS (SELECT lang, len(regexp_extract_all(coalesce(text, ''), '{_EMAIL}')) AS n FROM documents)
 SELECT lang, count(*)::BIGINT AS documents, sum(n)::BIGINT AS emails, count(*) FILTER (n > 0)::BIGINT AS with_email, round(avg(n), 6) AS per_document FROM d GROUP BY lang""")
@@ -123,7 +109,7 @@ def validate_customers(spark, d):
   WHEN 'total_amount' THEN format('{{:,}}', replace(field_value, '원', '')::BIGINT)
   WHEN 'ship_address' THEN '서울시 테헤란로 ' || regexp_extract(field_value, '로 (\\d+)', 1) ELSE trim(field_value) END AS field_value FROM eav""".replace("{:,}", "{:,}"))
 def normalize_values(spark, d):
-    return I.eav(spark, d).select("document_id", "field_name", normalize.by_field(F.col("field_name"), F.col("field_value")).alias("field_value"))
+    return normalize.normalized_values(I.eav(spark, d), "field_name", "field_value")
 
 
 @query(f"""WITH {I.EAV_SQL}, s AS (SELECT document_id, CASE WHEN field_name <> 'summary' THEN split_part(field_name, '_', 1) END AS group_name,
@@ -209,7 +195,7 @@ def stream_latest_jobs(spark, d):
     rows = events.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("job_type"), F.col("ts").alias("created_at"), F.col("event_id").alias("job_id"))
     folder = ingest.scratch(spark)
     ingest.run_upsert(rows, f"{folder}/table", f"{folder}/checkpoint", ["document_id", "job_type"], ["created_at", "job_id"])
-    return ingest.current(spark, f"{folder}/table").select("document_id", "job_type", "job_id")
+    return ingest.current(spark, f"{folder}/table", ["document_id", "job_type"], ["created_at", "job_id"]).select("document_id", "job_type", "job_id")
 
 
 @query("SELECT event_id AS document_id FROM events WHERE ts > (SELECT TIMESTAMP '2024-01-15 00:00:00')")
@@ -253,8 +239,9 @@ def documents_without_labels(spark, d):
 
 @query("SELECT doc_id, lang, CASE WHEN quality IS NULL THEN 'not_processed' ELSE 'processed' END AS status, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def document_label_join(spark, d):
-    met = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return met.select("doc_id", "lang", F.when(F.col("quality").isNull(), "not_processed").otherwise("processed").alias("status"), "quality")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "lang")
+    met = catalog.with_outcome(docs, table(spark, d, "labels").where("quality is not null").select(F.col("doc_id").alias("document_id"), "quality"))
+    return met.select(F.col("document_id").alias("doc_id"), "lang", F.col("outcome").alias("status"), "quality")
 
 
 @query("""SELECT c_custkey AS document_id, j.jobs FROM customer LEFT JOIN (SELECT o_custkey, string_agg(strftime(o_orderdate, '%Y-%m-%d') || '/' || o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey DESC) AS jobs
@@ -341,7 +328,9 @@ def extract_by_template(spark, d):
 @query("""SELECT event_type, count(*)::BIGINT AS jobs, count(DISTINCT user_id)::BIGINT AS users, round(avg(value), 4) AS mean_value, round(quantile_cont(value, 0.5), 4) AS median FROM events GROUP BY event_type""")
 def job_report(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("jobs"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean_value"), F.round(F.percentile("value", 0.5), 4).alias("median"))
+    sums = e.groupBy("event_type").agg(F.count("*").alias("jobs"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("mean_value"))
+    middle = jobs.quantiles(e, "event_type", "value", {"median": 0.5})
+    return sums.join(middle, "event_type", "left").withColumn("median", F.round("median", 4))
 
 
 @query("""WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def guarded(requested: DataFrame, documents: DataFrame, eav: DataFrame) -> DataFrame:
@@ -57,6 +58,23 @@ def spreadsheet(rows: DataFrame) -> DataFrame:
     return rows.groupBy("document_id").agg(F.concat(F.lit(head), body, F.lit("</Table></Worksheet></Workbook>")).alias("workbook"))
 
 
+#: Formats on offer; PDF is made elsewhere from the HTML table.
+FORMATS = ("excel", "csv", "json", "pdf")
+
+
+def flattened(rows: DataFrame, sep: str = ".") -> DataFrame:
+    """Nested columns as top-level ones with dotted names; in lists of structs each item is flattened, other lists stay."""
+
+    def members(column: Column, kind: T.DataType, name: str) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [c for f in kind for c in members(column.getField(f.name), f.dataType, f"{name}{sep}{f.name}" if name else f.name)]
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            column = F.transform(column, lambda x: F.struct(*members(x, kind.elementType, "")))
+        return [column.alias(name)]
+
+    return rows.select(*[c for f in rows.schema for c in members(F.col(f"`{f.name}`"), f.dataType, f.name)])
+
+
 def flat(structured: DataFrame) -> DataFrame:
     """(document_id, group_name, field, value) to dotted keys."""
     return structured.select("document_id", F.concat_ws(".", "group_name", "field").alias("key"), "value")

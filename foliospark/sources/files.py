@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     )
 
 
+def ingested(files: DataFrame, path: str) -> None:
+    """Files (as binary_files gives them) added to a table partitioned by the year and month they came, each under a name of its own."""
+    files.withColumn("stored_name", F.concat_ws(".", F.expr("uuid()"), "file_type")).write.mode("append").partitionBy("year", "month").parquet(path)
+
+
 def read_pages(files: DataFrame, engine: Callable[[bytes, str], list[tuple[str, float]]]) -> DataFrame:
     """(path, file_type, content) to one row per page by a recognition engine: (content, type) -> [(text, confidence), ...].
 
@@ -45,10 +52,49 @@ def read_pages(files: DataFrame, engine: Callable[[bytes, str], list[tuple[str,
     return files.select("path", "file_type", "content").mapInPandas(pages, "document_id string, page_number int, text string, confidence double, error string")
 
 
+def _templates(spark: SparkSession, path: str) -> DataFrame:
+    schema = "name string, description string, template string, variables array<string>, broken string"
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.json").json(path)
+    return read.withColumn("path", F.input_file_name())
+
+
 def templates(spark: SparkSession, path: str) -> DataFrame:
-    """Prompt templates from JSON files; files that aren't JSON objects with a name are left out."""
-    schema = "name string, description string, template string, variables array<string>"
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path).where("name is not null")
+    """Prompt templates from JSON files; files that aren't JSON objects with a name are left out, see broken_templates()."""
+    return _templates(spark, path).where("name is not null").drop("broken", "path")
+
+
+def broken_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the files that templates() leaves out."""
+    bad = _templates(spark, path).select("path", "name", "broken").where("name is null")
+    return bad.select("path", F.when(F.col("broken").isNotNull(), "not JSON").otherwise("no name").alias("reason"))
+
+
+def add_template(spark: SparkSession, path: str, name: str, template: str, description: str = "") -> None:
+    """Writes a template beside the others; one of that name is replaced."""
+    remove_template(spark, path, name)
+    variables = list(dict.fromkeys(re.findall(r"\{(\w+)\}", template)))
+    row = spark.createDataFrame([(name, description, template, variables)], "name string, description string, template string, variables array<string>")
+    row.coalesce(1).write.mode("append").json(path)
+
+
+def remove_template(spark: SparkSession, path: str, name: str) -> bool:
+    """Deletes the files that hold a template; whether there was one."""
+    try:
+        found = [r["path"] for r in _templates(spark, path).where(F.col("name") == name).select("path").distinct().collect()]
+    except AnalysisException:  # nothing there yet
+        return False
+    for file in found:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)
+    return bool(found)
+
+
+def template(spark: SparkSession, path: str, name: str) -> str:
+    """The text of a template; an unknown name raises and says which there are."""
+    known = {r["name"]: r["template"] for r in templates(spark, path).select("name", "template").collect()}
+    if name not in known:
+        raise KeyError(f"no template {name!r}; there are {sorted(known)}")
+    return known[name]
 
 
 def updated_since(documents: DataFrame, since: str | Column, limit: int = 100) -> DataFrame:

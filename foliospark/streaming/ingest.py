@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from foliospark.operators import jobs
 
@@ -17,47 +21,57 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{shared.rstrip('/')}/foliospark/stream-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share: below spark.checkpoint.dir; where that is unset, one of this machine in local mode and an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(shared or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/foliospark/stream-{uuid.uuid4().hex}"
 
 
-def upsert_into(path: str, keys: list[str], order: list[str]):
-    """foreachBatch function that keeps the last row of each key; a batch that comes again changes nothing.
+def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
+    """All that is there now, then ends; a later run goes on after it.
 
-    Each batch writes a new version beside the old ones; readers take the one with the greatest number.
+    The last row of each key by order is the stream's own state; each micro-batch adds the keys that it changed below
+    the path, in a folder of its number, so one that comes again replaces itself.
     """
+    rest = [c for c in stream.columns if c not in keys]
+    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        base = jobs.latest(batch, keys, order)
-        before = versions(spark, path)
-        older = [v for v in before if v < number]
-        if older:
-            base = jobs.upserted(spark.read.schema(batch.schema).parquet(f"{path}/version={older[-1]}"), base, keys, order)
-        base.write.mode("overwrite").parquet(f"{path}/version={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return write
+    last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions of an upserted table, in order."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    done = [s.getPath() for s in fs.listStatus(place) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
+def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The table that run_upsert() keeps up: of each key the last of its changes."""
+    return jobs.latest(spark.read.parquet(path).drop("batch"), keys, order)
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={versions(spark, path)[-1]}")
+def run_events(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Event rows (event, document_id, at) of a stream added to a table for listeners, each once."""
 
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
-    """All that is there now, then ends; a later run goes on after it."""
-    query = stream.writeStream.foreachBatch(upsert_into(path, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with the number of rows of each micro-batch; what the callback raises is swallowed."""
+
+    def __init__(self, callback: Callable[[int, int], None]) -> None:
+        self.callback = callback
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        with contextlib.suppress(Exception):
+            self.callback(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
 
 
 def windowed(events: DataFrame, time: str, late: str = "10 minutes", width: str = "1 day") -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from foliospark.engines import registry
 from foliospark.functions import extract
 from foliospark.operators import catalog, eav, jobs, pages, prompts
-from foliospark.plans import queries
+from foliospark.plans import fields, queries, workflows  # noqa: F401  they register their queries
+from foliospark.plans import registry as plans
 from foliospark.sinks import export
 from foliospark.sources import files
 from foliospark.streaming import ingest
@@ -28,11 +29,11 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+@pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_query(spark, con, name):
-    want = con.execute(queries.SQL[name]).fetchall()
+    want = con.execute(plans.SQL[name]).fetchall()
     names = [c[0] for c in con.description]
-    df = queries.QUERIES[name](spark, FOLDER)
+    df = plans.QUERIES[name](spark, FOLDER)
     assert sorted(df.columns) == sorted(names)
     plain = lambda r: tuple(round(x, 6) if isinstance(x, float) else x for x in r)
     key = lambda r: tuple(map(str, r))
@@ -168,7 +169,8 @@ def test_streams(spark, tmp_path):
     ingest.run_upsert(stream, target, str(tmp_path / "cp"), keys, order)
     ingest.run_upsert(stream, target, str(tmp_path / "cp"), keys, order)  # nothing new
     want = jobs.latest(events, keys, order)
-    got = ingest.current(spark, target).select(*want.columns)
+    assert ingest.current(spark, target, keys, order).count() == want.count()
+    got = ingest.current(spark, target, keys, order).select(*want.columns)
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     q = ingest.windowed(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     q.awaitTermination()
