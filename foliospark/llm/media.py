@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import narrow_batches
 
 #: Fixed values of the file format: boxes that hold other boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 #: Samples (bytes) to a second, bytes of one stored sample (frame), frames of one chunk.
 RATE, FRAME, CHUNK_FRAMES = 8000, 64, 64
 #: Boxes may be nested this deep; deeper ones count as damage.
@@ -109,7 +109,11 @@ def _sample_sizes(data: memoryview, table: dict) -> np.ndarray:
     if b"stsz" in table:
         at, end = table[b"stsz"]
         same, n = struct.unpack_from(">II", data, at + 4)
-        return np.full(n, same, np.int64) if same else _numbers(data, at + 12, end, ">u4", n)
+        if same:
+            if same * n > len(data):  # before room for that many is taken
+                raise ValueError("the samples are larger than the file")
+            return np.full(n, same, np.int64)
+        return _numbers(data, at + 12, end, ">u4", n)
     at, end = table[b"stz2"]
     width, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
     if width == 4:
@@ -136,48 +140,146 @@ def _sample_places(data: memoryview, table: dict, sizes: np.ndarray) -> np.ndarr
     return np.repeat(chunks, held) + in_chunk
 
 
+def _whole_track(data: memoryview, table: dict) -> dict:
+    """Places, sizes, keyframes and duration of a track by its sample tables."""
+    sizes = _sample_sizes(data, table)
+    places = _sample_places(data, table, sizes)
+    at, end = table[b"stts"]
+    steps = _numbers(data, at + 8, end, ">u4", 2 * struct.unpack_from(">I", data, at + 4)[0]).reshape(-1, 2)
+    keys = np.ones(len(sizes), bool)
+    if b"stss" in table:
+        at, end = table[b"stss"]
+        numbers = _numbers(data, at + 8, end, ">u4", struct.unpack_from(">I", data, at + 4)[0]) - 1
+        if len(numbers) and (numbers.min() < 0 or numbers.max() >= len(sizes)):
+            raise ValueError("a keyframe is no sample")
+        keys[:] = False
+        keys[numbers] = True
+    return {"places": [places], "sizes": [sizes], "keys": [keys], "duration": int((steps[:, 0] * steps[:, 1]).sum())}
+
+
+#: Fixed values of the file format: flags of a track fragment and of its runs, and the sample flag that says "no keyframe".
+_BASE_OFFSET, _DESCRIPTION, _DURATION, _SIZE, _FLAGS, _FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+_RUN_OFFSET, _RUN_FIRST, _RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+_NO_KEY = 0x10000
+
+
+class _Fragments:
+    """Samples that fragments add to tracks."""
+
+    def __init__(self, data: memoryview, tracks: dict, defaults: dict) -> None:
+        self.data, self.tracks, self.defaults = data, tracks, defaults
+        self.moof, self.track, self.base, self.next = 0, None, 0, None
+        self.own = (0, 0, 0)  # duration, size and flags of a sample that doesn't say
+
+    def header(self, at: int) -> None:
+        flags, number = struct.unpack_from(">II", self.data, at)
+        at, flags = at + 8, flags & 0xFFFFFF
+        self.track, first = self.tracks.get(number), self.next is None
+        if self.track is None:
+            raise ValueError("a fragment of no track")
+        self.base = self.moof if flags & _FROM_MOOF or first or self.next is None else self.next
+        if flags & _BASE_OFFSET:
+            (self.base,), at = struct.unpack_from(">Q", self.data, at), at + 8
+        at += 4 if flags & _DESCRIPTION else 0
+        own = list(self.defaults.get(number, (0, 0, 0)))
+        for i, bit in enumerate((_DURATION, _SIZE, _FLAGS)):
+            if flags & bit:
+                (own[i],), at = struct.unpack_from(">I", self.data, at), at + 4
+        self.own, self.next = tuple(own), self.base
+
+    def run(self, at: int, end: int) -> None:
+        if self.track is None:
+            raise ValueError("a run of samples outside of a track fragment")
+        flags, n = struct.unpack_from(">II", self.data, at)
+        at, flags = at + 8, flags & 0xFFFFFF
+        place, first = self.next, None
+        if flags & _RUN_OFFSET:
+            (offset,), at = struct.unpack_from(">i", self.data, at), at + 4
+            place = self.base + offset
+        if flags & _RUN_FIRST:
+            (first,), at = struct.unpack_from(">I", self.data, at), at + 4
+        fields = [bit for bit in (_RUN_DURATION, _RUN_SIZE, _RUN_FLAGS, _RUN_SHIFT) if flags & bit]
+        if not fields and self.own[1] * n > len(self.data) or not fields and not self.own[1] and n > len(self.data):
+            raise ValueError("the samples are larger than the file")
+        rows = _numbers(self.data, at, end, ">u4", n * len(fields)).reshape(n, len(fields))
+
+        def each(bit: int, default: int) -> np.ndarray:
+            return rows[:, fields.index(bit)] if bit in fields else np.full(n, default, np.int64)
+
+        sizes, marks = each(_RUN_SIZE, self.own[1]), each(_RUN_FLAGS, self.own[2])
+        if first is not None and n:
+            marks[0] = first
+        self.track["places"].append(place + np.cumsum(sizes) - sizes)
+        self.track["sizes"].append(sizes)
+        self.track["keys"].append(marks & _NO_KEY == 0)
+        self.track["duration"] += int(each(_RUN_DURATION, self.own[0]).sum())
+        self.next = place + int(sizes.sum())
+
+
+_TABLES = (b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64")
+_NOTHING = {"error": None, "brand": None, "n_boxes": None, "fragments": None, "tracks": None}
+
+
 def read_media(data: bytes | None) -> dict:
-    """Facts of the first track with a sample table.
+    """Facts of a file: brand, n_boxes, fragments (their number) and tracks in the order of the file.
 
-    brand, codec, timescale, duration (units), samples, keyframes, spans (offset and length of each keyframe, neighbours
-    joined), payload (the same of all samples). Damaged, empty or missing data gives an error and nothing else.
+    Of each track: track_id, handler, codec, timescale, duration (units), samples, keyframes (number), spans (offset and
+    length of each keyframe, one by one) and payload (byte ranges of all samples, those that touch joined). Samples of
+    movie fragments come after those of the track's own tables. Damaged, empty or missing data gives an error and
+    nothing else; no table is taken at its word beyond what the file's size allows.
     """
-    facts = dict(error=None, brand=None, codec=None, timescale=None, duration=None, samples=None, keyframes=None, spans=None, payload=None, n_boxes=None)
     if data is None:
-        return facts | {"error": "no data"}
-    view, table, n = memoryview(data), {}, 0
+        return _NOTHING | {"error": "no data"}
+    view, tables, tracks, defaults, brand, n, n_fragments = memoryview(data), [], {}, {}, None, 0, 0
     try:
         for _, kind, at, end in boxes(view, 0, len(view)):
             n += 1
             if kind == b"ftyp":
-                facts["brand"] = bytes(view[at : at + 4]).decode("latin-1")
-            elif kind == b"trak" and b"stsd" in table:
-                break
-            elif kind == b"mdhd":
-                facts["timescale"], facts["duration"] = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
-            elif kind in (b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64"):
-                table[kind] = at, end
-        if not {b"stsd", b"stts", b"stsc"} <= table.keys():
-            raise ValueError("no sample table")
-        facts["codec"] = bytes(view[table[b"stsd"][0] + 12 : table[b"stsd"][0] + 16]).decode("latin-1")
-        sizes = _sample_sizes(view, table)
-        places = _sample_places(view, table, sizes)
-        if len(places) and (places + sizes).max() > len(view):
-            raise ValueError("samples lie beyond the file")
-        at, end = table[b"stts"]
-        steps = _numbers(view, at + 8, end, ">u4", 2 * struct.unpack_from(">I", view, at + 4)[0]).reshape(-1, 2)
-        facts["duration"] = int((steps[:, 0] * steps[:, 1]).sum()) or facts["duration"]
-        if b"stss" in table:
-            at, end = table[b"stss"]
-            keys = _numbers(view, at + 8, end, ">u4", struct.unpack_from(">I", view, at + 4)[0]) - 1
-        else:
-            keys = np.arange(len(sizes))
-        if len(keys) and (keys.min() < 0 or keys.max() >= len(sizes)):
-            raise ValueError("a keyframe is no sample")
-        facts |= {"samples": len(sizes), "keyframes": len(keys), "spans": _joined(places[keys], sizes[keys]), "payload": _joined(places, sizes), "n_boxes": n}
-    except (ValueError, KeyError, struct.error, IndexError) as broken:
-        return dict.fromkeys(facts) | {"error": str(broken)[:120] or "damaged"}
-    return facts
+                brand = bytes(view[at : at + 4]).decode("latin-1")
+            elif kind == b"trak":
+                tables.append({"number": len(tables) + 1, "timescale": None, "duration": None, "handler": None})
+            elif kind == b"trex":
+                number, _, *own = struct.unpack_from(">5I", view, at + 4)
+                defaults[number] = tuple(own)
+            elif kind == b"tkhd" and tables:
+                tables[-1]["number"] = struct.unpack_from(">I", view, at + (20 if view[at] == 1 else 12))[0]
+            elif kind == b"mdhd" and tables:
+                tables[-1]["timescale"], tables[-1]["duration"] = struct.unpack_from(">IQ", view, at + 20) if view[at] == 1 else struct.unpack_from(">II", view, at + 12)
+            elif kind == b"hdlr" and tables and tables[-1]["handler"] is None:
+                tables[-1]["handler"] = bytes(view[at + 8 : at + 12]).decode("latin-1")
+            elif kind in _TABLES and tables:
+                tables[-1][kind] = at, end
+            elif kind == b"moof":
+                if not n_fragments:
+                    tracks |= {t["number"]: t | _whole_track(view, t) for t in tables}
+                    fragments = _Fragments(view, tracks, defaults)
+                n_fragments += 1
+                fragments.moof, fragments.track, fragments.next = at - 8, None, None
+            elif kind == b"tfhd" and n_fragments:
+                fragments.header(at)
+            elif kind == b"trun" and n_fragments:
+                fragments.run(at, end)
+        if not tables:
+            raise ValueError("no track")
+        if len({t["number"] for t in tables}) < len(tables):
+            raise ValueError("two tracks of one number")
+        if not n_fragments:
+            tracks |= {t["number"]: t | _whole_track(view, t) for t in tables}
+        out = []
+        for t in tracks.values():
+            places, sizes, keys = (np.concatenate(t[k]) for k in ("places", "sizes", "keys"))
+            if len(places) and ((places + sizes).max() > len(view) or places.min() < 0):
+                raise ValueError("samples lie beyond the file")
+            at = t[b"stsd"][0]
+            spans = [{"offset": a, "length": b} for a, b in zip(places[keys].tolist(), sizes[keys].tolist(), strict=True)]
+            out.append({
+                "track_id": t["number"], "handler": t["handler"], "codec": bytes(view[at + 12 : at + 16]).decode("latin-1"), "timescale": t["timescale"], "duration": t["duration"] or tables[len(out)]["duration"],
+                "samples": len(sizes), "keyframes": int(keys.sum()), "spans": spans, "payload": _joined(places, sizes),
+            })
+        return {"error": None, "brand": brand, "n_boxes": n, "fragments": n_fragments, "tracks": out}
+    except (ValueError, KeyError, struct.error, IndexError, OverflowError, MemoryError) as broken:
+        missing = isinstance(broken, KeyError)
+        return _NOTHING | {"error": f"no {broken} table" if missing else str(broken)[:120] or "damaged"}
 
 
 def _joined(places: np.ndarray, sizes: np.ndarray) -> list[dict]:
@@ -190,7 +292,8 @@ def _joined(places: np.ndarray, sizes: np.ndarray) -> list[dict]:
 
 
 _SPANS = "array<struct<offset:bigint,length:bigint>>"
-_FACTS = f"struct<error:string,brand:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:bigint,spans:{_SPANS},payload:{_SPANS},n_boxes:bigint>"
+_TRACK = f"struct<track_id:bigint,handler:string,codec:string,timescale:bigint,duration:bigint,samples:bigint,keyframes:bigint,spans:{_SPANS},payload:{_SPANS}>"
+_FACTS = f"struct<error:string,brand:string,n_boxes:bigint,fragments:bigint,tracks:array<{_TRACK}>>"
 
 
 def store_text(text: Column) -> Column:
@@ -209,11 +312,10 @@ def media_facts(media: Column) -> Column:
 
     @F.pandas_udf(_FACTS)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["error", "brand", "codec", "timescale", "duration", "samples", "keyframes", "spans", "payload", "n_boxes"]
         for files in batches:
             found = [read_media(x) for x in files]
-            frame = pd.DataFrame({n: pd.Series([x[n] for x in found], dtype=object) for n in names})
-            yield frame.astype({n: "Int64" for n in ("timescale", "duration", "samples", "keyframes", "n_boxes")})
+            frame = pd.DataFrame({n: pd.Series([x[n] for x in found], dtype=object) for n in _NOTHING})
+            yield frame.astype({n: "Int64" for n in ("n_boxes", "fragments")})
 
     return apply(media)
 
@@ -239,15 +341,16 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 
 def op2_media_columns(spark, sf_dir: str) -> DataFrame:
+    """The whole payload is read back from the ranges that the reader finds; the spans of all keyframes come along."""
     read = media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    read = read.withColumn("payload", bytes_at(F.col("media"), F.col("facts.payload")))
-    first = F.col("facts.spans")[0]
+    read = read.withColumn("track", F.get("facts.tracks", F.lit(0))).withColumn("payload", bytes_at(F.col("media"), F.col("track.payload")))
+    first = F.get("track.spans", F.lit(0))
     feature = F.concat_ws(
         ";",
-        F.concat(F.lit("codec="), F.col("facts.codec")),
-        F.concat(F.lit("seconds="), F.format_string("%.3f", F.col("facts.duration") / F.col("facts.timescale"))),
-        F.concat(F.lit("samples="), F.col("facts.samples")),
-        F.concat(F.lit("keyframes="), F.col("facts.keyframes")),
+        F.concat(F.lit("codec="), F.col("track.codec")),
+        F.concat(F.lit("seconds="), F.format_string("%.3f", F.col("track.duration") / F.col("track.timescale"))),
+        F.concat(F.lit("samples="), F.col("track.samples")),
+        F.concat(F.lit("keyframes="), F.col("track.keyframes")),
         F.concat(F.lit("first="), first["offset"], F.lit("+"), first["length"]),
     )
     return read.select(
@@ -259,5 +362,5 @@ def op2_media_columns(spark, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
-        F.col("facts.spans").alias("keyframe_spans"),
+        F.col("track.spans").alias("keyframe_spans"),
     )
