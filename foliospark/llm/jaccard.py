@@ -1,9 +1,10 @@
-"""Near-duplicate groups by exact Jaccard similarity of word shingles.
+"""Near-duplicate groups by exact Jaccard similarity of word shingles, for the near-dedup stage.
 
-Fingerprints of SimHash at a Jaccard similarity of 0.8 differ in some 10 of 64 bits, too many for covering tables. The
-candidates here share a band of ROWS minima of the shingle hashes in one of BANDS bands, so a pair at exactly 0.8 is
-left out with a chance of (1 - 0.8^5)^25, or 0.005 %, and a closer one with less; every link is then confirmed on the
-whole shingle sets.
+Candidates come from the SimHash operator's covering tables first: texts within its radius. At a Jaccard similarity of
+0.8 fingerprints differ in some 10 of 64 bits, beyond any covering tables, so those pairs are met by bands of minima of
+the shingle hashes: a pair that shares ROWS minima in one of BANDS bands is a candidate, which leaves out a pair at
+exactly 0.8 with a chance of (1 - 0.8^5)^25, or 0.005 %, and a closer one with less. Every link is then confirmed on
+the whole shingle sets.
 
 Equal shingle sets are one node from the start. A bucket is compared in rounds with one of its nodes, so a group of near
 copies costs one comparison a copy; only nodes that rounds leave in different components are compared in pairs.
@@ -19,7 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import narrow_batches, stored
+from foliospark.llm import simhash
+from foliospark.llm.common import drop_stored, narrow_batches, stored
 from foliospark.llm.components import connected_components
 
 BANDS, ROWS = 25, 5
@@ -56,13 +58,14 @@ def key_of(hashes: np.ndarray) -> int:
 
 
 def sketch(text: Column, shingle: int = 5) -> Column:
-    """Struct of the key and the size of a text's shingle set, and its buckets."""
+    """Struct of the key and the size of a text's shingle set, its SimHash and its buckets."""
 
-    @F.pandas_udf("key long, size int, buckets array<long>")
+    @F.pandas_udf("key long, size int, print long, buckets array<long>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingles_of(x, shingle) for x in texts]
-            yield pd.DataFrame({"key": [key_of(s) for s in sets], "size": [len(s) for s in sets], "buckets": [bands_of(s) for s in sets]})
+            prints = np.fromiter((simhash.fingerprint_of(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
+            yield pd.DataFrame({"key": [key_of(s) for s in sets], "size": [len(s) for s in sets], "print": prints, "buckets": [bands_of(s) for s in sets]})
 
     return apply(text.cast("binary"))
 
@@ -106,11 +109,21 @@ def _sizes_allow(a: str, b: str, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(float(least)) - 1e-6
 
 
-def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """members (bucket, key, size) and sets (key, hashes) to links (u, v): they connect exactly what alike pairs within buckets connect."""
-    links, open_ = None, members.withColumn("root", F.col("key"))
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """nodes (key, print) to pairs (u, v) of keys: they connect what the SimHash operator links."""
+    prints = stored(nodes.groupBy("print").agg(F.min("key").alias("id")), "prints")
+    same = nodes.join(prints, "print").where("key <> id").select(F.col("id").alias("u"), F.col("key").alias("v"))
+    pairs = stored(simhash.near_links(prints).union(same).distinct(), "pairs")
+    drop_stored(prints)
+    return pairs
+
+
+def near_links(members: DataFrame, sets: DataFrame, least: float, links: DataFrame) -> DataFrame:
+    """members (bucket, key, size), sets (key, hashes) and the links known so far to links (u, v): they connect what those and alike pairs within buckets connect."""
+    roots = stored(connected_components(links), "roots")
+    open_ = members.join(roots, members.key == roots.node, "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
     for turn in range(ROUNDS + 1):
-        per = open_.groupBy("bucket").agg(F.count_distinct("root").alias("roots") if turn else F.count("*").alias("roots"),
+        per = open_.groupBy("bucket").agg(F.count_distinct("root").alias("roots"),
             F.min_by(F.struct("key", "size", "root"), F.xxhash64("key", F.lit(turn))).alias("c")).where("roots > 1").select("bucket", "c")
         open_ = stored(open_.join(per, "bucket"), "open")
         if open_.isEmpty():
@@ -122,12 +135,12 @@ def near_links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             pairs = open_.select("bucket", F.col("key").alias("u"), "size", "root").join(right, "bucket").where("u < v and root <> __root")
         pairs = pairs.where(_sizes_allow("size", "other", least)).select("u", "v").distinct()
         found = _confirmed(pairs, sets, least)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         if turn < ROUNDS:  # the node compared with all others of its bucket is done with
             roots = stored(connected_components(links), "roots")
             rest = open_.where("key <> c.key").select("bucket", "key", "size")
             open_ = rest.join(roots, rest.key == roots.node, "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
-    return members.sparkSession.createDataFrame([], "u long, v long") if links is None else links
+    return links
 
 
 def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -137,16 +150,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     are one group; rows with a null doc_id are linked like any other.
     """
     rows = stored(narrow_batches(docs).select("doc_id", sketch(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "sketches")
-    nodes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "nodes")
+    nodes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.min("print").alias("print"), F.first("buckets").alias("buckets")), "nodes")
     members = nodes.select("key", "size", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket").select("bucket", "key", "size"), "members")
-    wanted = stored(members.select("key").distinct().join(nodes.select("key", "id"), "key"), "wanted")
+    close = simhash_pairs(nodes.select("key", "print"))
+    met = members.select("key").union(close.select("u")).union(close.select("v")).distinct()
+    wanted = stored(met.join(nodes.select("key", "id"), "key"), "wanted")
     named = docs.join(wanted.where("id is not null").select("id").distinct(), F.col("doc_id") == F.col("id")).select("text")
     texts = named.union(docs.where("doc_id is null").select("text"))
     sets = narrow_batches(texts).select(shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
     sets = stored(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    roots = connected_components(near_links(members, sets, least))
+    roots = stored(connected_components(near_links(members, sets, least, _confirmed(close, sets, least))), "components")
+    drop_stored(nodes, members, wanted, close, sets)
     return rows.join(roots, rows.key == roots.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
 
 
@@ -157,10 +173,11 @@ def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFra
     their group has an id, one for each group.
     """
     groups = stored(near_groups(docs, shingle, least), "groups")
-    firsts = stored(groups.groupBy("root").agg(F.min("doc_id").alias("__keep")), "firsts")
-    best = docs.join(firsts.where("__keep is not null").select("__keep").distinct(), F.col("doc_id") == F.col("__keep")).drop("__keep")
-    best = best.withColumn("__n", F.expr("row_number() over (partition by doc_id order by text)"))
-    lone = groups.where("doc_id is null").join(firsts.where("__keep is null"), "root").select(F.col("key").alias("__key"), F.col("root").alias("__root")).distinct()
-    unnamed = narrow_batches(docs.where("doc_id is null")).withColumn("__found", shingle_set(F.col("text"), shingle)["key"])
-    unnamed = unnamed.join(lone, F.col("__found") == F.col("__key")).withColumn("__n", F.expr("row_number() over (partition by __root order by text)"))
-    return best.where("__n = 1").drop("__n").unionByName(unnamed.where("__n = 1").drop("__n", "__found", "__key", "__root"))
+    firsts = stored(groups.groupBy("root").agg(F.min("doc_id").alias("keep")), "firsts")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    best = rows.join(firsts.where("keep is not null").select("keep").distinct(), F.col("own_id") == F.col("keep"))
+    best = best.withColumn("n", F.expr("row_number() over (partition by own_id order by own_text)"))
+    lone = groups.where("doc_id is null").join(firsts.where("keep is null"), "root").select("key", "root").distinct()
+    unnamed = narrow_batches(rows.where("own_id is null")).withColumn("own_key", shingle_set(F.col("own_text"), shingle)["key"])
+    unnamed = unnamed.join(lone, F.col("own_key") == F.col("key")).withColumn("n", F.expr("row_number() over (partition by root order by own_text)"))
+    return best.where("n = 1").select("row").union(unnamed.where("n = 1").select("row")).select("row.*")

@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget_share: float = 1.5,
     first words up to the target (whole=False), or all or nothing, whichever is nearer (whole=True). repeats counts
     whole repetitions and taken words. Null texts have size 0; a null source is a source of its own and the last.
     Repeated rows count each time, of equal rows any may be the partial one; a null doc_id is drawn like an empty one;
-    other columns are left out; an empty table gives an empty one. No document exceeds ceil(max_epochs) repetitions.
+    a text's length is no matter; other columns are left out; an empty table gives an empty one. No document exceeds ceil(max_epochs) repetitions.
     """
     text_hash = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     sized = stored(docs.select("doc_id", "source", n_words("text").alias("size"), draw(F.col("doc_id"), text_hash, seed).alias("draw")), "sizes")
@@ -88,14 +88,18 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget_share: float = 1.5,
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """docs as the mix takes them, all columns kept: every row comes as often as it is repeated, whole, or not at all."""
-    plan = mix(docs, seed=seed, whole=True, **options).select(F.col("draw").alias("__draw"), "repeats", F.col("source").alias("__source"))
-    plan = plan.withColumn("__nth", F.expr("row_number() over (partition by __draw, __source order by repeats)"))
+    """docs as the mix takes them: every row comes as often as it is repeated, whole, or not at all.
+
+    All columns are kept, whatever their names. Equal rows are repeated rows of their own; null texts count as empty
+    and are taken with the whole repetitions of their source; an empty table gives an empty one.
+    """
+    plan = mix(docs, seed=seed, whole=True, **options).select(F.col("draw").alias("plan_draw"), F.col("source").alias("plan_source"), "repeats")
+    plan = plan.withColumn("nth", F.expr("row_number() over (partition by plan_draw, plan_source order by repeats)"))
     own = draw(F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")), seed)
-    keyed = docs.withColumn("__own", own)
-    keyed = keyed.withColumn("__same", F.expr("row_number() over (partition by __own, source order by doc_id)"))
-    met = keyed.join(plan, (keyed["__own"] == plan["__draw"]) & keyed.source.eqNullSafe(plan["__source"]) & (F.col("__same") == F.col("__nth")))
-    return met.where("repeats > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*[docs[c] for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("row"), own.alias("own_draw"), F.col("source").alias("own_source"), F.col("doc_id").alias("own_id"))
+    keyed = keyed.withColumn("same", F.expr("row_number() over (partition by own_draw, own_source order by own_id)"))
+    met = keyed.join(plan, (F.col("own_draw") == F.col("plan_draw")) & F.col("own_source").eqNullSafe(F.col("plan_source")) & (F.col("same") == F.col("nth")))
+    return met.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select("row.*")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:

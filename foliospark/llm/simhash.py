@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import narrow_batches, stored
+from foliospark.llm.common import drop_stored, narrow_batches, stored
 from foliospark.llm.components import connected_components
 
 #: Nodes of one bucket that a task compares at once.
@@ -177,7 +177,7 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     keyed = nodes.where("id is not null and print is not null").select("id", "print", F.posexplode(masks).alias("slot", "mask"))
     keyed = keyed.select("id", "print", "slot", F.col("mask").bitwiseAND(F.col("print")).alias("bucket"))
     sorted_ = keyed.repartition("slot", "bucket").sortWithinPartitions("slot", "bucket", "print")
-    found = stored(sorted_.mapInArrow(_linked(radius), _FOUND), "links")
+    found = stored(sorted_.mapInArrow(_linked(radius), _FOUND), "links")  # stays: the links that are returned come from it
     waiting = found.where("bucket is not null").select(F.col("u").alias("id"), "print", "slot", "bucket", "block")
     blocks = waiting.groupBy("slot", "bucket").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
@@ -204,6 +204,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("id")), "nodes")
     roots = connected_components(near_links(nodes, radius))
     rooted = stored(nodes.join(roots, nodes.id == roots.node, "left").select("print", F.coalesce("root", "id").alias("component_id")), "roots")
+    drop_stored(nodes)
     return prints.join(rooted, "print").select("doc_id", "print", "component_id")
 
 
@@ -218,13 +219,13 @@ def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     their group has an id, one for each fingerprint.
     """
     groups = stored(near_groups(docs, shingle, radius), "groups")
-    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    best = docs.join(keepers, F.col("doc_id") == F.col("__keep")).drop("__keep")
-    lone = groups.where("component_id is null").select(F.col("print").alias("__keep")).distinct()
-    unnamed = docs.where("doc_id is null").withColumn("__print", fingerprint(F.col("text"), shingle))
-    unnamed = unnamed.join(lone, F.col("__print") == F.col("__keep")).withColumn("__n", F.expr("row_number() over (partition by __print order by text)"))
-    best = best.withColumn("__n", F.expr("row_number() over (partition by doc_id order by text)"))
-    return best.where("__n = 1").drop("__n").unionByName(unnamed.where("__n = 1").drop("__n", "__print", "__keep"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
+    keepers = groups.where("doc_id = component_id").select("component_id").distinct()
+    best = rows.join(keepers, F.col("own_id") == F.col("component_id")).withColumn("n", F.expr("row_number() over (partition by own_id order by own_text)"))
+    lone = groups.where("component_id is null").select("print").distinct()
+    unnamed = narrow_batches(rows.where("own_id is null")).withColumn("own_print", fingerprint(F.col("own_text"), shingle))
+    unnamed = unnamed.join(lone, F.col("own_print") == F.col("print")).withColumn("n", F.expr("row_number() over (partition by own_print order by own_text)"))
+    return best.where("n = 1").select("row").union(unnamed.where("n = 1").select("row")).select("row.*")
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
