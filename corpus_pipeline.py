@@ -15,30 +15,42 @@ from foliospark.llm.findings import labelled_findings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window scores under 0.5 stay, as do those without words; the network learns from the table's labels."""
+    """Documents whose worst window scores under 0.5 stay; the network learns from the table's labels.
+
+    Null, empty and wordless texts stay. Repeated rows stay or go together; other columns, whatever their names, are
+    kept; an empty table gives an empty one. Texts are scored whole, a bounded part at a time.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
     weights = toxicity.fitted(docs, labels)
-    return narrow_batches(docs).withColumn("__score", toxicity.toxicity(F.col("text"), weights)).where("__score < 0.5").select(*docs.columns)
+    scored = narrow_batches(docs).select(F.struct("*").alias("row"), toxicity.toxicity(F.col("text"), weights).alias("score"))
+    return scored.where("score < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by a Jaccard similarity of 0.8 or more of 5-word shingles the document with the smallest doc_id stays."""
+    """Of every group linked by a Jaccard similarity of 0.8 or more of 5-word shingles the document with the smallest doc_id stays.
+
+    Null, empty and blank texts are one group; of rows with one doc_id the least text stays; rows without an id stay
+    only where a group has no other, one for each group; all columns are kept; an empty table gives an empty one.
+    """
     return jaccard.near_dedup(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; confirmed secrets in their texts become a sign."""
+    """All documents stay, repeated ones and null texts too; confirmed secrets in their texts become a sign and n_chars is counted anew."""
     return secret_scan.redacted(docs, secret_scan.train(labelled_findings(spark)), path="source")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them whole: repeated ones are repeated rows, those not drawn go."""
+    """Documents as often as the mix takes them whole: repeated ones are repeated rows, those not drawn go.
+
+    A null source is one of its own; null texts count as empty; all columns are kept; an empty table gives an empty one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the piece ids of each document."""
-    coded = pieces.encode_documents(docs)
+    """doc_id, source and the piece ids of each document; null and empty texts have none; repeated rows stay; other columns are left out."""
+    coded = pieces.encode_documents(docs.select("doc_id", "source", "text"))
     return coded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 
@@ -56,7 +68,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the documents of a folder, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
