@@ -9,7 +9,6 @@ and written out as one column expression, so a scan is a plain projection.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 import zlib
@@ -38,7 +37,7 @@ CANDIDATE = f"{_URL}|{_NAMED}|{_RUN}"
 #: Characters that Unicode keeps out of texts; they mark where a candidate begins and ends.
 _OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufffd"
 #: Least length of a candidate, characters next to it that are looked at.
-LEAST, NEAR = 6, 100
+LEAST, NEAR = 6, 30
 #: Words that secrets stand by, words that harmless values stand by, prefixes that issuers give, paths of code that is no product.
 SECRET_NAMES = f"(?i)(?:{_NAMES})"
 PLAIN_NAMES = r"(?i)commit|sha\d|md5|checksum|digest|hash|uuid|guid|etag|version|revision|order|invoice|isbn|card|serial|build|phone|file|path|(?:^|_)id$"
@@ -47,9 +46,11 @@ PLAIN_PATHS = r"(?i)(?:^|[/_.-])(?:tests?|spec|examples?|samples?|mocks?|fixture
 FEATURES = (
     "length", "transitions", "changes", "digits", "upper", "hex", "distinct", "dictionary", "marks", "path", "around_path", "name_words", "near_words", "secret_name", "plain_name", "issuer", "assigned",
 )
+#: Labelled findings that a model is fitted to at most.
+MOST_FINDINGS = 20_000
 #: Trees, their depth, and the share of votes that confirms a candidate.
-TREES, DEPTH, CONFIRM = 16, 6, 0.5
-#: Where the dictionary's words come from by default: a public vocabulary. Bits of a dictionary's slot, slots of neighbouring words.
+TREES, DEPTH, CONFIRM = 24, 6, 0.5
+#: Where the dictionary's words come from by default: a public vocabulary. Bits of a number of a dictionary's slot, slots of neighbouring words.
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 DICTIONARY_BITS, WORD_SLOTS = 19, 1024
 #: Characters of a transition: small letters, digits, and one place each for capitals, + / = and other marks.
@@ -63,26 +64,28 @@ class Model:
     trees: list
     transitions: bytes  # of each pair of kinds, how much more common it is in secrets, as a level
     words: bytes  # of each slot of neighbouring words, the same
-    dictionary: bytes  # one byte a slot, 1 where a word has it
+    dictionary: bytes  # one bit a slot, set where a word has it
 
 
 def dictionary_of(words: list[str]) -> bytes:
-    """Words (small letters) as slots that a scan looks up; some 4 % of other words meet a taken slot with 20,000 words."""
-    slots = bytearray(1 << DICTIONARY_BITS)
+    """Words (small letters) as bits that a scan looks up; some 5 % of other words meet a taken one with 28,000 words."""
+    bits = bytearray(1 << (DICTIONARY_BITS - 3))
     for word in words:
-        slots[_slot_of(word)] = 1
-    return bytes(slots)
+        slot = zlib.crc32(word.encode()) >> (32 - DICTIONARY_BITS)
+        bits[slot >> 3] |= 1 << (slot & 7)
+    return bytes(bits)
 
 
-def _slot_of(word: str) -> int:
-    return zlib.crc32(word.encode()) >> (32 - DICTIONARY_BITS)
+def in_dictionary(word: Column, dictionary: bytes) -> Column:
+    slot = F.shiftright(F.crc32(F.lower(word).cast("binary")), 32 - DICTIONARY_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(dictionary), F.shiftright(slot, 3) + 1, 1)), 16, 10).cast("int")
+    return F.getbit(byte, slot.bitwiseAND(7)) == 1
 
 
 def vocabulary_words(path: str = VOCABULARY) -> list[str]:
     """Whole words of at least four letters in a tokenizer's vocabulary; the file is one of bounded size, read on the driver."""
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
-    return sorted({w.removesuffix("</w>") for w in vocabulary if w.endswith("</w>") and len(w) >= 8 and w.removesuffix("</w>").isalpha() and w.isascii()})
+        return sorted(set(re.findall(r'"([a-z]{4,})</w>" *:', f.read())))
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -135,7 +138,7 @@ def features(value: Column, left: Column, right: Column, path: Column, model: Mo
     name = name_of(left)
     assigned = left.rlike(rf"(?:=>|:=|=|:){_BLANK}{{0,3}}[\"'`]?$") | left.rlike(rf"(?i)bearer{_BLANK}+$")
     words = F.regexp_extract_all(value, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0))
-    known = F.filter(words, lambda w: F.substring(F.lit(model.dictionary), F.shiftright(F.crc32(F.lower(w).cast("binary")), 32 - DICTIONARY_BITS).cast("int") + 1, 1) == F.lit(b"\x01"))
+    known = F.filter(words, lambda w: in_dictionary(w, model.dictionary))
     near = F.concat_ws(" ", left, right)
     columns = {
         "length": F.length(value).cast("double"),
@@ -159,16 +162,17 @@ def features(value: Column, left: Column, right: Column, path: Column, model: Mo
     return F.struct(name.alias("name"), *[c.alias(n) for n, c in columns.items()])
 
 
-def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1) -> Model:
+def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, most: int = MOST_FINDINGS) -> Model:
     """A model fitted to labelled findings (left, value, right, path, label): what stands before and after a value, and where it was found.
 
     First the log odds of character transitions and of neighbouring words are counted, then the forest is grown on all
     features. words: those of the dictionary, by default a public vocabulary's. Rows without a value or label teach
-    nothing; null neighbours and paths count as empty.
+    nothing; null neighbours and paths count as empty. Of more than most findings those with the least hashes count; they
+    are few enough for one partition, so the forest is the same whatever the cluster.
     """
     texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right", "path")]
     rows = findings.where("label in (0, 1) and length(value) > 1").select("value", *texts, F.col("label").cast("double").alias("label"))
-    rows = stored(rows, "findings")
+    rows = stored(rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most), "findings")
 
     def odds(slots: Column, n: int, least: float) -> bytes:
         """Log odds of each slot as levels, drawn towards 0 where it is rare."""
@@ -187,10 +191,10 @@ def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1) ->
         dictionary_of(vocabulary_words() if words is None else words),
     )
     table = rows.select(features(*[F.col(c) for c in ("value", "left", "right", "path")], model).alias("f"), "label").select("f.*", "label")
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(table)
+    table = stored(table, "features")
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table))
     model.trees = [tree_of(iter(text.splitlines()[1:])) for text in forest.toDebugString.split("\n  Tree ")[1:]]
-    drop_stored(rows)
+    drop_stored(rows, table)
     return model
 
 
