@@ -15,7 +15,7 @@ gives.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -153,25 +153,22 @@ def _ids(model: PieceModel, piece: str) -> list[int]:
     return [model.byte_ids[b] for b in piece.encode("utf-8", "replace")] if model.byte_ids else [model.unknown]
 
 
-class Alone(dict):
-    """Scores of pieces whatever stands before them."""
+class Known(dict):
+    """Values that are worked out when first asked for."""
 
-    def __missing__(self, piece: str) -> float:
-        return -math.inf
+    def __init__(self, make: Callable) -> None:
+        self.make = make
 
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
-class After(dict):
-    """Scores of the pieces that follow one piece of a BPE model, worked out when first asked for."""
 
-    def __init__(self, walk: SharedForward, before: str) -> None:
-        self.walk, self.before = walk, before
+class Alone(dict):
+    """Scores of pieces whatever stands before them; those of others aren't kept."""
 
     def __missing__(self, piece: str) -> float:
-        model = self.walk.model
-        fits = piece in model.rank and (self.before not in model.rank or may_follow(model, self.before, piece))
-        self.walk.n_follows += 1
-        score = self[piece] = 0.0 if fits else -math.inf
-        return score
+        return -math.inf
 
 
 class SharedForward:
@@ -179,28 +176,38 @@ class SharedForward:
 
     def __init__(self, model: PieceModel) -> None:
         self.model, self.merges = model, model.kind == "bpe"
-        self.alone = Alone(model.score)
-        self.follows: dict[str, After] = {}  # for each piece of a BPE model, the scores of those that follow
+        self.ends = Known(lambda key: self._ends(key))
+        #: For each piece what the next one adds: in a unigram model the same table for all.
+        alone = Alone(model.score)
+        self.follows = Known(self._after) if self.merges else Known(lambda before: alone)
         self.n_follows = 0
-        self.ends: dict[str, tuple[int, ...]] = {}
-        #: No piece adds more, so a way that loses nothing can't be beaten; a character that the model doesn't have adds less than any piece.
-        self.most = 0.0 if self.merges else max(model.score.values(), default=0.0)
+        #: What no way exceeds (unigram scores have no such bound), and what a character adds that the model doesn't have.
+        self.most = 0.0 if self.merges else math.inf
         self.unknown = 0.0 if self.merges else min(model.score.values(), default=0.0) - 10.0
 
+    def _after(self, before: str) -> Known:
+        """What pieces of a BPE model add after one piece."""
+        model = self.model
+
+        def score(piece: str) -> float:
+            self.n_follows += 1
+            return 0.0 if piece in model.rank and (before not in model.rank or may_follow(model, before, piece)) else -math.inf
+
+        return Known(score)
+
     def _ends(self, key: str) -> tuple[int, ...]:
         """Lengths, from long to short, of the pieces that may end with these (up to four) characters; those within the key are pieces."""
         longer = self.model.lengths.get(key, ()) if len(key) == 4 else ()
         found = {n for n in longer if n > 4} | {n for n in range(1, len(key) + 1) if key[-n:] in (self.model.rank or self.model.ids)}
         if len(self.ends) > 100_000:
             self.ends.clear()
-        self.ends[key] = tuple(sorted(found, reverse=True))
-        return self.ends[key]
+        return tuple(sorted(found, reverse=True))
 
     def walk(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of each word; words are sorted, so the walk is depth-first and each prefix is extended once."""
-        merges, ends, follows, most = self.merges, self.ends, self.follows, self.most
+        ends, follows, most = self.ends, self.follows, self.most
         best, last = [0.0], [""]  # of each prefix: the best score, and the piece that ends the way to it
-        adds: list[dict] = [After(self, "") if merges else self.alone]  # of each prefix: what the next piece adds
+        adds = [follows[""]]  # of each prefix: what the next piece adds
         was = ""
         for word in words:
             shared, limit = 0, min(len(word), len(was))
@@ -209,31 +216,21 @@ class SharedForward:
             del best[shared + 1 :], last[shared + 1 :], adds[shared + 1 :]
             was = word
             for end in range(shared + 1, len(word) + 1):
-                key = word[end - 4 : end] if end > 4 else word[:end]
-                lengths = ends.get(key)
-                if lengths is None:
-                    lengths = self._ends(key)
                 top, chosen = -math.inf, ""
-                for n in lengths:
-                    if n > end:
-                        continue
-                    piece = word[end - n : end]
-                    score = best[end - n] + adds[end - n][piece]
-                    if score > top:
-                        top, chosen = score, piece
-                        if merges and top == most:
-                            break
+                for n in ends[word[end - 4 : end] if end > 4 else word[:end]]:
+                    if n <= end:
+                        start = end - n
+                        piece = word[start:end]
+                        score = adds[start][piece] + best[start]
+                        if score > top:
+                            top, chosen = score, piece
+                            if score == most:
+                                break
                 if not chosen:
                     top, chosen = best[end - 1] + self.unknown, word[end - 1]
                 best.append(top)
                 last.append(chosen)
-                if merges:
-                    own = follows.get(chosen)
-                    if own is None:
-                        own = follows[chosen] = After(self, chosen)
-                    adds.append(own)
-                else:
-                    adds.append(self.alone)
+                adds.append(follows[chosen])
             found, end = [], len(word)
             while end:
                 found.append(last[end])

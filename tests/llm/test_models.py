@@ -85,6 +85,11 @@ def test_gradient():
             assert abs((up - down) / 2e-2 - g[i]) < 2e-2 + 0.05 * abs(g[i]), (name, i)
 
 
+def test_toxicity_of_one_class():
+    for texts, labels, low in (([], [], True), (["a b"] * 3, [0] * 3, True), (["a b"] * 300, [1] * 300, False)):
+        assert (toxicity.scores(toxicity.train(texts, labels), ["one two", "c"]) < 0.5).all() == low
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 23, 24, 25, 36, 37, 100):
         starts, lengths, _ = toxicity.window_starts(np.array([0, n]))
