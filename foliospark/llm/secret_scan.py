@@ -4,7 +4,7 @@ One pass of a linear pattern marks every candidate of a whole text: passwords in
 long runs of key-like characters with a digit, any number in a word and whatever stands around them. A candidate is
 described by its length, its character transitions, how much of it a dictionary covers, the path it was found in and the
 words next to it; transitions and words weigh what labelled findings teach. The forest is trained by Spark's own learner
-and written out as one column expression, so a scan is a plain projection.
+and written out as constants of one column expression, so a scan is a plain projection.
 """
 
 from __future__ import annotations
@@ -209,19 +209,33 @@ def tree_of(lines) -> tuple | float:
     return int(number), float(threshold), left, tree_of(lines)
 
 
+def laid_out(tree: tuple | float, depth: int) -> list[tuple[int, float]]:
+    """A tree as a complete one, level by level: (feature, threshold) of its inner nodes and (0, votes) of its leaves. A leaf above the last level stands for all below it."""
+    level, out = [tree], []
+    for _ in range(depth):
+        out += [(0, math.inf) if isinstance(t, float) else t[:2] for t in level]
+        level = [child for t in level for child in ((t, t) if isinstance(t, float) else t[2:])]
+    return out + [(0, t) for t in level]
+
+
 def forest_score(trees: list, f: Column) -> Column:
-    """Share of the trees that vote for a secret."""
-
-    def vote(tree) -> Column:
-        if isinstance(tree, float):
-            return F.lit(tree)
-        number, threshold, left, right = tree
-        return F.when(f[FEATURES[number]] <= threshold, vote(left)).otherwise(vote(right))
-
-    total = F.lit(0.0)
-    for tree in trees:
-        total = total + vote(tree)
-    return total / len(trees)
+    """Share of the trees that vote for a secret. The trees are two lists of constants that a candidate walks down, so the plan stays small however many there are."""
+    nodes, size = [n for t in trees for n in laid_out(t, DEPTH)], 2 ** (DEPTH + 1) - 1
+
+    def constants(values: list, kind: str) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+    features_, numbers = constants([n for n, _ in nodes], "int"), constants(["Infinity" if x == math.inf else x for _, x in nodes], "double")
+    own = F.array(*[f[name].cast("double") for name in FEATURES])
+
+    def leaf(first: Column) -> Column:
+        def down(n: Column, _: Column) -> Column:
+            return F.when(F.get(own, F.get(features_, first + n)) <= F.get(numbers, first + n), 2 * n + 1).otherwise(2 * n + 2)
+
+        return F.get(numbers, first + F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), down))
+
+    firsts = F.array(*[F.lit(i * size) for i in range(len(trees))])
+    return F.aggregate(firsts, F.lit(0.0), lambda a, first: a + leaf(first)) / len(trees)
 
 
 def marked(text: Column) -> Column:
