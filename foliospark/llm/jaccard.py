@@ -120,10 +120,9 @@ def simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 def near_links(members: DataFrame, sets: DataFrame, least: float, links: DataFrame) -> DataFrame:
     """members (bucket, key, size), sets (key, hashes) and the links known so far to links (u, v): they connect what those and alike pairs within buckets connect."""
-    roots = stored(connected_components(links), "roots")
-    open_ = members.join(roots, members.key == roots.node, "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+    open_ = members.withColumn("root", F.col("key"))
     for turn in range(ROUNDS + 1):
-        per = open_.groupBy("bucket").agg(F.count_distinct("root").alias("roots"),
+        per = open_.groupBy("bucket").agg(F.count_distinct("root").alias("roots") if turn else F.count("*").alias("roots"),
             F.min_by(F.struct("key", "size", "root"), F.xxhash64("key", F.lit(turn))).alias("c")).where("roots > 1").select("bucket", "c")
         open_ = stored(open_.join(per, "bucket"), "open")
         if open_.isEmpty():
