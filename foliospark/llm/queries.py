@@ -16,6 +16,7 @@ _PLACES = {
     "op8_exact_topk": "topk",
     "op9_toxicity": "toxicity",
     "op10_sentencepiece": "pieces",
+    "op11_lexical_search": "lexical",
     "op13_periodic_runs": "runs",
 }
 
