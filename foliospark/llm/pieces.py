@@ -31,7 +31,7 @@ MARK = "▁"
 #: Where the public model lies by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of distinct words, and pairs of pieces, that a task keeps at most; beyond that it starts anew.
-CACHE_CHARS, FOLLOWERS = 4_000_000, 300_000
+CACHE_CHARS, FOLLOWERS = 8_000_000, 300_000
 
 _ANY = 1 << 30  # the piece of a character that the model doesn't have
 
@@ -164,36 +164,28 @@ class Known(dict):
         return value
 
 
-class Alone(dict):
-    """Scores of pieces whatever stands before them; those of others aren't kept."""
-
-    def __missing__(self, piece: str) -> float:
-        return -math.inf
-
-
 class SharedForward:
     """Encodes sorted words, keeping the forward table of the common prefix."""
 
     def __init__(self, model: PieceModel) -> None:
         self.model, self.merges = model, model.kind == "bpe"
         self.ends = Known(lambda key: self._ends(key))
-        #: For each piece what the next one adds: in a unigram model the same table for all.
-        alone = Alone(model.score)
-        self.follows = Known(self._after) if self.merges else Known(lambda before: alone)
+        #: For each piece of a BPE model which ones may come next.
+        self.follows = Known(self._after)
         self.n_follows = 0
-        #: What no way exceeds (unigram scores have no such bound), and what a character adds that the model doesn't have.
-        self.most = 0.0 if self.merges else math.inf
-        self.unknown = 0.0 if self.merges else min(model.score.values(), default=0.0) - 10.0
+        #: What a character adds that a unigram model doesn't have.
+        self.unknown = min(model.score.values(), default=0.0) - 10.0
 
     def _after(self, before: str) -> Known:
-        """What pieces of a BPE model add after one piece."""
-        model = self.model
+        """Whether pieces of a BPE model may come after one piece."""
+        model, rank = self.model, self.model.rank
+        known = before in rank
 
-        def score(piece: str) -> float:
+        def fits(piece: str) -> bool:
             self.n_follows += 1
-            return 0.0 if piece in model.rank and (before not in model.rank or may_follow(model, before, piece)) else -math.inf
+            return piece in rank and (not known or may_follow(model, before, piece))
 
-        return Known(score)
+        return Known(fits)
 
     def _ends(self, key: str) -> tuple[int, ...]:
         """Lengths, from long to short, of the pieces that may end with these (up to four) characters; those within the key are pieces."""
@@ -205,40 +197,66 @@ class SharedForward:
 
     def walk(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of each word; words are sorted, so the walk is depth-first and each prefix is extended once."""
-        ends, follows, most = self.ends, self.follows, self.most
+        return self._walk_merges(words) if self.merges else self._walk_scores(words)
+
+    def _walk_merges(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """Of a BPE model: a prefix that can be reached at all has score 0, so its last piece is the first that leaves its seam open."""
+        ends, follows = self.ends, self.follows
+        last, adds = [""], [follows[""]]  # of each prefix: the piece that ends the way to it, and which ones may come next
+        was = ""
+        for word in words:
+            shared, limit = 0, min(len(word), len(was))
+            while shared < limit and word[shared] == was[shared]:
+                shared += 1
+            del last[shared + 1 :], adds[shared + 1 :]
+            was = word
+            for end in range(shared + 1, len(word) + 1):
+                for n in ends[word[end - 4 : end] if end > 4 else word[:end]]:
+                    start = end - n
+                    if start >= 0 and adds[start][piece := word[start:end]]:
+                        break
+                else:
+                    piece = word[end - 1]
+                last.append(piece)
+                adds.append(follows[piece])
+            found, end = [], len(word)
+            while end:
+                found.append(piece := last[end])
+                end -= len(piece)
+            found.reverse()
+            yield found
+            if self.n_follows > FOLLOWERS:  # the answers along this word's prefixes live on in adds
+                follows.clear()
+                self.n_follows = 0
+
+    def _walk_scores(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """Of a unigram model: pieces add their own scores."""
+        ends, scores = self.ends, self.model.score
         best, last = [0.0], [""]  # of each prefix: the best score, and the piece that ends the way to it
-        adds = [follows[""]]  # of each prefix: what the next piece adds
         was = ""
         for word in words:
             shared, limit = 0, min(len(word), len(was))
             while shared < limit and word[shared] == was[shared]:
                 shared += 1
-            del best[shared + 1 :], last[shared + 1 :], adds[shared + 1 :]
+            del best[shared + 1 :], last[shared + 1 :]
             was = word
             for end in range(shared + 1, len(word) + 1):
                 top, chosen = -math.inf, ""
                 for n in ends[word[end - 4 : end] if end > 4 else word[:end]]:
                     if n <= end:
-                        start = end - n
-                        piece = word[start:end]
-                        score = adds[start][piece] + best[start]
+                        piece = word[end - n : end]
+                        score = scores.get(piece, -math.inf) + best[end - n]
                         if score > top:
                             top, chosen = score, piece
-                            if score == most:
-                                break
                 if not chosen:
                     top, chosen = best[end - 1] + self.unknown, word[end - 1]
                 best.append(top)
                 last.append(chosen)
-                adds.append(follows[chosen])
             found, end = [], len(word)
             while end:
                 found.append(last[end])
                 end -= len(found[-1])
             yield found[::-1]
-            if self.n_follows > FOLLOWERS:  # the scores along this word's prefixes live on in adds
-                follows.clear()
-                self.n_follows = 0
 
 
 class Encoder:
@@ -272,37 +290,42 @@ class Encoder:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        made, sizes, ids_of, place = [], [], self.model.ids, self.place
-        merges = self.model.kind == "bpe"
+        made, sizes, ids_of = [], [], self.model.ids.get
+        merges, several = self.model.kind == "bpe", MARK + MARK
         # merges of blanks come last, so the walk is over words with one mark at most
-        def body(word: str) -> str:
-            if word[:2] != MARK + MARK and word != MARK:
-                return word
-            bare = word.lstrip(MARK)
-            return MARK + bare if bare else ""
-
-        order = sorted(words, key=body) if merges else sorted(words)
-        for word, found in zip(order, self.forward.walk(map(body, order) if merges else order), strict=True):
-            before, ids = len(made), [ids_of.get(p, -1) for p in found]
-            if merges and word[:2] == MARK + MARK or not found:
-                run = len(word) - len(word.lstrip(MARK))
-                alone = bool(found) and found[0] == MARK
-                made += blanks(self.model, run - (1 if found and not alone else 0), self.known_blanks)
-                found, ids = found[alone:], ids[alone:]
-            if -1 in ids:
-                for piece, own in zip(found, ids, strict=True):
-                    if own >= 0:
-                        made.append(own)
-                    elif self.model.byte_ids or len(made) == before or made[-1] != self.model.unknown:
-                        made += _ids(self.model, piece)
+        odd = sorted(w for w in words if w[:2] == several or w == MARK) if merges else []
+        plain = sorted(words.difference(odd) if odd else words)
+        for found in self.forward.walk(plain):
+            before = len(made)
+            ids = list(map(ids_of, found))
+            if None in ids:
+                self._spell(found, made)
             else:
                 made += ids
-            place[word] = len(place)
-            self.chars += len(word)
             sizes.append(len(made) - before)
+        bare = [w.lstrip(MARK) for w in odd]
+        for word, found in zip(odd, self.forward.walk(MARK + x if x else "" for x in bare), strict=True):
+            before, run = len(made), len(word) - len(word.lstrip(MARK))
+            alone = bool(found) and found[0] == MARK
+            made += blanks(self.model, run - (1 if found and not alone else 0), self.known_blanks)
+            self._spell(found[alone:], made)
+            sizes.append(len(made) - before)
+        first = len(self.place)
+        self.place.update(zip(plain + odd, range(first, first + len(sizes)), strict=True))
+        self.chars += sum(map(len, words))
         self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(sizes, dtype=np.int64)))
         self.values = np.concatenate((self.values, np.array(made, np.int32)))
 
+    def _spell(self, pieces: list[str], made: list[int]) -> None:
+        """Adds the ids of pieces; a run of characters that the model has no bytes for is one unknown."""
+        first = len(made)
+        for piece in pieces:
+            own = self.model.ids.get(piece)
+            if own is not None:
+                made.append(own)
+            elif self.model.byte_ids or len(made) == first or made[-1] != self.model.unknown:
+                made += _ids(self.model, piece)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin and end."""
         if self.chars > CACHE_CHARS:
