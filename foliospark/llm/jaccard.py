@@ -7,7 +7,7 @@ exactly 0.8 with a chance of (1 - 0.8^5)^25, or 0.005 %, and a closer one with l
 the whole shingle sets.
 
 Equal shingle sets are one node from the start. A bucket is compared in rounds with one of its nodes, so a group of near
-copies costs one comparison a copy; only nodes that rounds leave in different components are compared in pairs.
+copies costs one comparison a copy; only nodes that rounds leave in different components are compared with one another.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import simhash
 from foliospark.llm.common import drop_stored, narrow_batches, stored
-from foliospark.llm.components import connected_components
+from foliospark.llm.components import connected_components, spanning_forest
 
 BANDS, ROWS = 25, 5
-#: Rounds in which a bucket is compared with one node; what is open after them is compared in pairs.
-ROUNDS = 4
+#: Rounds in which a bucket is compared with one node; nodes of a bucket that are then compared in pairs as they are.
+ROUNDS, SMALL = 4, 64
 #: Shingles that are permuted at once.
 CHUNK = 4096
 
@@ -82,13 +82,13 @@ def shingle_set(text: Column, shingle: int = 5) -> Column:
     return apply(text.cast("binary"))
 
 
-def alike(a: Column, b: Column, least: float) -> Column:
-    """Whether two shingle sets, as bytes, have a Jaccard similarity of at least least."""
+def alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether two shingle sets, as bytes, have a Jaccard similarity of at least percent / 100, compared as whole numbers."""
 
     def one(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         common = len(np.intersect1d(x, y, assume_unique=True))
-        return common >= least * (len(x) + len(y) - common)
+        return 100 * common >= percent * (len(x) + len(y) - common)
 
     @F.pandas_udf("boolean")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -98,61 +98,113 @@ def alike(a: Column, b: Column, least: float) -> Column:
     return apply(a, b)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (u, v) whose sets are alike."""
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (u, v) whose sets are alike, as a stored table."""
     left, right = sets.select(F.col("key").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("key").alias("v"), F.col("hashes").alias("b"))
     met = narrow_batches(pairs.join(left, "u").join(right, "v"))
-    return stored(met.where(alike(F.col("a"), F.col("b"), least)).select("u", "v"), "links")
+    return stored(met.where(alike(F.col("a"), F.col("b"), percent)).select("u", "v"), "links")
 
 
-def _sizes_allow(a: str, b: str, least: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(float(least)) - 1e-6
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
     """nodes (key, print) to pairs (u, v) of keys: they connect what the SimHash operator links."""
     prints = stored(nodes.groupBy("print").agg(F.min("key").alias("id")), "prints")
     same = nodes.join(prints, "print").where("key <> id").select(F.col("id").alias("u"), F.col("key").alias("v"))
-    pairs = stored(simhash.near_links(prints).union(same).distinct(), "pairs")
-    drop_stored(prints)
+    near = simhash.near_links(prints)
+    pairs = stored(near.union(same).distinct(), "pairs")
+    drop_stored(prints, near)
     return pairs
 
 
-def near_links(members: DataFrame, sets: DataFrame, least: float, links: DataFrame) -> DataFrame:
-    """members (bucket, key, size), sets (key, hashes) and the links known so far to links (u, v): they connect what those and alike pairs within buckets connect."""
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """nodes (key, size, buckets) to members (bucket, key, size, degree) of the buckets that several nodes share, a stored table.
+
+    degree is the number of nodes that a node meets, those of each bucket counted. What near copies were made from meets
+    more of them than they meet of one another.
+    """
+    members = nodes.select("key", "size", F.explode("buckets").alias("bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = stored(members.join(shared, "bucket").select("bucket", "key", "size", "n"), "met")
+    out = stored(met.drop("n").join(met.groupBy("key").agg(F.sum("n").alias("degree")), "key"), "members")
+    drop_stored(met)
+    return out
+
+
+def _open(members: DataFrame, *more: Column) -> DataFrame:
+    """Each bucket that holds nodes of different components, with what more aggregates of it."""
+    return members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low <> high").drop("low", "high")
+
+
+def _compared(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of the nodes in each bucket that are of different components."""
+    left = members.select("bucket", F.col("key").alias("u"), "size", "root")
+    right = members.select("bucket", F.col("key").alias("v"), F.col("size").alias("other"), F.col("root").alias("__root"))
+    return left.join(right, "bucket").where("u < v and root <> __root").where(_sizes_allow("size", "other", percent)).select("u", "v")
+
+
+def near_links(members: DataFrame, sets: DataFrame, percent: int, links: list[DataFrame]) -> list[DataFrame]:
+    """members (see shared_buckets), sets (key, hashes) and the links known so far to stored tables of links (u, v): with those they connect what alike pairs within buckets connect.
+
+    In each of ROUNDS rounds every bucket is compared with one of its nodes, the one that meets most others, so a group of
+    near copies costs one comparison a copy. Of what is then left in different components, buckets of up to SMALL nodes are
+    compared in pairs. The nodes of larger ones meet anew in buckets for each two large buckets that they share, and
+    those are compared in pairs. A pair at a similarity of 0.85 (0.8) has just one bucket of 25 in common with a chance of 8.5
+    (55) in a million; only such a pair, in a bucket still large after the rounds, could stay apart.
+    """
+    links = list(links)
     open_ = members.withColumn("root", F.col("key"))
+    reads: list[DataFrame] = []  # stored tables that open_ reads
     for turn in range(ROUNDS + 1):
-        per = open_.groupBy("bucket").agg(F.count_distinct("root").alias("roots") if turn else F.count("*").alias("roots"),
-            F.min_by(F.struct("key", "size", "root"), F.xxhash64("key", F.lit(turn))).alias("c")).where("roots > 1").select("bucket", "c")
-        open_ = stored(open_.join(per, "bucket"), "open")
+        if turn or links:
+            roots = connected_components(spanning_forest(union_all(links))) if links else None
+            if roots is not None:
+                met = open_.drop("root").join(roots, open_.key == roots.node, "left")
+                open_ = met.select("bucket", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
+                reads.append(roots)
+        last = turn == ROUNDS
+        centre = F.count("*").alias("n") if last else F.max_by(F.struct("key", "size", "root"), F.struct("degree", F.xxhash64("key", F.lit(turn)))).alias("c")
+        still = stored(open_.join(_open(open_, centre), "bucket"), "open")
+        drop_stored(*reads)
+        open_, reads = still, [still]
         if open_.isEmpty():
             break
-        if turn < ROUNDS:
-            pairs = open_.where("root <> c.root").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v"), "size", F.col("c.size").alias("other"))
+        if last:
+            few = _compared(open_.where(F.col("n") <= SMALL), percent)
+            own = open_.where(F.col("n") > SMALL).groupBy("key").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.array_sort(F.collect_set("bucket")).alias("b"))
+            two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
+            anew = stored(own.select("key", "size", "root", F.explode(two).alias("bucket")), "anew")
+            reads.append(anew)
+            pairs = few.union(_compared(anew.join(_open(anew), "bucket"), percent)).distinct()
         else:
-            right = open_.select("bucket", F.col("key").alias("v"), F.col("size").alias("other"), F.col("root").alias("__root"))
-            pairs = open_.select("bucket", F.col("key").alias("u"), "size", "root").join(right, "bucket").where("u < v and root <> __root")
-        pairs = pairs.where(_sizes_allow("size", "other", least)).select("u", "v").distinct()
-        found = _confirmed(pairs, sets, least)
-        links = links.union(found)
-        if turn < ROUNDS:  # the node compared with all others of its bucket is done with
-            roots = stored(connected_components(links), "roots")
-            rest = open_.where("key <> c.key").select("bucket", "key", "size")
-            open_ = rest.join(roots, rest.key == roots.node, "left").select("bucket", "key", "size", F.coalesce("root", "key").alias("root"))
+            pairs = open_.where("root <> c.root").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v"), "size", F.col("c.size").alias("other"))
+            pairs = pairs.where(_sizes_allow("size", "other", percent)).select("u", "v").distinct()
+        links.append(confirmed(pairs, sets, percent))
+        if not last:  # the node compared with all others of its bucket is done with
+            open_ = open_.where("key <> c.key").drop("c")
+    drop_stored(*reads)
     return links
 
 
-def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs (doc_id, text) to one row per input row: doc_id, key, root.
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for more in tables[1:]:
+        whole = whole.union(more)
+    return whole
+
 
-    Rows of one root are connected by pairs with a Jaccard similarity of at least least. Null, empty and blank texts
-    are one group; rows with a null doc_id are linked like any other.
+def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs (doc_id, text) to one row per input row: doc_id, key, root; a stored table.
+
+    Rows of one root are connected by pairs with a Jaccard similarity of at least percent / 100. Null, empty and blank texts
+    are one group; rows with a null doc_id are linked like any other; other columns are left out; texts are read whole,
+    however long, and a set of shingles has to fit into a row.
     """
     rows = stored(narrow_batches(docs).select("doc_id", sketch(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "sketches")
     nodes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.min("print").alias("print"), F.first("buckets").alias("buckets")), "nodes")
-    members = nodes.select("key", "size", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket").select("bucket", "key", "size"), "members")
+    members = shared_buckets(nodes)
     close = simhash_pairs(nodes.select("key", "print"))
     met = members.select("key").union(close.select("u")).union(close.select("v")).distinct()
     wanted = stored(met.join(nodes.select("key", "id"), "key"), "wanted")
@@ -160,18 +212,20 @@ def near_groups(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     texts = named.union(docs.where("doc_id is null").select("text"))
     sets = narrow_batches(texts).select(shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
     sets = stored(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
-    roots = stored(connected_components(near_links(members, sets, least, _confirmed(close, sets, least))), "components")
-    drop_stored(nodes, members, wanted, close, sets)
-    return rows.join(roots, rows.key == roots.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    links = near_links(members, sets, percent, [confirmed(close, sets, percent)])
+    roots = connected_components(spanning_forest(union_all(links)))
+    out = stored(rows.join(roots, rows.key == roots.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "groups")
+    drop_stored(rows, nodes, members, wanted, close, sets, roots, *links)
+    return out
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies, all columns kept: of each group the row with the smallest doc_id stays.
 
     Of rows that share that doc_id the one with the least text stays. Rows with a null doc_id stay only if nothing in
     their group has an id, one for each group.
     """
-    groups = stored(near_groups(docs, shingle, least), "groups")
+    groups = near_groups(docs, shingle, percent)
     firsts = stored(groups.groupBy("root").agg(F.min("doc_id").alias("keep")), "firsts")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
     best = rows.join(firsts.where("keep is not null").select("keep").distinct(), F.col("own_id") == F.col("keep"))

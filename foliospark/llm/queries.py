@@ -17,6 +17,7 @@ _PLACES = {
     "op9_toxicity": "toxicity",
     "op10_sentencepiece": "pieces",
     "op11_lexical_search": "lexical",
+    "op12_superminhash_near_dedup": "superminhash",
     "op13_periodic_runs": "runs",
 }
 

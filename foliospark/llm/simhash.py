@@ -169,7 +169,7 @@ def _linked(radius: int):
 
 
 def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """nodes (id long, print long, distinct prints) to links (u, v): they connect exactly what pairs within the radius connect.
+    """nodes (id long, print long, distinct prints) to links (u, v), a stored table: they connect exactly what pairs within the radius connect.
 
     Empty input gives no link. Nodes with a null id or print take no part.
     """
@@ -177,7 +177,7 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
     keyed = nodes.where("id is not null and print is not null").select("id", "print", F.posexplode(masks).alias("slot", "mask"))
     keyed = keyed.select("id", "print", "slot", F.col("mask").bitwiseAND(F.col("print")).alias("bucket"))
     sorted_ = keyed.repartition("slot", "bucket").sortWithinPartitions("slot", "bucket", "print")
-    found = stored(sorted_.mapInArrow(_linked(radius), _FOUND), "links")  # stays: the links that are returned come from it
+    found = stored(sorted_.mapInArrow(_linked(radius), _FOUND), "found")
     waiting = found.where("bucket is not null").select(F.col("u").alias("id"), "print", "slot", "bucket", "block")
     blocks = waiting.groupBy("slot", "bucket").agg(F.max("block").alias("last"))
     other = F.explode(F.sequence(F.lit(0), F.col("last")))
@@ -189,7 +189,9 @@ def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
         return pd.DataFrame({"u": u, "v": v})
 
     late = met.groupBy("slot", "bucket", "low", "high").applyInPandas(compare, "u long, v long")
-    return found.where("bucket is null").select("u", "v").union(late)
+    links = stored(found.where("bucket is null").select("u", "v").union(late), "links")
+    drop_stored(found)
+    return links
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -202,9 +204,10 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
     """
     prints = stored(narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("print")), "prints")
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("id")), "nodes")
-    roots = connected_components(near_links(nodes, radius))
+    links = near_links(nodes, radius)
+    roots = connected_components(links)
     rooted = stored(nodes.join(roots, nodes.id == roots.node, "left").select("print", F.coalesce("root", "id").alias("component_id")), "roots")
-    drop_stored(nodes)
+    drop_stored(nodes, links, roots)
     return prints.join(rooted, "print").select("doc_id", "print", "component_id")
 
 
