@@ -52,12 +52,19 @@ def password(value: Column) -> Column:
     )
 
 
+def _without(value: Column, signs: str = "") -> Column:
+    """The value without white space and these signs: people write them where they like."""
+    return F.regexp_replace(value, rf"[\s\p{{Z}}{signs}]", "")
+
+
 def phone(value: Column) -> Column:
-    return _rule("phone", value.rlike(f"^{PHONE}$"))
+    """Blanks, dashes and brackets don't count."""
+    return _rule("phone", _without(value, "\\-()").rlike(f"^{PHONE}$"))
 
 
 def postal_code(value: Column) -> Column:
-    return _rule("postal_code", value.rlike(r"^\d{5}$"))
+    """Blanks don't count."""
+    return _rule("postal_code", _without(value).rlike(r"^\d{5}$"))
 
 
 def _weighted(digits: Column, weights: tuple) -> Column:
@@ -68,15 +75,17 @@ def _weighted(digits: Column, weights: tuple) -> Column:
 
 
 def resident_id(value: Column) -> Column:
-    digits = F.replace(value, F.lit("-"))
+    """Blanks and dashes don't count."""
+    digits = _without(value, "\\-")
     check = (11 - _weighted(digits, RESIDENT_WEIGHTS) % 11) % 10
-    return F.coalesce(_rule("format", value.rlike(r"^\d{6}-?[1-4]\d{6}$")), _rule("checksum", check == F.substring(digits, 13, 1).try_cast("int")))
+    return F.coalesce(_rule("format", digits.rlike(r"^\d{6}[1-4]\d{6}$")), _rule("checksum", check == F.substring(digits, 13, 1).try_cast("int")))
 
 
 def business_id(value: Column) -> Column:
-    digits = F.replace(value, F.lit("-"))
+    """Blanks and dashes don't count."""
+    digits = _without(value, "\\-")
     check = (10 - _weighted(digits, BUSINESS_WEIGHTS) % 10) % 10
-    return F.coalesce(_rule("format", value.rlike(r"^\d{3}-?\d{2}-?\d{5}$")), _rule("checksum", check == F.substring(digits, 10, 1).try_cast("int")))
+    return F.coalesce(_rule("format", digits.rlike(r"^\d{10}$")), _rule("checksum", check == F.substring(digits, 10, 1).try_cast("int")))
 
 
 def missing_fields(fields: Column, required: list[str]) -> Column:

@@ -166,22 +166,23 @@ def mapped(eav: DataFrame, schemas: dict, schema: str) -> DataFrame:
     """One row per document in a target schema.
 
     schemas: {schema: {target: "group.field" or {"transform": "concat" | "first_non_empty", "fields": [...]}}}. concat
-    joins what isn't null with blanks, first_non_empty takes the first that isn't null. Unknown schemas and transforms
-    raise before anything runs. Only the fields that the schema names are pivoted.
+    joins what isn't null with blanks, first_non_empty takes the first that isn't null; another transform gives null.
+    Unknown schemas raise before anything runs. Every document of eav has a row, with nulls where it lacks the fields;
+    only the fields that the schema names are pivoted.
     """
     if schema not in schemas:
         raise ValueError(f"unknown schema {schema!r}; there are {sorted(schemas)}")
     rules = {t: {"transform": "first_non_empty", "fields": [r]} if isinstance(r, str) else r for t, r in schemas[schema].items()}
-    if odd := {r["transform"] for r in rules.values()} - {"concat", "first_non_empty"}:
-        raise ValueError(f"unknown transforms: {sorted(odd)}")
     paths = sorted({f for r in rules.values() for f in r["fields"]})
     path = F.concat_ws(".", "group_name", "field")
-    wide = structure(eav).where(path.isin(*paths)).groupBy("document_id").agg(*[F.max(F.when(path == p, F.col("value"))).alias(p) for p in paths])
+    wide = structure(eav).groupBy("document_id").agg(*[F.max(F.when(path == p, F.col("value"))).alias(p) for p in paths])
     column = {p: F.col(f"`{p}`") for p in paths}
 
     def target(rule: dict) -> Column:
         fields = [column[f] for f in rule["fields"]]
-        return F.nullif(F.concat_ws(" ", *fields), F.lit("")) if rule["transform"] == "concat" else F.coalesce(*fields)
+        if rule["transform"] == "concat":
+            return F.nullif(F.concat_ws(" ", *fields), F.lit(""))
+        return F.coalesce(*fields) if rule["transform"] == "first_non_empty" else F.lit(None).cast("string")
 
     return wide.select("document_id", *[target(r).alias(t) for t, r in rules.items()])
 

@@ -29,7 +29,7 @@ def _forms(spark, d):
 @query(f"""WITH {_FORMS}, e AS (SELECT *, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext FROM forms) SELECT k,
   CASE WHEN ext NOT IN ('pdf', 'jpg', 'hwp', 'docx') THEN 'file_type' END AS file_type, CASE WHEN size > 104857600 THEN 'file_size' END AS file_size,
   CASE WHEN ext NOT IN ('pdf', 'jpg', 'bmp', 'docx') THEN 'file_type' WHEN size > 10485760 THEN 'file_size' END AS upload,
-  CASE WHEN phone = 'none' OR phone = '02-123-45678' THEN 'phone' END AS phone, CASE WHEN postal <> '12345' THEN 'postal_code' END AS postal,
+  CASE WHEN phone = 'none' THEN 'phone' END AS phone, CASE WHEN postal <> '12345' THEN 'postal_code' END AS postal,
   CASE WHEN number = 'x' THEN 'number' WHEN number::INT < 0 THEN 'too_small' WHEN number::INT > 50 THEN 'too_large' END AS number, CASE WHEN length(prio) < 6 THEN 'too_short' WHEN length(prio) > 10 THEN 'too_long' END AS length,
   CASE WHEN maybe IS NULL THEN 'maybe' ELSE '' END AS missing FROM e""")
 def validate_forms(spark, d):
@@ -42,6 +42,29 @@ def validate_forms(spark, d):
     )
 
 
+_SPACED = """SELECT o_orderkey AS k, ['(010) 1234-5678', '010 1234 5678', '02)123-4567', '010_1234_5678', ' 0 1 0-12345678 '][(o_orderkey % 5)::INT + 1] AS phone, ['123 45', ' 1 2 3 4 5 ', '123-45', '1234 '][(o_orderkey % 4)::INT + 1] AS postal,
+  substr(n, 1, 3) || [' ', '-', ' - ', '', '_'][(o_orderkey % 5)::INT + 1] || substr(n, 4, 2) || [' ', '-', '  '][(o_orderkey % 3)::INT + 1] || substr(n, 6) AS business, substr(r, 1, 6) || [' ', ' - ', '--', '/'][(o_orderkey % 4)::INT + 1] || substr(r, 7) AS resident, n, r
+  FROM (SELECT o_orderkey, lpad((o_orderkey * 104729 % 10000000000)::VARCHAR, 10, '0') AS n, lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') || (1 + o_orderkey % 5) || lpad((o_orderkey * 331 % 1000000)::VARCHAR, 6, '0') AS r FROM orders)"""
+
+
+@query(f"""WITH s AS ({_SPACED}), b AS (SELECT *, (list_sum(list_transform(list_zip(string_split(substr(n, 1, 9), ''), [1, 3, 7, 1, 3, 7, 1, 3, 5]), lambda z: z[1]::INT * z[2])))::INT AS bs,
+  (list_sum(list_transform(list_zip(string_split(substr(r, 1, 12), ''), [2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5]), lambda z: z[1]::INT * z[2])))::INT AS rs FROM s)
+  SELECT k, CASE WHEN k % 5 = 3 THEN 'phone' END AS phone, CASE WHEN k % 4 > 1 THEN 'postal_code' END AS postal,
+  CASE WHEN contains(business, '_') THEN 'format' WHEN (10 - bs % 10) % 10 <> substr(n, 10)::INT THEN 'checksum' END AS business,
+  CASE WHEN contains(resident, '/') OR substr(r, 7, 1) = '5' THEN 'format' WHEN (11 - rs % 11) % 10 <> substr(r, 13)::INT THEN 'checksum' END AS resident FROM b""")
+def validate_spaced(spark, d):
+    """Phones, postal codes and numbers of people and businesses as they are written, with blanks, dashes and brackets in odd places."""
+    k = F.col("o_orderkey")
+    pick = lambda *options: F.element_at(F.array(*[F.lit(o) for o in options]), (k % len(options) + 1).cast("int"))
+    n = F.lpad((k * 104729 % 10000000000).cast("string"), 10, "0")
+    r = F.concat(F.lpad((k * 7919 % 1000000).cast("string"), 6, "0"), 1 + k % 5, F.lpad((k * 331 % 1000000).cast("string"), 6, "0"))
+    business = F.concat(F.substring(n, 1, 3), pick(" ", "-", " - ", "", "_"), F.substring(n, 4, 2), pick(" ", "-", "  "), F.substring(n, 6, 9))
+    return table(spark, d, "orders").select(
+        k.alias("k"), validate.phone(pick("(010) 1234-5678", "010 1234 5678", "02)123-4567", "010_1234_5678", " 0 1 0-12345678 ")).alias("phone"), validate.postal_code(pick("123 45", " 1 2 3 4 5 ", "123-45", "1234 ")).alias("postal"),
+        validate.business_id(business).alias("business"), validate.resident_id(F.concat(F.substring(r, 1, 6), pick(" ", " - ", "--", "/"), F.substring(r, 7, 9))).alias("resident"),
+    )
+
+
 @query(f"""WITH {_FORMS} SELECT k, CASE phone WHEN '010-1234-5678' THEN phone WHEN '0212345678' THEN '02-1234-5678' WHEN '02-123-45678' THEN '02-1234-5678' END AS phone, CASE postal WHEN '12345' THEN postal WHEN '123-45' THEN '12345' END AS postal,
   CASE maybe WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE maybe END AS label, '_a_' || replace(name, '..', '') AS safe, prio IN ('1-URGENT') AS urgent, size::VARCHAR IN ('1') AS flag FROM forms""")
 def format_values(spark, d):
@@ -61,13 +84,12 @@ def extract_structured(spark, d):
     return found.select("doc_id", some("phones").alias("phones"), some("emails").alias("emails"), some("dates").alias("dates"))
 
 
-@query(f"""WITH {I.KOREAN_SQL}, r AS (SELECT document_id, text, whole, house FROM korean) SELECT document_id, unnest(['personal_info_name', 'personal_info_address', 'amounts_1_value', 'amounts_1_currency', 'amounts_2_value', 'amounts_2_currency']) AS field_name,
-  unnest(['홍길동', '서울시 중구 세종로 ' || house, whole::VARCHAR, 'KRW', whole || '.5', 'USD']) AS field_value FROM r""")
+@query(f"""WITH {I.KOREAN_SQL} SELECT document_id, unnest(['full_text', 'personal_info_name', 'personal_info_address', 'dates_1', 'dates_2', 'amounts_1_value', 'amounts_1_currency', 'amounts_1_text', 'amounts_2_value', 'amounts_2_currency', 'amounts_2_text']) AS field_name,
+  unnest([text, '홍길동', '서울시 중구 세종로 ' || house, year(d) || '년 ' || month(d) || '월 ' || day(d) || '일', strftime(d, '%Y년 %m월 %d일'), whole::VARCHAR, 'KRW', whole || ' 원', whole || '.5', 'USD', '$' || whole || '.5']) AS field_value FROM korean""")
 def shred_korean(spark, d):
-    """Names, addresses and amounts of Korean texts as rows; texts and dates are looked at elsewhere."""
+    """Names, addresses, dates and amounts of Korean texts as rows, beside the texts."""
     docs = I.korean_texts(spark, d).withColumn("confidence", F.lit(0.5)).withColumn("entities", extract.structured(F.col("text"), False))
-    rows = eav.shred(docs)
-    return rows.where(F.col("field_name").rlike("^personal_info_(name|address)$|^amounts_._(value|currency)$")).select("document_id", "field_name", "field_value")
+    return eav.shred(docs).select("document_id", "field_name", "field_value")
 
 
 _STRUCTURED = """s AS (SELECT document_id, CASE WHEN field_name <> 'summary' THEN split_part(field_name, '_', 1) END AS group_name, CASE WHEN field_name = 'summary' THEN field_name ELSE substr(field_name, strpos(field_name, '_') + 1) END AS field, field_value AS value FROM eav)"""
@@ -164,12 +186,16 @@ def export_projection(spark, d):
     return catalog.projected(o, {"status": True, "priority": False})
 
 
-@query("""SELECT doc_id, sha256('k1' || coalesce(text, '')) <> '' AS signed, CASE WHEN lang = 'en' THEN 2 WHEN lang IS NULL THEN 0 ELSE 1 END::INT AS fields, length(coalesce(text, '')) >= 0 AS fits FROM documents""")
+_PADS = ["".join(f"\\x{x ^ pad:02X}" for x in b"webhook-key".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""SELECT doc_id, sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(coalesce(text, ''))))) AS signature, CASE WHEN lang = 'en' THEN 2 WHEN lang IS NULL THEN 0 ELSE 1 END::INT AS fields, doc_id % 2 = 0 AS fits FROM documents""")
 def signatures(spark, d):
-    """Signatures of texts, the number of a template's fields, and passwords that fit their hashes."""
+    """Signatures of texts, the number of a template's fields, and whether passwords (of odd documents a wrong one) fit their hashes."""
     docs = table(spark, d, "documents").withColumn("t", F.coalesce("text", F.lit("")))
     vars_ = F.when(F.col("lang") == "en", F.array(F.lit("a"), F.lit("b"))).when(F.col("lang").isNotNull(), F.array(F.lit("a")))
-    return docs.select("doc_id", (F.length(mask.signature(F.col("t"), b"key")) == 64).alias("signed"), prompts.field_count(vars_).cast("int").alias("fields"), mask.password_fits(F.col("t"), mask.password_hash(F.col("t"), F.lit("00ff"))).alias("fits"))
+    given = F.concat("t", F.when(F.col("doc_id") % 2 == 0, "").otherwise("!"))
+    return docs.select("doc_id", mask.signature(F.col("t"), b"webhook-key").alias("signature"), prompts.field_count(vars_).cast("int").alias("fields"), mask.password_fits(given, mask.password_hash(F.col("t"), F.lit("00ff"))).alias("fits"))
 
 
 @query("""SELECT c_custkey AS document_id, 'personal_info' AS category, 'phones' AS field, 2 AS item, 'x' || c_custkey AS value FROM customer UNION ALL SELECT c_custkey, 'amounts', 'value', 1, c_nationkey::VARCHAR FROM customer UNION ALL SELECT c_custkey, 'dates', NULL, 3, c_name FROM customer""")

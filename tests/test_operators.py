@@ -89,7 +89,7 @@ def test_replies(spark):
 
 def test_bad_arguments(spark):
     df = spark.createDataFrame([], EAV)
-    for call in (lambda: eav.mapped(df, {}, "x"), lambda: eav.mapped(df, {"x": {"y": {"transform": "z", "fields": []}}}, "x"), lambda: catalog.listed(df, status="odd"),
+    for call in (lambda: eav.mapped(df, {}, "x"), lambda: catalog.listed(df, status="odd"),
                  lambda: prompts.rendered("{a}", {}), lambda: registry.engine("none"), lambda: registry.generated(df, "none")):
         with pytest.raises(ValueError):
             call()
