@@ -209,3 +209,17 @@ def reassembled(spark, d):
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
 def at_paths(spark, d):
     return table(spark, d, "events").select("event_id", eav.at_path(F.col("props"), "k").alias("k"))
+
+
+@query("""SELECT doc_id, md5(text) AS opened, 4 * ((57 + 16 * (strlen(text) // 16 + 1) + 2) // 3) AS size, NULL::VARCHAR AS altered, NULL::VARCHAR AS expired, CASE WHEN doc_id % 2 = 0 THEN md5(text) END AS in_time FROM documents""")
+def sealed_texts(spark, d):
+    """Texts as encrypted tokens, opened again; altered and expired ones don't open."""
+    key = mask.derived_key("pass phrase", b"0123456789abcdef", 1000)
+    made = F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("doc_id") % 2 == 0, 90).otherwise(0))
+    docs = table(spark, d, "documents").select("doc_id", mask.token(F.col("text"), key, made, F.unhex(F.md5(F.col("doc_id").cast("string")))).alias("token"))
+    altered = F.concat(F.expr("substr(token, 1, 40)"), F.when(F.expr("substr(token, 41, 1)") == "A", "B").otherwise("A"), F.expr("substr(token, 42)"))
+    now = F.timestamp_seconds(F.lit(1_700_000_100))
+    return docs.select(
+        "doc_id", F.md5(mask.opened(F.col("token"), key)).alias("opened"), F.length("token").cast("long").alias("size"), mask.opened(altered, key).alias("altered"),
+        mask.opened(F.col("token"), key, 5, now).alias("expired"), F.md5(mask.opened(F.col("token"), key, 60, now)).alias("in_time"),
+    )
