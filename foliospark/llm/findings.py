@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import drop_stored, stored
+
 _SECRET = "token|api_key|secret|auth_token|access_key|client_secret|password|passwd|pwd|API_TOKEN|db.password|AWS_SECRET_ACCESS_KEY|privateKey|credentials".split("|")
 _PLAIN = "commit|sha1|checksum|etag|revision|digest|md5|uuid|build_id|version|order_id|invoice|integrity|file|serial|phone|isbn|path|request_id|trace".split("|")
 _PROSE = "the|of|and|see|with|in|que|der|hand|eran|use|key|new|les|und|para|from|value|is|este|une|ein|please|here|login|account".split("|")
@@ -36,8 +38,21 @@ def _digits(salt: str, n: int) -> Column:
     return F.lpad(_number(salt, 10**n).cast("string"), n, "7")
 
 
+def _around(salt: str) -> Column:
+    """Some hundred characters that have nothing to do with a finding: prose, other names and other values."""
+    def line(k: int) -> Column:
+        prose = F.concat_ws(" ", *[_one(_PROSE, f"{salt}{k}{i}") for i in range(6)])
+        name = _one([*_PLAIN, *_SECRET], f"{salt}n{k}")
+        return _one([prose, prose, prose, F.concat(name, F.lit(": "), _digits(f"{salt}v{k}", 3)), F.concat(name, F.lit(" = "), _one(_PROSE, f"{salt}w{k}"))], f"{salt}o{k}")
+
+    return F.concat(line(1), F.lit("\n"), line(2), _one([" ", "\n", ". "], f"{salt}s"), line(3), F.lit(" "))
+
+
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """n findings (left, value, right, path, label) drawn by rule, the same ones on every run."""
+    """n findings (left, value, right, path, label) drawn by rule, the same ones on every run; a stored table.
+
+    left and right are long: what names a value stands next to it, other prose, names and values beyond that.
+    """
     base = spark.range(0, n, 1, 4).withColumns({
         "wide": F.concat(_hash("a"), _hash("b")), "size": (_number("size", 5) * 8 + 24).cast("int"), "secret": _one(_SECRET, "secret"), "plain": _one(_PLAIN, "plain"),
         "prose": F.concat(_one(_PROSE, "p1"), F.lit(" "), _one(_PROSE, "p2"), F.lit(" "), _one(_PROSE, "p3"), F.lit(" ")), "holder": _one(_PLACEHOLDERS, "holder"),
@@ -79,10 +94,16 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (0, F.concat("prose", F.lit("data:image/"), _one(["png", "jpeg", "gif", "woff2"], "image"), F.lit(";base64,")), F.concat(F.lit("iVBORw0KGgo"), "mixed")),
         (0, c("prose"), F.concat(F.substring(F.regexp_replace("wide", "[0-9]", ""), 1, 12), _one(["tion", "ment", "keit", "heit", "idad"], "e1"), _number("e2", 10))),
     ]
-    case = F.pmod(F.xxhash64("id", F.lit("case")), F.lit(len(cases)))
-    rows = F.coalesce(*[F.when(case == i, F.struct(left.alias("left"), value.alias("value"), F.lit(y).alias("label"))) for i, (y, left, value) in enumerate(cases)])
-    found = base.select("id", rows.alias("r"), "right", "path").select("id", "r.*", "right", "path")
     # what tests and examples hold is made up, however real it looks
-    made_up = F.pmod(F.xxhash64("id", F.lit("t")), F.lit(12)) == 0
-    tests = _one(["tests/fixtures/keys.json", "examples/demo.py", "docs/sample.md", "spec/mocks/auth.rb"], "tests")
-    return found.select("left", "value", "right", F.when(made_up, tests).otherwise(F.col("path")).alias("path"), F.when(made_up, 0).otherwise(F.col("label")).alias("label"))
+    made_up, tests = F.pmod(F.xxhash64("id", F.lit("t")), F.lit(12)) == 0, _one(["tests/fixtures/keys.json", "examples/demo.py", "docs/sample.md", "spec/mocks/auth.rb"], "tests")
+    case = F.pmod(F.xxhash64("id", F.lit("case")), F.lit(len(cases))).cast("int")
+    base = base.withColumns({"case": case, "made_up": made_up, "before": _around("before"), "after": _around("after")})
+    base = base.withColumn("path", F.when(made_up, tests).otherwise(F.col("path")))
+    base = stored(base, "drawn")  # the cases' columns are read by three expressions; a filter on the label must not work all of them out again
+    label = F.when(F.col("made_up"), 0).otherwise(F.element_at(F.array(*[F.lit(y) for y, _, _ in cases]), F.col("case") + 1))
+    left, value = (F.coalesce(*[F.when(F.col("case") == i, x[k]) for i, x in enumerate(cases)]) for k in (1, 2))
+    found = base.select("case", "made_up", F.concat("before", left).alias("left"), value.alias("value"), F.concat("right", "after").alias("right"), "path")
+    found = found.withColumn("label", label).drop("case", "made_up")
+    out = stored(found, "findings")
+    drop_stored(base)
+    return out

@@ -9,6 +9,7 @@ and written out as constants of one column expression, so a scan is a plain proj
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -36,8 +37,8 @@ _RUN = r"((?<![\p{L}\p{N}+/_.-])(?=[A-Za-z+/_.-]*+[0-9])[A-Za-z0-9+/_.-]{12,}+(?
 CANDIDATE = f"{_URL}|{_NAMED}|{_RUN}"
 #: Characters that Unicode keeps out of texts; they mark where a candidate begins and ends.
 _OPEN, _CLOSE, _OTHER = "\ufdd0", "\ufdd1", "\ufffd"
-#: Least length of a candidate, characters next to it that are looked at.
-LEAST, NEAR = 6, 30
+#: Least length of a candidate, characters on either side of it that are looked at (see README for figures of other widths).
+LEAST, NEAR = 6, 60
 #: Words that secrets stand by, words that harmless values stand by, prefixes that issuers give, paths of code that is no product.
 SECRET_NAMES = f"(?i)(?:{_NAMES})"
 PLAIN_NAMES = r"(?i)commit|sha\d|md5|checksum|digest|hash|uuid|guid|etag|version|revision|order|invoice|isbn|card|serial|build|phone|file|path|(?:^|_)id$"
@@ -65,6 +66,7 @@ class Model:
     transitions: bytes  # of each pair of kinds, how much more common it is in secrets, as a level
     words: bytes  # of each slot of neighbouring words, the same
     dictionary: bytes  # one bit a slot, set where a word has it
+    near: int = NEAR  # characters on either side of a candidate that it has learned from
 
 
 def dictionary_of(words: list[str]) -> bytes:
@@ -162,7 +164,7 @@ def features(value: Column, left: Column, right: Column, path: Column, model: Mo
     return F.struct(name.alias("name"), *[c.alias(n) for n, c in columns.items()])
 
 
-def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, most: int = MOST_FINDINGS) -> Model:
+def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, most: int = MOST_FINDINGS, near: int = NEAR) -> Model:
     """A model fitted to labelled findings (left, value, right, path, label): what stands before and after a value, and where it was found.
 
     First the log odds of character transitions and of neighbouring words are counted, then the forest is grown on all
@@ -170,7 +172,7 @@ def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, mo
     nothing; null neighbours and paths count as empty. Of more than most findings those with the least hashes count; they
     are few enough for one partition, so the forest is the same whatever the cluster.
     """
-    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("left", "right", "path")]
+    texts = [F.right(F.coalesce("left", F.lit("")), F.lit(near)).alias("left"), F.left(F.coalesce("right", F.lit("")), F.lit(near)).alias("right"), F.coalesce("path", F.lit("")).alias("path")]
     rows = findings.where("label in (0, 1) and length(value) > 1").select("value", *texts, F.col("label").cast("double").alias("label"))
     rows = stored(rows.orderBy(F.xxhash64(*rows.columns), *rows.columns).limit(most), "findings")
 
@@ -189,6 +191,7 @@ def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, mo
         odds(transitions(F.col("value")), _KINDS * _KINDS, 2.0),
         odds(word_slots(F.concat_ws(" ", "left", "right")), WORD_SLOTS, 5.0),
         dictionary_of(vocabulary_words() if words is None else words),
+        near,
     )
     table = rows.select(features(*[F.col(c) for c in ("value", "left", "right", "path")], model).alias("f"), "label").select("f.*", "label")
     table = stored(table, "features")
@@ -198,6 +201,29 @@ def train(findings: DataFrame, words: list[str] | None = None, seed: int = 1, mo
     return model
 
 
+def save(model: Model, spark: SparkSession, path: str) -> None:
+    """A model as a table of one row, to be loaded by other scans; what was there is replaced."""
+    row = (json.dumps(model.trees), bytearray(model.transitions), bytearray(model.words), bytearray(model.dictionary), model.near)
+    spark.createDataFrame([row], "trees string, transitions binary, words binary, dictionary binary, near int").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    row = spark.read.parquet(path).first()
+
+    def tree(x: list | float) -> tuple | float:
+        return float(x) if not isinstance(x, list) else (x[0], x[1], tree(x[2]), tree(x[3]))
+
+    return Model([tree(t) for t in json.loads(row["trees"])], bytes(row["transitions"]), bytes(row["words"]), bytes(row["dictionary"]), row["near"])
+
+
+def trained(spark: SparkSession) -> Model:
+    """A model of the findings drawn by rule."""
+    findings = labelled_findings(spark)
+    model = train(findings)
+    drop_stored(findings)
+    return model
+
+
 def tree_of(lines) -> tuple | float:
     """One tree from its printed form."""
     line = next(lines).strip()
@@ -250,16 +276,16 @@ def trimmed(raw: Column) -> Column:
     return F.regexp_replace(raw, r"[.!?:]+$", "")
 
 
-def candidates(parts: Column) -> Column:
-    """Of the parts that marked() gives, each candidate as (nth part, value, left, right)."""
+def candidates(parts: Column, near: int = NEAR) -> Column:
+    """Of the parts that marked() gives, each candidate as (nth part, value, left, right), with near characters on either side."""
 
     def part(i: Column) -> Column:
         return F.coalesce(F.get(parts, i), F.lit(""))
 
     def one(j: Column) -> Column:
         i = 2 * j + 1
-        left = F.right(F.concat(F.right(part(i - 2), F.lit(NEAR)), part(i - 1)), F.lit(NEAR))
-        right = F.left(F.concat(part(i + 1), F.left(part(i + 2), F.lit(NEAR))), F.lit(NEAR))
+        left = F.right(F.concat(F.right(part(i - 2), F.lit(near)), part(i - 1)), F.lit(near))
+        right = F.left(F.concat(part(i + 1), F.left(part(i + 2), F.lit(near))), F.lit(near))
         return F.struct(i.alias("part"), trimmed(part(i)).alias("value"), left.alias("left"), right.alias("right"))
 
     found = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 3) / 2).cast("int")), one)
@@ -299,7 +325,7 @@ def scan(docs: DataFrame, model: Model, path: str | None = None) -> DataFrame:
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     cut = docs.select("doc_id", where.alias("where"), marked(F.col("text")).alias("parts"))
     cut = cut.withColumn("sizes", F.when(F.col("parts").isNotNull(), _sizes(F.col("parts"))))
-    placed = F.transform(candidates(F.col("parts")), lambda x: F.struct(_begin(F.col("parts"), F.col("sizes"), x["part"]).alias("begin"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
+    placed = F.transform(candidates(F.col("parts"), model.near), lambda x: F.struct(_begin(F.col("parts"), F.col("sizes"), x["part"]).alias("begin"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right")))
     # explode_outer: a filter that Spark infers for explode would work out the parts a second time
     found = cut.select("doc_id", "where", F.explode_outer(F.when(F.col("parts").isNotNull(), placed)).alias("x")).where("x is not null")
     found = found.select("doc_id", F.col("x.begin").alias("begin"), (F.col("x.begin") + F.length("x.value")).alias("end"), F.col("x.value").alias("value"), features(*[F.col(f"x.{c}") for c in ("value", "left", "right")], F.col("where"), model).alias("f"))
@@ -315,7 +341,7 @@ def redacted(docs: DataFrame, model: Model, sign: str = "[SECRET]", path: str |
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     cut = docs.select(F.struct("*").alias("row"), where.alias("where"), marked(F.col("text")).alias("parts"))
-    judged = F.transform(candidates(F.col("parts")), lambda x: F.struct(x["part"].alias("part"), F.length(x["value"]).alias("n"), features(x["value"], x["left"], x["right"], F.col("where"), model).alias("f")))
+    judged = F.transform(candidates(F.col("parts"), model.near), lambda x: F.struct(x["part"].alias("part"), F.length(x["value"]).alias("n"), features(x["value"], x["left"], x["right"], F.col("where"), model).alias("f")))
     cut = cut.withColumn("judged", F.when(F.col("parts").isNotNull(), judged))
     good = F.transform(F.filter("judged", lambda x: forest_score(model.trees, x["f"]) >= CONFIRM), lambda x: F.struct(x["part"].alias("part"), x["n"].alias("n")))
     cut = cut.select("row", "parts", F.map_from_entries(F.when(F.col("parts").isNotNull(), good)).alias("hits"))
@@ -329,4 +355,4 @@ def redacted(docs: DataFrame, model: Model, sign: str = "[SECRET]", path: str |
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(labelled_findings(spark)), path="source")
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), trained(spark), path="source")

@@ -1,8 +1,10 @@
 """Secret scan: placements of real key shapes, look-alikes, held-out findings, long texts."""
 
 import random
+import re
 import string
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -122,3 +124,59 @@ def test_training_needs_no_complete_rows(spark):
     trained = secret_scan.train(spark.createDataFrame(rows, "left string, value string, right string, path string, label int"), words=["build", "main"])
     df = spark.createDataFrame([(1, f"x token={HEX[::-1]} y"), (2, "x build/v123/main.o y")], "doc_id int, text string")
     assert {r["doc_id"]: r["is_secret"] for r in secret_scan.scan(df, trained).collect()} == {1: 1, 2: 0}
+
+
+def plain_features(value, left, right, path, model):
+    """A candidate's features, read character by character."""
+    order = "abcdefghijklmnopqrstuvwxyz0123456789A+/-"
+
+    def mean(slots, levels):
+        return (sum(levels[i] for i in slots) / len(slots) - 64) / 16 if slots else 0.0
+
+    def slots(text):
+        return [zlib.crc32(w.encode()) % secret_scan.WORD_SLOTS for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) > 1]
+
+    def known(word):
+        slot = zlib.crc32(word.lower().encode()) >> (32 - secret_scan.DICTIONARY_BITS)
+        return model.dictionary[slot >> 3] >> (slot & 7) & 1
+
+    kind = [order.index(c) if c in order[:36] + "+/" else 36 if "A" <= c <= "Z" else 39 for c in value]
+    blank = r"[\s ]"
+    name = re.search(rf"([\w.-]*){blank}{{0,3}}[\"']?{blank}{{0,3}}(?:=>|:=|=|:)?{blank}{{0,3}}[\"'`(\[{{<]?$", left).group(1)
+    near, n = left + " " + right, len(value)
+    assigned = re.search(rf"(?:=>|:=|=|:){blank}{{0,3}}[\"'`]?$", left) or re.search(rf"(?i)bearer{blank}+$", left)
+    return [
+        float(n), mean([a * 40 + b for a, b in zip(kind, kind[1:], strict=False)], model.transitions), len(re.findall(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])", value)) / n,
+        sum(c.isdigit() for c in value) / n, sum("A" <= c <= "Z" for c in value) / n, float(bool(re.fullmatch("[0-9a-f]+", value) and re.search("[a-f]", value))), len(set(value)) / n,
+        sum(len(w) for w in re.findall("[A-Z]?[a-z]{3,}|[A-Z]{4,}", value) if known(w)) / n, sum(c in "/._-" for c in value) / n, float(bool(re.search(secret_scan.PLAIN_PATHS, path))),
+        float(bool(re.search(r"[\w.-]/[\w.-]|://", near))), mean(slots(name), model.words), mean(slots(near), model.words), float(bool(re.search(secret_scan.SECRET_NAMES, name))),
+        float(bool(re.search(secret_scan.PLAIN_NAMES, name))), float(bool(re.search(secret_scan.ISSUERS, value))), float(bool(assigned)),
+    ]
+
+
+def plain_votes(tree, row):
+    while not isinstance(tree, float):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_scores_equal_a_plain_walk_of_the_trees(spark, model):
+    rows = held_out(150)
+    found = secret_scan.scan(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id int, text string"), model).collect()
+    assert len(found) > 130
+    for r in found:
+        text = rows[r["doc_id"]][0]
+        left, right = text[: r["begin"]][-secret_scan.NEAR :], text[r["end"] :][: secret_scan.NEAR]
+        own = plain_features(r["value"], left, right, "", model)
+        assert own == pytest.approx([r[f] for f in secret_scan.FEATURES]), (r["value"], left)
+        assert sum(plain_votes(t, own) for t in model.trees) / len(model.trees) == pytest.approx(r["score"])
+
+
+def test_training_compiles_and_models_can_be_kept(spark, tmp_path):
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # a plan too large to compile raises
+    try:
+        own = secret_scan.trained(spark)
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    secret_scan.save(own, spark, f"{tmp_path}/model")
+    assert secret_scan.load(spark, f"{tmp_path}/model") == own
