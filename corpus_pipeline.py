@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from foliospark.llm import jaccard, mixing, pieces, secret_scan, toxicity
 from foliospark.llm.common import drop_stored, fold, narrow_batches, stored
-from foliospark.llm.findings import labelled_findings
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, repeated ones and null texts too; confirmed secrets in their texts become a sign and n_chars is counted anew."""
-    return secret_scan.redacted(docs, secret_scan.train(labelled_findings(spark)), path="source")
+    return secret_scan.redacted(docs, secret_scan.trained(spark), path="source")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
