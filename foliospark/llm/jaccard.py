@@ -7,7 +7,8 @@ exactly 0.8 with a chance of (1 - 0.8^5)^25, or 0.005 %, and a closer one with l
 the whole shingle sets.
 
 Equal shingle sets are one node from the start. A bucket is compared in rounds with one of its nodes, so a group of near
-copies costs one comparison a copy; only nodes that rounds leave in different components are compared with one another.
+copies costs one comparison a copy. Nodes that this leaves in different components meet by the rarest of their shingles: alike
+sets must have one of a few in common, and what is near without being alike differs in just those.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from foliospark.llm.common import drop_stored, narrow_batches, stored
 from foliospark.llm.components import connected_components, spanning_forest
 
 BANDS, ROWS = 25, 5
-#: Rounds in which a bucket is compared with one node; nodes of a bucket that are then compared in pairs as they are.
-ROUNDS, SMALL = 4, 64
+#: Rounds in which a bucket is compared with one node. Shingles of the sample that common ones are counted in, and how many of those are kept.
+ROUNDS, SAMPLE, COMMON = 2, 2_000_000, 1 << 18
 #: Shingles that are permuted at once.
 CHUNK = 4096
 
@@ -138,46 +140,89 @@ def _open(members: DataFrame, *more: Column) -> DataFrame:
     return members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more).where("low <> high").drop("low", "high")
 
 
-def _compared(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of the nodes in each bucket that are of different components."""
-    left = members.select("bucket", F.col("key").alias("u"), "size", "root")
-    right = members.select("bucket", F.col("key").alias("v"), F.col("size").alias("other"), F.col("root").alias("__root"))
-    return left.join(right, "bucket").where("u < v and root <> __root").where(_sizes_allow("size", "other", percent)).select("u", "v")
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that come often in sets (key, hashes), sorted, and how often.
+
+    Counted in a sample of sets of SAMPLE shingles together, chosen by a hash of the key; COMMON of them at most. They only
+    make an order, which finds the same pairs whatever it is, in less time the rarer the shingles are that it begins with.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"hash": np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)})
+
+    total = sets.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
+    parts = max(1, round(total / SAMPLE))
+    rows = sets.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(parts)) == 0).select("hashes").mapInArrow(each, "hash long")
+    often = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes, n = often["hash"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefixes(nodes: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """nodes (key, root, hashes) to bucket, key, root, size, place: the first shingles of each set, rare ones first.
+
+    Sets of a similarity of percent / 100 or more have one of those in common, since fewer shingles are left than they share. place counts from 1.
+    """
+    known, often = common
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, sizes = [], []
+            for raw in batch.column("hashes").to_pylist():
+                own = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                n = np.where(known[at] == own, often[at], 0) if len(known) else np.zeros(len(own), np.int64)
+                first.append(own[np.lexsort((own, n))[: len(own) - -(-percent * len(own) // 100) + 1]])
+                sizes.append(len(own))
+            lengths = [len(x) for x in first]
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.concatenate([np.arange(1, n + 1) for n in lengths]) if lengths else np.empty(0, np.int64)
+            bucket = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            keys, roots = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("key", "root"))
+            yield pa.record_batch({"bucket": bucket, "key": keys, "root": roots, "size": np.repeat(np.array(sizes, np.int64), lengths), "place": place})
+
+    return narrow_batches(nodes).select("key", "root", "hashes").mapInArrow(each, "bucket long, key long, root long, size long, place long")
+
+
+def prefix_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members (see prefixes) of different components that share a bucket and, from there on, enough shingles."""
+    left = members.select("bucket", F.col("key").alias("u"), "root", "size", "place")
+    right = members.select("bucket", F.col("key").alias("v"), F.col("root").alias("other_root"), F.col("size").alias("other"), F.col("place").alias("other_place"))
+    most = 1 + F.least(F.col("size") - F.col("place"), F.col("other") - F.col("other_place"))
+    close = (100 + percent) * most >= percent * (F.col("size") + F.col("other"))
+    return left.join(right, "bucket").where("u < v and root <> other_root").where(_sizes_allow("size", "other", percent) & close).select("u", "v").distinct()
 
 
 def near_links(members: DataFrame, sets: DataFrame, percent: int, links: list[DataFrame]) -> list[DataFrame]:
     """members (see shared_buckets), sets (key, hashes) and the links known so far to stored tables of links (u, v): with those they connect what alike pairs within buckets connect.
 
     In each of ROUNDS rounds every bucket is compared with one of its nodes, the one that meets most others, so a group of
-    near copies costs one comparison a copy. Of what is then left in different components, buckets of up to SMALL nodes are
-    compared in pairs. The nodes of larger ones meet anew in buckets for each two large buckets that they share, and
-    those are compared in pairs. A pair at a similarity of 0.85 (0.8) has just one bucket of 25 in common with a chance of 8.5
-    (55) in a million; only such a pair, in a bucket still large after the rounds, could stay apart.
+    near copies costs one comparison a copy. Nodes of buckets that then still hold several components are mostly near
+    one another without being alike. Those are compared only where they share one of the rare shingles that alike sets must share.
     """
     links = list(links)
     open_ = members.withColumn("root", F.col("key"))
     reads: list[DataFrame] = []  # stored tables that open_ reads
     for turn in range(ROUNDS + 1):
-        if turn or links:
-            roots = connected_components(spanning_forest(union_all(links))) if links else None
-            if roots is not None:
-                met = open_.drop("root").join(roots, open_.key == roots.node, "left")
-                open_ = met.select("bucket", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
-                reads.append(roots)
+        if links:
+            roots = connected_components(spanning_forest(union_all(links)))
+            met = open_.drop("root").join(roots, open_.key == roots.node, "left")
+            open_ = met.select("bucket", "key", "size", "degree", F.coalesce("root", "key").alias("root"))
+            reads.append(roots)
         last = turn == ROUNDS
-        centre = F.count("*").alias("n") if last else F.max_by(F.struct("key", "size", "root"), F.struct("degree", F.xxhash64("key", F.lit(turn)))).alias("c")
-        still = stored(open_.join(_open(open_, centre), "bucket"), "open")
+        centre = F.max_by(F.struct("key", "size", "root"), F.struct("degree", F.xxhash64("key", F.lit(turn)))).alias("c")
+        still = stored(open_.join(_open(open_, *([] if last else [centre])), "bucket"), "open")
         drop_stored(*reads)
         open_, reads = still, [still]
         if open_.isEmpty():
             break
         if last:
-            few = _compared(open_.where(F.col("n") <= SMALL), percent)
-            own = open_.where(F.col("n") > SMALL).groupBy("key").agg(F.first("size").alias("size"), F.first("root").alias("root"), F.array_sort(F.collect_set("bucket")).alias("b"))
-            two = F.flatten(F.transform("b", lambda x, i: F.transform(F.slice("b", i + 2, F.size("b")), lambda y: F.xxhash64(x, y))))
-            anew = stored(own.select("key", "size", "root", F.explode(two).alias("bucket")), "anew")
-            reads.append(anew)
-            pairs = few.union(_compared(anew.join(_open(anew), "bucket"), percent)).distinct()
+            nodes = stored(open_.select("key", "root").distinct().join(sets, "key"), "nodes")
+            first = stored(prefixes(nodes, common_shingles(nodes), percent), "first")
+            reads += [nodes, first]
+            pairs = prefix_pairs(first, percent)
         else:
             pairs = open_.where("root <> c.root").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v"), "size", F.col("c.size").alias("other"))
             pairs = pairs.where(_sizes_allow("size", "other", percent)).select("u", "v").distinct()
@@ -188,6 +233,15 @@ def near_links(members: DataFrame, sets: DataFrame, percent: int, links: list[Da
     return links
 
 
+#: Rows of a table that is sent to all tasks; with more it is joined by sorting.
+SENT = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A stored table of one long column, marked to be sent to all tasks where it has SENT rows at most, some 16 MB."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     whole = tables[0]
     for more in tables[1:]:
@@ -208,14 +262,15 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     close = simhash_pairs(nodes.select("key", "print"))
     met = members.select("key").union(close.select("u")).union(close.select("v")).distinct()
     wanted = stored(met.join(nodes.select("key", "id"), "key"), "wanted")
-    named = docs.join(wanted.where("id is not null").select("id").distinct(), F.col("doc_id") == F.col("id")).select("text")
+    ids = stored(wanted.where("id is not null").select("id").distinct(), "ids")
+    named = docs.join(few(ids), F.col("doc_id") == F.col("id")).select("text")
     texts = named.union(docs.where("doc_id is null").select("text"))
     sets = narrow_batches(texts).select(shingle_set(F.col("text"), shingle).alias("s")).select("s.*")
     sets = stored(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
     links = near_links(members, sets, percent, [confirmed(close, sets, percent)])
     roots = connected_components(spanning_forest(union_all(links)))
     out = stored(rows.join(roots, rows.key == roots.node, "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")), "groups")
-    drop_stored(rows, nodes, members, wanted, close, sets, roots, *links)
+    drop_stored(rows, nodes, members, wanted, ids, close, sets, roots, *links)
     return out
 
 

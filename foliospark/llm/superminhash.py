@@ -7,7 +7,7 @@ place of a text is taken no later rank can be less, and the text stops: with man
 
 Texts that share ROWS places of one of BANDS bands are candidates. Two sets at a similarity of 0.85 share no band with
 a chance of (1 - 0.85^5)^25, or 4 in 10 million, closer ones with less; what is in one bucket is settled by
-jaccard.near_links(), every link is confirmed on the whole sets, and union-find groups what is linked.
+jaccard.near_links() without comparing all its pairs, every link is confirmed on the whole sets, and union-find groups what is linked.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import drop_stored, narrow_batches, stored, table
 from foliospark.llm.components import connected_components, spanning_forest
-from foliospark.llm.jaccard import near_links, shared_buckets, union_all
+from foliospark.llm.jaccard import few, near_links, shared_buckets, union_all
 
 BANDS, ROWS = 25, 5
 PLACES = BANDS * ROWS
@@ -146,7 +146,8 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFra
     nodes = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("buckets").alias("buckets")), "nodes")
     members = shared_buckets(nodes)
     wanted = stored(members.select("key").distinct().join(nodes.select("key", "id"), "key"), "wanted")
-    named = docs.join(wanted.where("id is not null").select("id").distinct(), F.col("doc_id") == F.col("id")).select("text")
+    ids = stored(wanted.where("id is not null").select("id").distinct(), "ids")
+    named = docs.join(few(ids), F.col("doc_id") == F.col("id")).select("text")
     sets = shingle_sets(named.union(docs.where("doc_id is null").select("text")), shingle)
     sets = stored(sets.join(wanted.select("key"), "key").groupBy("key").agg(F.first("hashes").alias("hashes")), "sets")
     links = near_links(members, sets, percent, [])
@@ -155,7 +156,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 85) -> DataFra
     joined = nodes.join(roots, nodes.key == roots.node, "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = joined.groupBy("root").agg(F.min("id").alias("component_id"))
     named = stored(joined.join(least, "root").select("key", "component_id"), "named")
-    drop_stored(nodes, members, wanted, sets, roots, *links)
+    drop_stored(nodes, members, wanted, ids, sets, roots, *links)
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     met = rows.join(named.withColumnRenamed("key", "own"), F.col("key") == F.col("own"), "left")
     out = stored(met.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")), "near")

@@ -64,12 +64,25 @@ def test_groups_equal_all_pairs(spark):
     assert found(spark, rows) == brute(rows, 85)
 
 
-def test_large_buckets_left_open(spark, monkeypatch):
-    """Without rounds every bucket is settled in pairs, large ones by two buckets in common."""
+def test_what_rounds_leave_open(spark, monkeypatch):
+    """Without rounds every bucket is settled by the rare shingles of its nodes."""
     monkeypatch.setattr(jaccard, "ROUNDS", 0)
-    monkeypatch.setattr(jaccard, "SMALL", 3)
     rows = planted()
     assert found(spark, rows) == brute(rows, 85)
+    monkeypatch.setattr(jaccard, "SAMPLE", 500)
+    monkeypatch.setattr(jaccard, "COMMON", 20)  # the order is no matter to what is found
+    monkeypatch.setattr(jaccard, "SENT", 3)
+    assert found(spark, rows) == brute(rows, 85)
+
+
+def test_near_texts_that_are_not_alike_meet_seldom(spark):
+    """Three hundred copies at a similarity of some 0.7 to one another: few of their 44,850 pairs are compared."""
+    texts = family(random.Random(4), 300, words=200, changes=4)[1:]
+    sets = [superminhash.shingles_of(t.encode(), 5) for t in texts]
+    assert len(np.intersect1d(sets[0], sets[1])) / len(np.union1d(sets[0], sets[1])) > 0.6
+    nodes = spark.createDataFrame([(i, i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "key long, root long, hashes binary")
+    pairs = jaccard.prefix_pairs(jaccard.prefixes(nodes, jaccard.common_shingles(nodes), 85), 85)
+    assert pairs.count() < 500
 
 
 def test_every_row_comes_back_from_nothing(spark):
