@@ -26,6 +26,8 @@ COVERAGE = 0.8
 MOST_WORDS, MOST_OF_ALL = 8_000, 2_000_000
 #: Points of a match, a replaced word, a word left out or put in.
 MATCH, REPLACED, GAP = 2, -1, -1
+#: Bytes of surroundings whose alignments an index keeps.
+MOST_HELD = 32_000_000
 #: Bytes of a text whose words are found at once.
 BLOCK = 1 << 20
 
@@ -137,6 +139,8 @@ class Index:
             places = winnowed(grams, window)
             found += [(gram, int(h), len(self.templates), int(p)) for h, p in zip(grams[places], places, strict=True)]
             self.templates.append(Template(license_, name, words, np.isin(words, self.telling), least_hits(places, gram, len(words), coverage)))
+        self.known: dict[tuple, tuple | None] = {}
+        self.held = 0
         self.tables = {}
         for gram in {f[0] for f in found}:
             own = sorted(f[1:] for f in found if f[0] == gram)
@@ -145,6 +149,22 @@ class Index:
             there[hashes >> np.uint64(44)] = True
             self.tables[gram] = hashes, np.array([f[1] for f in own], np.int64), np.array([f[2] for f in own], np.int64), there
 
+    def judged(self, n: int, words: np.ndarray, diagonal: int) -> tuple | None:
+        """_judged() of a template near a diagonal; equal surroundings, as files of one project have them, are aligned once."""
+        t = self.templates[n]
+        drift = slack(len(t.words), self.coverage)
+        begin = max(0, diagonal - drift)
+        window = words[begin : diagonal + len(t.words) + drift]
+        key = n, diagonal - begin, window.tobytes()
+        if key not in self.known:
+            if self.held > MOST_HELD:
+                self.known.clear()
+                self.held = 0
+            self.held += len(key[2]) + 200
+            self.known[key] = _judged(self, t, window, diagonal - begin)
+        match = self.known[key]
+        return match and (*match[:2], match[2] + begin, match[3] + begin)
+
     def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """For each template (place in the text, place in the template) of every shared fingerprint, in order."""
         rows = []
@@ -170,25 +190,28 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
     The text may be any part; the template's words outside of the pairs are left out.
     """
     width = 2 * band + 1
-    score = np.zeros((len(template) + 1, width), np.int32)
+    score = np.zeros(width, np.int32)
     step = np.zeros((len(template) + 1, width), np.int8)  # 0 stop, 1 both, 2 template only, 3 text only
     drift = np.arange(width) * GAP
-    offsets = np.arange(width) - band
+    padded = np.r_[np.zeros(band, np.uint64), text, np.zeros(band, np.uint64)]  # places of the window outside of the text are masked below
     best, end = 0, None
     for i in range(1, len(template) + 1):
-        at = i - 1 + diagonal + offsets
-        inside = (at >= 0) & (at < len(text))
-        same = inside & (text[np.clip(at, 0, len(text) - 1)] == template[i - 1])
-        both = np.where(inside, score[i - 1] + np.where(same, MATCH, REPLACED), -9)
-        above = np.r_[score[i - 1][1:] + GAP, -9]
+        first = i - 1 + diagonal - band
+        low, high = max(0, -first), min(width, len(text) - first)
+        inside = np.zeros(width, bool)
+        same = np.zeros(width, bool)
+        if low < high:
+            inside[low:high] = True
+            same[low:high] = padded[first + low + band : first + high + band] == template[i - 1]
+        both = np.where(inside, score + np.where(same, MATCH, REPLACED), -9)
+        above = np.r_[score[1:] + GAP, -9]
         row = np.maximum(np.maximum(both, above), 0)
         beside = np.maximum.accumulate(row - drift) + drift
-        final = np.where(inside, np.maximum(row, beside), np.maximum(row, 0))
-        step[i] = np.where(final == 0, 0, np.where(final == both, 1, np.where(final == above, 2, 3)))
-        score[i] = final
-        top = int(final.argmax())
-        if final[top] > best:
-            best, end = int(final[top]), (i, top)
+        score = np.where(inside, np.maximum(row, beside), row)
+        step[i] = np.where(score == 0, 0, np.where(score == both, 1, np.where(score == above, 2, 3)))
+        top = int(score.argmax())
+        if score[top] > best:
+            best, end = int(score[top]), (i, top)
     pairs = []
     if end is not None:
         i, j = end
@@ -199,12 +222,30 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> l
     return pairs[::-1]
 
 
+def in_band(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> np.ndarray:
+    """Which of a template's words an alignment around a diagonal can match: those that the text has within the band."""
+    begin = max(0, diagonal - band)
+    window = text[begin : diagonal + len(template) + band]
+    if not len(window):
+        return np.zeros(len(template), bool)
+    order = np.argsort(window, kind="stable")  # the places of each word stand together, in order
+    ranked = window[order]
+    word, base = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]]), len(window) + 1
+    low, high = np.searchsorted(ranked, template, "left"), np.searchsorted(ranked, template, "right")
+    first = np.arange(len(template)) + diagonal - band - begin  # where the band begins for each word of the template
+    at = np.searchsorted(word * base + order, word[np.minimum(low, len(window) - 1)] * base + np.maximum(first, 0))
+    return (at >= low) & (at < high) & (order[np.minimum(at, len(window) - 1)] <= first + 2 * band)
+
+
 def _judged(index: Index, t: Template, words: np.ndarray, diagonal: int) -> tuple[int, float, int, int] | None:
     """(matched words, coverage, first and past-last place in the text) of a template near a diagonal; None for less than the index's coverage or another telling word."""
     drift = slack(len(t.words), index.coverage)
     there = np.isin(t.words, words[max(0, diagonal - drift) : diagonal + len(t.words) + drift])
     if there.sum() < index.coverage * len(t.words) - 1e-9 or not there[t.telling].all():
         return None  # no alignment can hold more
+    there = in_band(t.words, words, diagonal, drift)
+    if there.sum() < index.coverage * len(t.words) - 1e-9 or not there[t.telling].all():
+        return None
     pairs = align(t.words, words, diagonal, drift)
     if not pairs:
         return None
@@ -233,18 +274,24 @@ def matches_of(text: bytes | None, index: Index) -> list[dict]:
         drift = slack(len(t.words), index.coverage)
         reach = len(t.words) + drift
         done = -1
+        tried: dict[int, tuple | None] = {}  # what an alignment finds depends on the diagonal alone
         for k, (place, own) in enumerate(hits.tolist()):
             diagonal = place - own
-            if place < done:
+            if place < done or tried.get(diagonal, 0) is None:
                 continue
             near = hits[k : np.searchsorted(hits[:, 0], place + reach)]
             near = near[np.abs(near[:, 0] - near[:, 1] - diagonal) <= drift]
             if len(np.unique(near[:, 1])) < t.least_hits:
                 continue
-            match = _judged(index, t, words, diagonal)
-            if match:
-                found.append((n, *match))
-                done = match[3]
+            diagonals, n_hits = np.unique(near[:, 0] - near[:, 1], return_counts=True)
+            for d in dict.fromkeys((int(diagonals[n_hits.argmax()]), diagonal)):  # where most hits lie, then the hit's own
+                if d not in tried:
+                    tried[d] = index.judged(n, words, d)
+                match = tried[d]
+                if match and match[3] > place:
+                    found.append((n, *match))
+                    done = match[3]
+                    break
     # the most matched words first, then the closest, then the first by name
     found.sort(key=lambda f: (-f[1], -f[2], f[3], index.templates[f[0]].license, index.templates[f[0]].name))
     kept, taken = [], np.zeros(len(words) + 1, bool)
@@ -260,6 +307,14 @@ def matches_of(text: bytes | None, index: Index) -> list[dict]:
     return out
 
 
+def templates_of(table: DataFrame) -> list[tuple[str, str, str]]:
+    """The rows of a table (license, template, text), in order; so many words as an index takes, or it raises."""
+    n = table.agg(F.sum(F.regexp_count("text", F.lit(r"[^\s]+")))).first()[0] or 0
+    if n > MOST_OF_ALL:
+        raise ValueError(f"the templates have more than {MOST_OF_ALL} words")
+    return [tuple(r) for r in table.where("text is not null").select("license", "template", "text").orderBy("license", "template", "text").collect()]
+
+
 def license_matches(text: Column, templates: list = TEMPLATES, coverage: float = COVERAGE) -> Column:
     """Array of matches of each whole text."""
     index = Index(templates, coverage)
@@ -272,9 +327,11 @@ def license_matches(text: Column, templates: list = TEMPLATES, coverage: float =
     return apply(text.cast("binary"))
 
 
-def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list | DataFrame = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """docs (doc_id, text) to one row per match: doc_id, license, template, matched words, coverage, begin and end in characters.
 
+    templates: (license, template, text) as a list or a table, whole licence texts of up to MOST_WORDS words among them.
+
     coverage is the share of matched words among all words of the alignment; every span with at least the asked one is
     found. A template whose telling words (numbers, "lesser", "noncommercial" and the like) differ isn't reported. Of
     overlapping matches the one with the most matched words stays, then the one with the higher coverage, then the one
@@ -282,6 +339,7 @@ def scan_licenses(docs: DataFrame, templates: list = TEMPLATES, coverage: float
     ones are scanned whole; repeated rows give repeated matches, a null doc_id stays null, other columns are left out,
     an empty table gives an empty one.
     """
+    templates = templates_of(templates) if isinstance(templates, DataFrame) else templates
     found = narrow_batches(docs).select("doc_id", license_matches(F.col("text"), templates, coverage).alias("found"))
     return found.select("doc_id", F.explode_outer("found").alias("m")).where("m is not null").select("doc_id", "m.*")
 

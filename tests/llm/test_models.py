@@ -184,6 +184,34 @@ def test_telling_words(text, code):
     assert found == ({code} if code else set())
 
 
+def test_whole_long_licence_from_a_table(spark, monkeypatch):
+    """A text of five thousand words, one of eleven left out, and the number of alignments of texts that repeat themselves."""
+    rnd = random.Random(1)
+    words = [f"w{int(3000 * rnd.random() ** 2)}" for _ in range(5000)]
+    templates = spark.createDataFrame([("LONG-1.0", "whole", " ".join(words)), ("NONE", "empty", None)], "license string, template string, text string")
+    text = "intro " * 50 + " ".join(w for i, w in enumerate(words) if i % 11) + " tail" * 30
+    found = licenses.scan_licenses(spark.createDataFrame([(1, text), (2, " ".join(words[:2500]))], "doc_id int, text string"), templates).collect()
+    assert [(r["doc_id"], r["license"], r["matched"], r["begin"]) for r in found] == [(1, "LONG-1.0", 4545, 300)]
+    assert text[found[0]["begin"] : found[0]["end"]].split() == [w for i, w in enumerate(words) if i % 11]
+    own = next(t for c, _, t in licenses.TEMPLATES if c == "BSD-3-Clause" and len(t) > 800)
+    index, n, plain = licenses.Index(licenses.TEMPLATES), [], licenses.align
+    monkeypatch.setattr(licenses, "align", lambda *a: n.append(1) or plain(*a))
+    assert len(licenses.matches_of("\n".join(f"file {i} zz{i} {own}" for i in range(8)).encode(), index)) == 8 and len(n) < 60
+    n.clear()
+    assert len(licenses.matches_of(own.encode(), index)) == 1 and len(licenses.matches_of(own.encode(), index)) == 1 and len(n) < 10
+    n.clear()
+    near = " ".join(w if rnd.random() < 0.76 else "zz" for w in own.split())
+    assert not licenses.matches_of(" ".join([near] * 3).encode(), index) and len(n) < 40
+
+
+def test_words_within_a_band():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        t, x = (rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 6, rng.integers(0, 30)).astype(np.uint64))
+        d, b = int(rng.integers(-8, 30)), int(rng.integers(1, 5))
+        assert licenses.in_band(t, x, d, b).tolist() == [any(0 <= i + d + k < len(x) and x[i + d + k] == t[i] for k in range(-b, b + 1)) for i in range(len(t))]
+
+
 def test_license_rows(spark, monkeypatch):
     monkeypatch.setattr(licenses, "BLOCK", 50)  # words are cut between blocks
     rows = [(1, "Released under the MIT License. " * 3, "x"), (2, None, "x"), (3, "", "x"), (4, "word", "x"), (None, "released under the mit license", "x"), (5, "Nothing of that kind. " * 5000, "x"), (5, "x" * 500, "x"), (6, "Released under the MIT License.", "x"), (6, "Released under the MIT License.", "x")]
