@@ -195,7 +195,7 @@ def stream_latest_jobs(spark, d):
     rows = events.select(F.col("user_id").alias("document_id"), F.col("event_type").alias("job_type"), F.col("ts").alias("created_at"), F.col("event_id").alias("job_id"))
     folder = ingest.scratch(spark)
     ingest.run_upsert(rows, f"{folder}/table", f"{folder}/checkpoint", ["document_id", "job_type"], ["created_at", "job_id"])
-    return ingest.current(spark, f"{folder}/table", ["document_id", "job_type"], ["created_at", "job_id"]).select("document_id", "job_type", "job_id")
+    return ingest.current(spark, f"{folder}/table", ["document_id", "job_type"], ["created_at", "job_id"], rows.schema).select("document_id", "job_type", "job_id")
 
 
 @query("SELECT event_id AS document_id FROM events WHERE ts > (SELECT TIMESTAMP '2024-01-15 00:00:00')")

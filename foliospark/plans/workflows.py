@@ -243,12 +243,3 @@ def stored_templates(spark, d):
 def export_spreadsheet(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("name").alias("field"), F.col("c_name").alias("value"))
     return export.spreadsheet(c).select("document_id", F.regexp_extract("workbook", "(<Row>.*</Row>)", 1).alias("row"))
-
-
-@query("SELECT ts::DATE::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
-def stream_windows(spark, d):
-    """Jobs of each type and day, counted by a stream."""
-    name = f"windows_{ingest.scratch(spark)[-32:]}"
-    q = ingest.windowed(ingest.stream_table(spark, d, "events"), "ts").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)

@@ -1,4 +1,4 @@
-"""Streaming ingestion: new files once each, idempotent upserts, windowed job statistics."""
+"""Streaming ingestion: new files once each, idempotent upserts, events for listeners, progress."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from foliospark.operators import jobs
+from foliospark.sinks.merged import MergedTable
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,24 +28,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{(shared or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/foliospark/stream-{uuid.uuid4().hex}"
 
 
-def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> None:
-    """All that is there now, then ends; a later run goes on after it.
+def run_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 64) -> None:
+    """All that is there now merged into the table at path, then ends; a later run goes on after it.
 
-    The last row of each key by order is the stream's own state; each micro-batch adds the keys that it changed below
-    the path, in a folder of its number, so one that comes again replaces itself.
+    The table is the only state: each micro-batch rewrites the buckets of the keys that it changed, and one that comes again changes nothing.
     """
-    rest = [c for c in stream.columns if c not in keys]
-    last = stream.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
-
-    def add(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    last.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    table = MergedTable(stream.sparkSession, path, keys, order, buckets)
+    stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def current(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The table that run_upsert() keeps up: of each key the last of its changes."""
-    return jobs.latest(spark.read.parquet(path).drop("batch"), keys, order)
+def current(spark: SparkSession, path: str, keys: list[str], order: list[str], schema) -> DataFrame:
+    """The table that run_upsert() keeps up."""
+    return MergedTable(spark, path, keys, order).read(schema)
 
 
 def run_events(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -72,8 +66,3 @@ class Progress(StreamingQueryListener):
     def onQueryIdle(self, event) -> None: ...
 
     def onQueryTerminated(self, event) -> None: ...
-
-
-def windowed(events: DataFrame, time: str, late: str = "10 minutes", width: str = "1 day") -> DataFrame:
-    """Jobs and failures of each type and window; events later than the watermark are left out."""
-    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
