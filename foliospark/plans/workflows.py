@@ -12,7 +12,7 @@ from foliospark.plans import inputs as I
 from foliospark.plans.queries import _DOCS_SQL
 from foliospark.plans.registry import query
 from foliospark.sinks import export
-from foliospark.sources import files
+from foliospark.sources import files, paged
 from foliospark.sources.files import table
 from foliospark.streaming import ingest
 
@@ -187,21 +187,26 @@ def document_chain(spark, d):
     return reduce(lambda df, step: step(df), steps, o)
 
 
-@query("SELECT n_name || '.txt' AS filename, 'txt' AS file_type, 'application/octet-stream' AS mime_type, length(n_name)::BIGINT AS file_size, sha256(n_name) AS sha256, 1 AS pages FROM nation")
+@query("SELECT 'txt' AS file_type, 'application/octet-stream' AS mime_type, length(c_name)::BIGINT + 1 AS file_size, sha256(c_name || chr(10)) AS sha256, 1 AS pages FROM customer")
 def ingest_files(spark, d):
-    """Files written, listed with their metadata, stored by year and month, recognised page by page."""
+    """A file for each customer, written by the tasks, listed with metadata, stored by year and month, recognised page by page."""
     folder = ingest.scratch(spark)
-    names = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]  # a constant table of 25 rows
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in names:
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/in/{name}.txt"))
-        out.write(bytearray(name.encode()))
-        out.close()
-    files.ingested(files.binary_files(spark, f"{folder}/in"), f"{folder}/stored")
+    table(spark, d, "customer").select("c_name").write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
+    files.ingested(files.binary_files(spark, f"{folder}/in", "*.txt"), f"{folder}/stored")
     stored = spark.read.parquet(f"{folder}/stored").where("year >= 2000 and month between 1 and 12 and stored_name is not null")
     read = files.read_pages(stored, registry.engine("pages")).groupBy(F.col("document_id").alias("path")).agg(F.count("*").cast("int").alias("pages"))
-    return stored.join(read, "path").select("filename", "file_type", "mime_type", "file_size", "sha256", "pages")
+    return stored.join(read, "path").select("file_type", "mime_type", "file_size", "sha256", "pages")
+
+
+@query("SELECT md5(translate(text, chr(12), ' ')) AS text_hash, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def paged_files(spark, d):
+    """Whole documents as pages of a few large files, read back by ranges of 64 KB; the pages' numbers go through each file without a gap."""
+    folder = ingest.scratch(spark)
+    docs = table(spark, d, "documents").where("text is not null").select(F.translate("text", "\f", " ").alias("text"))
+    docs.coalesce(2).write.option("lineSep", "\f").text(f"{folder}/in")
+    found = paged.pages(spark, f"{folder}/in", suffix=".txt", range=65536)
+    whole = found.groupBy("path").agg(F.max("page_number").alias("last"), F.count_distinct("page_number").alias("pages")).where("last = pages").select("path")
+    return found.join(whole, "path").groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT -1, 'a,\"b\"'")
@@ -228,14 +233,15 @@ def appended_days(spark, d):
     return spark.read.parquet(f"{folder}/rows").select("document_id", F.col("day").cast("string").alias("day"))
 
 
-@query("SELECT r_name AS name, 'Sum up {text} for {reader}' AS template, 2 AS fields FROM region")
+@query("SELECT c_name AS name, CASE WHEN c_custkey % 10 = 0 THEN 'Ask {reader}' ELSE 'Sum up {text} for {reader}' END AS template, CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 2 END AS fields FROM customer WHERE c_custkey > 3")
 def stored_templates(spark, d):
-    """Templates added (one twice), one removed again, listed."""
+    """A template for each customer, some replaced, a few removed again, listed."""
     folder = ingest.scratch(spark)
-    names = [r["r_name"] for r in table(spark, d, "region").select("r_name").collect()]  # a constant table of 5 rows
-    for name in (*names, names[0], "gone"):
-        files.add_template(spark, folder, name, "Sum up {text} for {reader}")
-    files.remove_template(spark, folder, "gone")
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("").alias("description"), F.lit("Sum up {text} for {reader}").alias("template"), "c_custkey")
+    files.store_templates(rows, folder)
+    files.store_templates(rows.where("c_custkey % 10 = 0").withColumn("template", F.lit("Ask {reader}")), folder)
+    for r in rows.where("c_custkey <= 3").select("name").collect():  # three names
+        files.remove_template(spark, folder, r["name"])
     return files.templates(spark, folder).select("name", "template", F.size("variables").alias("fields"))
 
 

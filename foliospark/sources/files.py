@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +52,7 @@ def read_pages(files: DataFrame, engine: Callable[[bytes, str], list[tuple[str,
 
 def _templates(spark: SparkSession, path: str) -> DataFrame:
     schema = "name string, description string, template string, variables array<string>, broken string"
-    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.json").json(path)
+    read = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(path)
     return read.withColumn("path", F.input_file_name())
 
 
@@ -69,24 +67,39 @@ def broken_templates(spark: SparkSession, path: str) -> DataFrame:
     return bad.select("path", F.when(F.col("broken").isNotNull(), "not JSON").otherwise("no name").alias("reason"))
 
 
+#: Folders that templates are dealt into by name.
+TEMPLATE_FOLDERS = 16
+
+
+def _folder(name: Column) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(TEMPLATE_FOLDERS)).cast("int")
+
+
+def store_templates(rows: DataFrame, path: str) -> None:
+    """Writes templates (name, description, template) beside the others, a file each; those of the same names are replaced.
+
+    A name's hash is its folder and its file's partition, so only the folders of the given names are written, by the tasks that hold them.
+    """
+    spark = rows.sparkSession
+    variables = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{(\w+)\}"), F.lit(1)))
+    fresh = rows.dropDuplicates(["name"]).select("name", "description", "template", variables.alias("variables"), _folder(F.col("name")).alias("folder"), F.sha2("name", 256).alias("key"))
+    mode = {"partitionOverwriteMode": "dynamic", "maxRecordsPerFile": "1"}
+    fresh.repartition("folder").write.mode("overwrite").options(**mode).partitionBy("folder", "key").json(path)
+    spark.catalog.refreshByPath(path)
+
+
 def add_template(spark: SparkSession, path: str, name: str, template: str, description: str = "") -> None:
     """Writes a template beside the others; one of that name is replaced."""
-    remove_template(spark, path, name)
-    variables = list(dict.fromkeys(re.findall(r"\{(\w+)\}", template)))
-    row = spark.createDataFrame([(name, description, template, variables)], "name string, description string, template string, variables array<string>")
-    row.coalesce(1).write.mode("append").json(path)
+    store_templates(spark.createDataFrame([(name, description, template)], "name string, description string, template string"), path)
 
 
 def remove_template(spark: SparkSession, path: str, name: str) -> bool:
-    """Deletes the files that hold a template; whether there was one."""
-    try:
-        found = [r["path"] for r in _templates(spark, path).where(F.col("name") == name).select("path").distinct().collect()]
-    except AnalysisException:  # nothing there yet
-        return False
-    for file in found:
-        place = spark._jvm.org.apache.hadoop.fs.Path(file)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)
-    return bool(found)
+    """Deletes a template's own folder, which its name gives; whether there was one."""
+    folder, key = spark.range(1).select(_folder(F.lit(name)), F.sha2(F.lit(name), 256)).first()
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/folder={folder}/key={key}")
+    gone = place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark.catalog.refreshByPath(path)
+    return gone
 
 
 def template(spark: SparkSession, path: str, name: str) -> str:
