@@ -35,3 +35,40 @@ def user_activity(events: DataFrame) -> DataFrame:
 def daily(jobs: DataFrame, at: str, seconds: Column) -> DataFrame:
     """Jobs of each day with the mean and the longest time."""
     return jobs.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("jobs"), F.avg(seconds).alias("mean_seconds"), F.max(seconds).alias("longest_seconds"))
+
+
+#: Logarithm of a distinct-count sketch's size: its relative error is some 1.04 / sqrt(2^12), 1.6 %; size of a quantile sketch: ranks are within some 1.65 %.
+DISTINCT, QUANTILES = 12, 200
+#: What a day's state holds besides its dimensions.
+_SUMS = ("jobs", "failed", "seconds", "longest")
+
+
+def day_state(jobs: DataFrame, dims: list[str], at: str = "at", user: str = "user_id", seconds: str = "seconds", failed: str = "failed") -> DataFrame:
+    """Jobs as mergeable state: a row for each day and combination of dims, with sums and with sketches of users and times."""
+    return jobs.groupBy(F.to_date(at).alias("day"), *dims).agg(
+        F.count("*").alias("jobs"), F.count_if(F.col(failed)).alias("failed"), F.sum(seconds).alias("seconds"), F.max(seconds).alias("longest"),
+        F.hll_sketch_agg(user, DISTINCT).alias("users"), F.kll_sketch_agg_double(F.col(seconds).cast("double"), F.lit(QUANTILES)).alias("times"),
+    )
+
+
+def write_state(jobs: DataFrame, path: str, dims: list[str], **columns: str) -> None:
+    """Writes the state of the days in jobs, a folder each; those days are replaced, others stay as they are and aren't read."""
+    state = day_state(jobs, dims, **columns)
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    jobs.sparkSession.catalog.refreshByPath(path)
+
+
+def merged_state(state: DataFrame, by: list[str]) -> DataFrame:
+    """State rolled up to fewer dimensions; it is state again, so days make weeks and weeks make years."""
+    return state.groupBy(*by).agg(
+        *[(F.max if c == "longest" else F.sum)(c).alias(c) for c in _SUMS], F.hll_union_agg("users").alias("users"), F.kll_merge_agg_double("times").alias("times"),
+    )
+
+
+def state_report(state: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """jobs, failed ones, success rate, mean and longest time (exact), users and quantiles of times (within the sketches' error) for each of by, from state alone."""
+    rolled = merged_state(state, by)
+    return rolled.select(
+        *by, "jobs", "failed", percent(F.col("jobs") - F.col("failed"), F.col("jobs")).alias("success_rate"), (F.col("seconds") / F.col("jobs")).alias("mean_seconds"), "longest",
+        F.hll_sketch_estimate("users").alias("users"), *[F.kll_sketch_get_quantile_double("times", F.lit(float(s))).alias(name) for name, s in shares.items()],
+    )
