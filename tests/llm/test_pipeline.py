@@ -35,7 +35,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).fetchall()
     names = [c[0] for c in con.description]
