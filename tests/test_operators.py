@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foliospark.engines import registry
 from foliospark.functions import extract
 from foliospark.operators import catalog, eav, jobs, pages, prompts
-from foliospark.plans import fields, qualities, queries, resumed, searches, states, streams, templates, timelines, workflows  # noqa: F401  they register their queries
+from foliospark.plans import fields, named, qualities, queries, resumed, searches, states, streams, templates, timelines, workflows  # noqa: F401  they register their queries
 from foliospark.plans import registry as plans
 from foliospark.sinks import export
 from foliospark.sources import files
