@@ -47,8 +47,8 @@ def drop_stored(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def narrow_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with the session's batches for Python functions held to so many rows: whole texts are wide, and a worker holds a few copies of a batch.
+def narrow_batches(df: DataFrame, rows: int = 2000, size: int | None = None) -> DataFrame:
+    """df, with the session's batches for Python functions held to so many rows, and to size bytes where it is given: whole texts are wide, and a worker holds a few copies of a batch.
 
     Spark reads the setting when a plan runs, which is after this package has returned it, so it stays lowered for the
     session; a lower one of the user's is kept.
@@ -56,6 +56,8 @@ def narrow_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= rows:
         conf.set(name, str(rows))
+    if size is not None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 

@@ -29,8 +29,8 @@ from foliospark.llm.components import connected_components, spanning_forest
 BANDS, ROWS = 25, 5
 #: Rounds in which a bucket is compared with one node. Shingles of the sample that common ones are counted in, and how many of those are kept.
 ROUNDS, SAMPLE, COMMON = 2, 2_000_000, 1 << 18
-#: Shingles that are permuted at once.
-CHUNK = 4096
+#: Shingles that are permuted at once; bytes of texts or sets that go to a Python worker at once.
+CHUNK, BATCH = 4096, 8 << 20
 
 _SEEDS = np.random.default_rng(11).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,6 +68,7 @@ def sketch(text: Column, shingle: int = 5) -> Column:
             sets = [shingles_of(x, shingle) for x in texts]
             prints = np.fromiter((simhash.fingerprint_of(x, shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
             yield pd.DataFrame({"key": [key_of(s) for s in sets], "size": [len(s) for s in sets], "print": prints, "buckets": [bands_of(s) for s in sets]})
+            pa.default_memory_pool().release_unused()
 
     return apply(text.cast("binary"))
 
@@ -80,6 +81,7 @@ def shingle_set(text: Column, shingle: int = 5) -> Column:
         for texts in batches:
             sets = [shingles_of(x, shingle) for x in texts]
             yield pd.DataFrame({"key": [key_of(s) for s in sets], "hashes": [s.tobytes() for s in sets]})
+            pa.default_memory_pool().release_unused()
 
     return apply(text.cast("binary"))
 
@@ -96,6 +98,7 @@ def alike(a: Column, b: Column, percent: int) -> Column:
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
             yield pd.Series([one(x, y) for x, y in zip(xs, ys, strict=True)], dtype=bool)
+            pa.default_memory_pool().release_unused()
 
     return apply(a, b)
 
@@ -256,7 +259,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     are one group; rows with a null doc_id are linked like any other; other columns are left out; texts are read whole,
     however long, and a set of shingles has to fit into a row.
     """
-    rows = stored(narrow_batches(docs).select("doc_id", sketch(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "sketches")
+    rows = stored(narrow_batches(docs, size=BATCH).select("doc_id", sketch(F.col("text"), shingle).alias("s")).select("doc_id", "s.*"), "sketches")
     nodes = stored(rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.min("print").alias("print"), F.first("buckets").alias("buckets")), "nodes")
     members = shared_buckets(nodes)
     close = simhash_pairs(nodes.select("key", "print"))
@@ -282,10 +285,15 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     groups = near_groups(docs, shingle, percent)
     firsts = stored(groups.groupBy("root").agg(F.min("doc_id").alias("keep")), "firsts")
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = firsts.where("keep is not null").select("keep").distinct()
+    # ids whose rows go, and ids that several rows have: few beside the rows, whose texts stay where they are
+    gone = stored(ids.join(keep, ids.doc_id == keep.keep, "left_anti").select(F.col("doc_id").alias("gone")), "gone")
+    several = stored(ids.where("n > 1").join(keep, F.col("doc_id") == F.col("keep")).select(F.col("doc_id").alias("again")), "several")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"))
-    best = rows.join(firsts.where("keep is not null").select("keep").distinct(), F.col("own_id") == F.col("keep"))
-    best = best.withColumn("n", F.expr("row_number() over (partition by own_id order by own_text)"))
+    single = rows.where("own_id is not null").join(few(gone), F.col("own_id") == F.col("gone"), "left_anti").join(few(several), F.col("own_id") == F.col("again"), "left_anti")
+    best = rows.join(few(several), F.col("own_id") == F.col("again")).withColumn("n", F.expr("row_number() over (partition by own_id order by own_text)"))
     lone = groups.where("doc_id is null").join(firsts.where("keep is null"), "root").select("key", "root").distinct()
     unnamed = narrow_batches(rows.where("own_id is null")).withColumn("own_key", shingle_set(F.col("own_text"), shingle)["key"])
     unnamed = unnamed.join(lone, F.col("own_key") == F.col("key")).withColumn("n", F.expr("row_number() over (partition by root order by own_text)"))
-    return best.where("n = 1").select("row").union(unnamed.where("n = 1").select("row")).select("row.*")
+    return single.select("row").union(best.where("n = 1").select("row")).union(unnamed.where("n = 1").select("row")).select("row.*")
