@@ -262,8 +262,8 @@ class SharedForward:
 class Encoder:
     """Ids of whole texts, with the distinct marked words of many texts worked out together."""
 
-    def __init__(self, model: PieceModel) -> None:
-        self.model = model
+    def __init__(self, model: PieceModel, cache: int = CACHE_CHARS) -> None:
+        self.model, self.cache = model, cache
         self.known_blanks: dict[int, list[int]] = {}
         self.forward = SharedForward(model)
         self._fresh()
@@ -328,7 +328,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin and end."""
-        if self.chars > CACHE_CHARS:
+        if self.chars > self.cache:
             self._fresh()
         split = [self.words(x or "") for x in texts]
         fresh = set().union(*split).difference(self.place)
@@ -376,12 +376,12 @@ def decode_all(model: PieceModel, ids: np.ndarray, bounds: np.ndarray, shown: np
 GROUP_CHARS, GROUP_IDS = 1_500_000, 400_000
 
 
-def encoded(text: Column, model: PieceModel) -> Column:
-    """Ids of each whole text; null gives an empty array."""
+def encoded(text: Column, model: PieceModel, cache: int = CACHE_CHARS) -> Column:
+    """Ids of each whole text; null gives an empty array. cache: characters of distinct words that a task keeps."""
 
     @F.arrow_udf("array<int>")
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(model)
+        encoder = Encoder(model, cache)
         for batch in batches:
             values, bounds, start = [], [np.zeros(1, np.int64)], 0
             texts = batch.to_pylist()
@@ -424,13 +424,13 @@ def decoded(ids: Column, model: PieceModel) -> Column:
     return apply(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str = MODEL, text: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str = MODEL, text: str = "text", cache: int = CACHE_CHARS) -> DataFrame:
     """docs with the column piece_ids (array<int>), one row per input row; a column of that name is replaced.
 
     Null and empty texts give an empty array. A text that holds the mark itself (U+2581) reads back with a blank in its
     place, as with the model's own library. Repeated rows stay, an empty table gives an empty one.
     """
-    return narrow_batches(docs).withColumn("piece_ids", encoded(F.col(text), load_model(model_path)))
+    return narrow_batches(docs).withColumn("piece_ids", encoded(F.col(text), load_model(model_path), cache))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
