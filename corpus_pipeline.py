@@ -13,6 +13,10 @@ from foliospark.llm import jaccard, mixing, pieces, secret_scan, toxicity
 from foliospark.llm.common import drop_stored, fold, narrow_batches, stored
 
 
+#: Characters of distinct words that an encoding task keeps: the stages before leave workers with less room than the operator alone has.
+CACHED = 2_000_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores under 0.5 stay; the network learns from the table's labels.
 
@@ -49,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the piece ids of each document; null and empty texts have none; repeated rows stay; other columns are left out."""
-    coded = pieces.encode_documents(docs.select("doc_id", "source", "text"))
+    coded = pieces.encode_documents(docs.select("doc_id", "source", "text"), cache=CACHED)
     return coded.select("doc_id", "source", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids")
 
 
