@@ -58,6 +58,18 @@ def write_state(jobs: DataFrame, path: str, dims: list[str], **columns: str) ->
     jobs.sparkSession.catalog.refreshByPath(path)
 
 
+def write_users(jobs: DataFrame, path: str, dims: list[str], at: str = "at", user: str = "user_id") -> None:
+    """Writes who worked on the days in jobs, a row for each user, day and combination of dims; those days are replaced, as by write_state(). For exact numbers of users."""
+    rows = jobs.select(F.to_date(at).alias("day"), *dims, F.col(user).alias("user")).distinct()
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    jobs.sparkSession.catalog.refreshByPath(path)
+
+
+def exact_users(users: DataFrame, by: list[str]) -> DataFrame:
+    """by and users: the exact number of users of what write_users() wrote, null left out."""
+    return users.select(*by, "user").distinct().groupBy(*by).agg(F.count("user").alias("users"))
+
+
 def merged_state(state: DataFrame, by: list[str]) -> DataFrame:
     """State rolled up to fewer dimensions; it is state again, so days make weeks and weeks make years."""
     return state.groupBy(*by).agg(

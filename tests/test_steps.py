@@ -52,3 +52,21 @@ def test_other_days_are_left_as_they_are(spark, tmp_path):
     assert files() == before
     got = {r["day"].day: r for r in reports.state_report(spark.read.parquet(str(tmp_path)), ["day"], {"median": 0.5}).collect()}
     assert [got[k]["jobs"] for k in (1, 2, 3)] == [20, 3, 20] and got[1]["users"] == 20 and got[2]["failed"] == 0 and 27 <= got[1]["median"] <= 30
+
+
+def test_weeks_count_users_exactly(spark, tmp_path):
+    """Sketches of 6,000 users are some per cent off."""
+    from foliospark.plans import states
+
+    rows = spark.range(18_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_seconds(1704067200 + id % 14 * 86400)").alias("ts"), F.when(F.col("id") % 50 != 0, F.col("id") * 7919 % 6000).alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for r in rows.collect():
+        key = (r["ts"].day - 1) // 7, None if r["user_id"] is None else r["user_id"] % 3
+        jobs, users = want.setdefault(key, [0, set()])
+        want[key][0] = jobs + (2 if r["ts"].day == 10 else 1)
+        users |= {r["user_id"]} - {None}
+    got = {((r["week"].day - 1) // 7, r["model"]): [r["jobs"], r["users"]] for r in states.weekly_state(spark, str(tmp_path)).collect()}
+    assert got == {k: [n, len(u)] for k, (n, u) in want.items()} and len(got) == 8
