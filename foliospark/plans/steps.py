@@ -47,14 +47,15 @@ class Steps:
     def _todo(self, documents: DataFrame, name: str) -> DataFrame:
         todo = documents
         for before in self.steps[name][1]:
-            todo = todo.join(self.results(before).select("document_id"), "document_id", "left_semi")
+            todo = todo.join(self.results(before).select("document_id").hint("merge"), "document_id", "left_semi")
         own = self.results(name)
-        return todo if own is None else todo.join(own.select("document_id"), "document_id", "left_anti")
+        return todo if own is None else todo.join(own.select("document_id").hint("merge"), "document_id", "left_anti")
 
     def _run(self, documents: DataFrame, name: str, run: int) -> None:
         step, after = self.steps[name]
         todo = self._todo(documents, name)
-        tables = {"documents": todo} | {b: self.results(b).drop("error", "run").join(todo.select("document_id"), "document_id", "left_semi") for b in after}
+        own = todo.select("document_id").hint("merge")
+        tables = {"documents": todo} | {b: self.results(b).drop("error", "run").join(own, "document_id", "left_semi").hint("merge") for b in after}
         step(tables).write.mode("overwrite").parquet(f"{self.path}/{name}/run={run}")
 
     def run(self, documents: DataFrame) -> int:

@@ -70,3 +70,16 @@ def test_weeks_count_users_exactly(spark, tmp_path):
         users |= {r["user_id"]} - {None}
     got = {((r["week"].day - 1) // 7, r["model"]): [r["jobs"], r["users"]] for r in states.weekly_state(spark, str(tmp_path)).collect()}
     assert got == {k: [n, len(u)] for k, (n, u) in want.items()} and len(got) == 8
+
+
+def test_ids_of_documents_are_not_sent_through_the_driver(spark, tmp_path):
+    plans = []
+    def joined(t):
+        out = t["a"].join(t["b"], "document_id").select("document_id", F.lit(None).cast("string").alias("error"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    good = lambda t: t["documents"].select("document_id", F.lit(None).cast("string").alias("error"))
+    for n in (5, 9):
+        Steps(spark, str(tmp_path)).add("a", good).add("b", good).add("c", joined, ["a", "b"]).run(spark.range(n).withColumnRenamed("id", "document_id"))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert Steps(spark, str(tmp_path)).add("c", joined).results("c").count() == 9
