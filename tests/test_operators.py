@@ -184,3 +184,13 @@ def test_lookups_settings_and_append(spark, tmp_path):
     for day in ("2025-01-01", "2025-01-02"):
         export.append_rows(rows, str(tmp_path / "eav"), day)
     assert spark.read.parquet(str(tmp_path / "eav")).count() == 2
+
+
+def test_shredded_texts_that_hold_dates_and_amounts(spark, tmp_path):
+    """Texts that the test tables lack give the rows of the SQL, too."""
+    texts = ["on 2024-01-05 it cost $12.50", "이름: 홍길동 주소: 서울시 중구 세종로 12 금액 1,000 원 2024년 1월 5일", "call 010-1234-5678 or 0212345678, a@b.cc", "a@b.c.dd@e.ff .x@y.zz\r\n\0 1/2", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.SQL["eav_shred"]).fetchall()
+    assert sorted(tuple(r) for r in plans.QUERIES["eav_shred"](spark, str(tmp_path)).collect()) == sorted(want)
