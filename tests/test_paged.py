@@ -39,3 +39,38 @@ def test_stream_goes_on_after_the_last_file(spark, tmp_path):
         query = paged.page_stream(spark, str(tmp_path / "in"), range=2).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()
         query.awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list("abcdef")
+
+
+def test_short_ranges_share_tasks_and_read_little_more_than_themselves(tmp_path, monkeypatch):
+    (tmp_path / "x.txt").write_bytes(b"\f".join(b"page %d" % i + b"x" * 900 for i in range(2000)))
+    size, read, opened = (tmp_path / "x.txt").stat().st_size, [], paged._opened
+
+    class Counting:
+        def __init__(self, file):
+            self.file = file
+        def __enter__(self):
+            return self
+        def __exit__(self, *_):
+            self.file.close()
+        def read(self, n):
+            read.append(len(got := self.file.read(n)))
+            return got
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+    class System:
+        def open_input_file(self, place):
+            return Counting(opened(place)[0].open_input_file(place))
+    reader = paged._Reader({"path": str(tmp_path), "range": "8192"})
+    tasks = reader.partitions()
+    assert 40 < len(tasks) <= 64
+    monkeypatch.setattr(paged, "_opened", lambda path: (System(), path))
+    rows = [r for t in tasks for r in reader.read(t)]
+    assert [r[4][:9].rstrip("x") for r in rows] == [f"page {i}" for i in range(2000)] and sum(read) < 2.5 * size
+
+
+def test_pages_are_counted_without_an_engine(tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"none\fnone\fb\f\xff\fc")
+    for size in (3, 5, 100):
+        last = paged._Reader({"path": str(tmp_path), "range": str(size), "last": "true"})
+        assert sum(r[3] + 1 for t in last.partitions() for r in last.read(t)) == 5
