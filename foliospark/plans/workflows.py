@@ -203,8 +203,9 @@ def paged_files(spark, d):
     """Whole documents as pages of a few large files, read back by ranges of 64 KB; the pages' numbers go through each file without a gap."""
     folder = ingest.scratch(spark)
     docs = table(spark, d, "documents").where("text is not null").select(F.translate("text", "\f", " ").alias("text"))
-    docs.coalesce(2).write.option("lineSep", "\f").text(f"{folder}/in")
-    found = paged.pages(spark, f"{folder}/in", suffix=".txt", range=65536)
+    docs.write.option("lineSep", "\f").text(f"{folder}/in")
+    paged.pages(spark, f"{folder}/in", suffix=".txt", range=65536).write.parquet(f"{folder}/pages")
+    found = spark.read.parquet(f"{folder}/pages")
     whole = found.groupBy("path").agg(F.max("page_number").alias("last"), F.count_distinct("page_number").alias("pages")).where("last = pages").select("path")
     return found.join(whole, "path").groupBy(F.md5("text").alias("text_hash")).agg(F.count("*").alias("n"))
 
@@ -240,8 +241,7 @@ def stored_templates(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.lit("").alias("description"), F.lit("Sum up {text} for {reader}").alias("template"), "c_custkey")
     files.store_templates(rows, folder)
     files.store_templates(rows.where("c_custkey % 10 = 0").withColumn("template", F.lit("Ask {reader}")), folder)
-    for r in rows.where("c_custkey <= 3").select("name").collect():  # three names
-        files.remove_template(spark, folder, r["name"])
+    files.remove_templates(rows.where("c_custkey <= 3").select("name"), folder)
     return files.templates(spark, folder).select("name", "template", F.size("variables").alias("fields"))
 
 

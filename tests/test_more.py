@@ -97,3 +97,16 @@ def test_listener(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sum(seen) == 7
+
+
+def test_many_templates_are_few_files(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    rows = spark.range(3000).selectExpr("concat('n', id) as name", "'' as description", "'{x} {y}' as template", "id")
+    files.store_templates(rows, folder)
+    files.store_templates(rows.where("id % 10 = 0").withColumn("template", F.lit("{z}")), folder)
+    files.remove_templates(rows.where("id < 3").select("name"), folder)
+    files.add_template(spark, folder, "n1", "again")
+    got = {r["name"]: (r["template"], r["variables"]) for r in files.templates(spark, folder).collect()}
+    want = {f"n{i}": ("{z}", ["z"]) if i % 10 == 0 else ("{x} {y}", ["x", "y"]) for i in range(3, 3000)}
+    assert got == want | {"n1": ("again", [])}
+    assert sum(not f.name.startswith((".", "_")) for f in (tmp_path / "t").rglob("*") if f.is_file()) < 300
