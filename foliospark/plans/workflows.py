@@ -191,8 +191,11 @@ def document_chain(spark, d):
 def ingest_files(spark, d):
     """A file for each customer, written by the tasks, listed with metadata, stored by year and month, recognised page by page."""
     folder = ingest.scratch(spark)
-    table(spark, d, "customer").select("c_name").write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
-    files.ingested(files.binary_files(spark, f"{folder}/in", "*.txt"), f"{folder}/stored")
+    customers = table(spark, d, "customer")
+    rows = customers.select(F.concat(F.monotonically_increasing_id(), F.lit(".txt")).alias("name"), F.concat(F.coalesce("c_name", F.lit("")), F.lit("\n")).cast("binary").alias("content"))
+    files.write_files(rows, f"{folder}/in", -(-customers.count() // files.FOLDER_FILES) or 1).write.parquet(f"{folder}/folders")
+    folders = spark.read.parquet(f"{folder}/folders").repartition(spark.sparkContext.defaultParallelism * 4)
+    files.ingested(files.files_of(folders, ".txt"), f"{folder}/stored")
     stored = spark.read.parquet(f"{folder}/stored").where("year >= 2000 and month between 1 and 12 and stored_name is not null")
     read = files.read_pages(stored, registry.engine("pages")).groupBy(F.col("document_id").alias("path")).agg(F.count("*").cast("int").alias("pages"))
     return stored.join(read, "path").select("file_type", "mime_type", "file_size", "sha256", "pages")

@@ -38,10 +38,14 @@ class Spans(InputPartition):
         self.spans = spans
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it."""
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+_opened = opened
+
+
 def listed(path: str, suffix: str) -> list[tuple[int, str, int]]:
     """(time of change in ns, path, size) of the files below a path, hidden ones left out, oldest first."""
     system, place = _opened(path)

@@ -110,3 +110,15 @@ def test_many_templates_are_few_files(spark, tmp_path):
     want = {f"n{i}": ("{z}", ["z"]) if i % 10 == 0 else ("{x} {y}", ["x", "y"]) for i in range(3, 3000)}
     assert got == want | {"n1": ("again", [])}
     assert sum(not f.name.startswith((".", "_")) for f in (tmp_path / "t").rglob("*") if f.is_file()) < 300
+
+
+def test_small_files_are_written_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(300).select(F.concat("id", F.lit(".txt")).alias("name"), F.concat(F.lit("text "), "id").cast("binary").alias("content"))
+    folders = files.write_files(rows, f"file://{tmp_path}/in", 7).collect()
+    assert sum(r["files"] for r in folders) == 300 and len(folders) == 7 and len(list((tmp_path / "in").rglob("*.txt"))) == 300
+    (tmp_path / "in" / "f0" / "_hidden.txt").write_bytes(b"no")
+    found = files.files_of(spark.createDataFrame(folders), ".txt")
+    got = {r["path"]: r for r in found.collect()}
+    listed = {r["path"].replace("file:///", "file:/"): r for r in files.binary_files(spark, f"{tmp_path}/in", "*.txt").collect() if "_hidden" not in r["path"]}
+    assert found.columns == files.binary_files(spark, f"{tmp_path}/in").columns and {p.replace("file:///", "file:/") for p in got} == set(listed)
+    assert all(listed[p.replace("file:///", "file:/")]["sha256"] == r["sha256"] and r["file_size"] == len(r["content"]) and r["file_type"] == "txt" and r["year"] > 2000 for p, r in got.items())
