@@ -36,6 +36,11 @@ class MergedTable:
     def _manifest(self, version: int) -> list:
         return self.spark.read.parquet(f"{self.path}/manifest/version={version}").collect()  # a row for each bucket
 
+    def holds(self, batch: int) -> bool:
+        """Whether a merge of this number, or a later one, is in the table."""
+        known = self._manifest(versions[-1]) if (versions := self.versions()) else []
+        return bool(known) and known[0]["batch"] is not None and known[0]["batch"] >= batch
+
     def _rows(self, places: list, schema) -> DataFrame:
         paths = [f"{self.path}/data/version={r['version']}/bucket={r['bucket']}" for r in places]
         return self.spark.read.schema(schema).parquet(*paths)

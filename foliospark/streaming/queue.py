@@ -1,9 +1,9 @@
 """A job queue as a stream: claims with a lease, retries, and a dead letter after the last attempt.
 
-Events of a job (enqueued, claimed, done, failed) come in by event time. Each job is a small state of its own; a claim sets
-an event-time timer at the end of its lease, and what isn't done by then goes back into the queue or, after the last
-attempt, to the dead letters. A lease that has run out also counts where an event later than its end comes before the
-watermark has passed it, so the outcome doesn't depend on how events fall into batches.
+Events of a job (enqueued, claimed, done, failed) come in by event time. Each job is a row of a merged table; once the greatest
+time is far enough behind the end of a claim's lease, what isn't done by then goes back into the queue or, after the last
+attempt, to the dead letters. A lease that has run out also counts where an event later than its end comes before that,
+so the outcome doesn't depend on how events fall into batches.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from foliospark.sinks.merged import MergedTable
 
 #: Rows that the queue gives: every change of a job's state.
-CHANGES = "job_id long, state string, attempt int, at timestamp, seq int"
-_STATE = "state string, attempt int, until long, seq int"
+CHANGES = "job_id long, state string, attempt int, at timestamp, until long, seq int"
+_JOBS = "job_id long, state string, attempt int, until long, seq int"
 
 
 def step(job: tuple | None, kind: str, at: int, most: int, lease: int) -> tuple[tuple | None, list[tuple]]:
@@ -42,68 +44,68 @@ def step(job: tuple | None, kind: str, at: int, most: int, lease: int) -> tuple[
     return job, [*changes, (job[0], job[1], at)]
 
 
-class _Queue(StatefulProcessor):
-    def __init__(self, most: int, lease: int) -> None:
-        self.most, self.lease = most, lease
+#: Kinds of events, in the order in which those of one moment count.
+KINDS = ("enqueued", "done", "failed", "claimed")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("job", _STATE)
 
-    def _run(self, key: tuple, events: list[tuple[int, str]]) -> Iterator[pd.DataFrame]:
-        held = self.state.get()
-        job, seq = (None, 0) if held is None else (tuple(held[:3]), held[3])
-        if job and job[0] == "claimed":
-            self.handle.deleteTimer(job[2])
-        rows = []
-        for at, kind in events:
-            end = job[2] if job else None
-            job, changes = step(job, kind, at, self.most, self.lease)
-            for state, attempt, when in changes:
-                seq += 1
-                rows.append((key[0], state, attempt, pd.Timestamp(end if when is None else when, unit="ms"), seq))
-        if job:
-            self.state.update((*job, seq))
-            if job[0] == "claimed":
-                self.handle.registerTimer(job[2])
-        if rows:
-            yield pd.DataFrame(rows, columns=["job_id", "state", "attempt", "at", "seq"])
+def _played(most: int, lease: int, mark: int):
+    """Jobs (job_id, events, state, attempt, until, seq) to the changes that their events make, and those of leases that end by mark. An event is its time in ms times 4 plus its kind's place."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = sorted((int(at.value // 1_000_000), order, kind) for batch in rows for at, order, kind in zip(batch["at"], batch["order"], batch["kind"], strict=True))
-        yield from self._run(key, [(at, kind) for at, _, kind in events])
+    def play(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, events, state, attempt, until, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                job, seq = None if state is None else (state, attempt, until), seq or 0
+                for event in events or ():
+                    end = job[2] if job else None
+                    job, changes = step(job, KINDS[event & 3], event >> 2, most, lease)
+                    for to, n, at in changes:
+                        seq += 1
+                        out.append((key, to, n, (end if at is None else at) * 1000, job[2] if job and to == "claimed" else 0, seq))
+                if job and job[0] == "claimed" and job[2] <= mark:
+                    out.append((key, "dead" if job[1] >= most else "queued", job[1], job[2] * 1000, 0, seq + 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind.type) for c, kind in zip(zip(*out, strict=True), _CHANGED, strict=True)], schema=_CHANGED)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._run(key, [(expiredTimerInfo.getExpiryTimeInMs(), "expired")])
+    return play
 
-    def close(self) -> None: ...
 
-
-#: Kinds of events, in the order in which those of one moment count.
-KINDS = ("enqueued", "done", "failed", "claimed")
+_CHANGED = pa.schema([("job_id", pa.int64()), ("state", pa.string()), ("attempt", pa.int32()), ("at", pa.timestamp("us", "UTC")), ("until", pa.int64()), ("seq", pa.int32())])
 
 
-def queue_changes(events: DataFrame, most: int = 3, lease: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """A stream of events (job_id long, kind, at timestamp) to the changes of their jobs' states: job_id, state, attempt, at, seq.
+def run_queue(events: DataFrame, path: str, most: int = 3, lease: str = "30 minutes", delay: str = "1 hour") -> None:
+    """All events (job_id long, kind, at timestamp) that are there now, then ends; a later run goes on after it. path/changes holds every change of a state (job_id, state, attempt, at, until when a claim holds, seq), once.
 
     States are queued, claimed, done and dead; attempt counts the claims, most of them are allowed, seq numbers a job's changes. A lease
-    ends at at + lease. Events more than delay behind the greatest time so far are left out, as are rows with nulls. Needs the RocksDB state store.
+    ends at at + lease. Events more than delay behind the greatest time of earlier batches are left out, as are rows with nulls.
+
+    path/jobs is a merged table of the last change of each job, with a row without a job_id for the greatest time. A micro-batch plays the events of all its jobs
+    within tasks and merges what changed; its number goes with the merge, so one that comes again changes nothing.
     """
-    ms = int(pd.Timedelta(lease).total_seconds() * 1000)
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    known = events.where(F.col("job_id").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS)).select("job_id", "kind", "at", order.alias("order"))
-    return known.withWatermark("at", delay).groupBy("job_id").transformWithStateInPandas(_Queue(most, ms), outputStructType=CHANGES, outputMode="Append", timeMode="EventTime")
-
-
-def run_queue(events: DataFrame, path: str, **options) -> None:
-    """All events that are there now, then ends; a later run goes on after it. path/changes holds every change of a state, once."""
-    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    before = conf.get(name)
-    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = queue_changes(events, **options).writeStream.outputMode("append").format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/state")
-        stream.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        conf.set(name, before)
+    long, back = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (lease, delay))
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")) - 1
+
+    def play(batch: DataFrame, number: int) -> None:
+        table = MergedTable(batch.sparkSession, f"{path}/jobs", ["job_id"], ["seq"])
+        if table.holds(number):
+            return
+        held = table.read(_JOBS)
+        before = held.where("job_id is null").agg(F.max("until")).first()[0]
+        known = batch.where(F.col("job_id").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS)).select("job_id", F.unix_millis("at").alias("ms"), order.alias("order"))
+        latest = max((x for x in (before, known.agg(F.max("ms")).first()[0]) if x is not None), default=None)
+        if latest is None:
+            return
+        if before is not None:
+            known = known.where(F.col("ms") > before - back)
+        own = known.groupBy("job_id").agg(F.array_sort(F.collect_list(F.col("ms") * 4 + F.col("order"))).alias("events"))
+        met = own.join(held.where("job_id is not null"), "job_id", "full_outer").where(F.col("events").isNotNull() | ((F.col("state") == "claimed") & (F.col("until") <= latest - back)))
+        played = met.select("job_id", "events", "state", "attempt", "until", "seq").mapInArrow(_played(most, long, latest - back), CHANGES)
+        played.write.mode("overwrite").parquet(f"{path}/changes/batch={number}")
+        changed = batch.sparkSession.read.parquet(f"{path}/changes/batch={number}").select("job_id", "state", "attempt", "until", "seq")
+        mark = batch.sparkSession.createDataFrame([(None, "", 0, latest, number + 1)], _JOBS)
+        table.merge(changed.union(mark), number)
+
+    events.writeStream.foreachBatch(play).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def job_states(changes: DataFrame) -> DataFrame:
