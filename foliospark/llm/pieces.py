@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by a Viterbi forward pass that distinct words share along their prefixes.
 
-A text is cut before each run of blanks into marked words; no piece crosses such a cut. The distinct marked words are
-sorted, which is the depth-first order of their trie, and the forward table of the last word is kept up to the common
-prefix with the next one, so every node of the trie is worked out once. The table holds, for each prefix, the best
-score of any way to cut it into pieces, and the last piece of that way.
+A text is cut before each run of blanks, and between characters that no piece joins, into marked words and what
+follows them; no piece crosses such a cut. The distinct words are sorted, which is the depth-first order of their trie,
+and the forward table of the last word is kept up to the common prefix with the next one, so every node of the trie is
+worked out once. The table holds, for each prefix, the best score of any way to cut it into pieces, and the last piece
+of that way. The pieces that may end a prefix are those of a state of Aho and Corasick's automaton over all pieces.
 
 A piece adds a score that may depend on the piece before it. In a unigram model it is the piece's own. The scores of a
 BPE model are merge ranks, whose sum means nothing; there a piece adds 0 where the merges leave the seam between the two
@@ -14,6 +15,7 @@ gives.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -30,10 +32,11 @@ from foliospark.llm.common import narrow_batches
 MARK = "▁"
 #: Where the public model lies by default.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of distinct words, and pairs of pieces, that a task keeps at most; beyond that it starts anew.
+#: Characters of distinct words, and pairs of pieces or steps of the automaton, that a task keeps at most; beyond that it starts anew.
 CACHE_CHARS, FOLLOWERS = 8_000_000, 300_000
 
-_ANY = 1 << 30  # the piece of a character that the model doesn't have
+#: Kinds of characters: those that no piece joins with another one, and blanks. Others follow, a kind for each set of characters that pieces join.
+_ALONE, _BLANK = 0, 1
 
 
 @dataclass
@@ -50,7 +53,7 @@ class PieceModel:
     squeeze: bool
     rank: dict[str, int] = field(default_factory=dict)
     split: dict[str, tuple[str, str] | None] = field(default_factory=dict)
-    lengths: dict[str, list[int]] = field(default_factory=dict)  # of pieces that end with up to four characters
+    kinds: dict[str, int] = field(default_factory=dict)  # of characters that pieces join with others
 
 
 def load_model(path: str = MODEL) -> PieceModel:
@@ -84,13 +87,27 @@ def model_of(proto) -> PieceModel:
     model = PieceModel("bpe" if trainer.model_type == 2 else "unigram", ids, score, shown, byte_ids if min(byte_ids) >= 0 else [], unknown, normal.add_dummy_prefix, normal.remove_extra_whitespaces)
     if model.kind == "bpe":
         _merges(model)
-    by_end: dict[str, set] = {}
-    for p in model.rank or ids:
-        by_end.setdefault(p[-4:], set()).add(len(p))
-    model.lengths = {end: sorted(n, reverse=True) for end, n in by_end.items()}
+    model.kinds = _kinds(ids)
     return model
 
 
+def _kinds(pieces: Iterable[str]) -> dict[str, int]:
+    """A number for each character that some piece joins with another one, marks in front left out; it differs where no chain of pieces joins two."""
+    top: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while top.setdefault(c, c) != c:
+            top[c] = c = top[top[c]]
+        return c
+
+    for p in pieces:
+        bare = p.lstrip(MARK)
+        for a, b in itertools.pairwise(bare):
+            top[root(a)] = root(b)
+    number: dict[str, int] = {}
+    return {c: number.setdefault(root(c), len(number) + _BLANK + 1) for c in list(top)}
+
+
 def _merges(model: PieceModel) -> None:
     """Rank of each piece that merges can make, and the two pieces it is last made from. Pieces of marks alone come later."""
     marks = {p for p in model.ids if not p.strip(MARK) and len(p) > 1}
@@ -153,14 +170,49 @@ def _ids(model: PieceModel, piece: str) -> list[int]:
     return [model.byte_ids[b] for b in piece.encode("utf-8", "replace")] if model.byte_ids else [model.unknown]
 
 
-class Known(dict):
-    """Values that are worked out when first asked for."""
+class After(dict):
+    """Whether each other piece of a BPE model may come after one piece, worked out when first asked for."""
+
+    __slots__ = ("forward", "known", "piece", "size")
+
+    def __init__(self, forward: SharedForward, piece: str) -> None:
+        self.forward, self.piece, self.size, self.known = forward, piece, len(piece), piece in forward.model.rank
 
-    def __init__(self, make: Callable) -> None:
-        self.make = make
+    def __missing__(self, piece: str) -> bool:
+        self.forward.n_kept += 1
+        value = self[piece] = not self.known or may_follow(self.forward.model, self.piece, piece)
+        return value
+
+
+class Follows(dict):
+    """For each piece of a BPE model, or character that it doesn't have, which pieces may come next."""
 
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
+    __slots__ = ("forward",)
+
+    def __init__(self, forward: SharedForward) -> None:
+        self.forward = forward
+
+    def __missing__(self, piece: str) -> After:
+        value = self[piece] = After(self.forward, piece)
+        return value
+
+
+class State(dict):
+    """The longest end of a prefix that some piece begins with: the pieces that end there, and the states that further characters lead to."""
+
+    __slots__ = ("ends", "forward", "key")
+
+    def __init__(self, forward: SharedForward, key: str) -> None:
+        self.forward, self.key, self.ends = forward, key, forward._ends(key) if key else ()
+
+    def __missing__(self, character: str) -> State:
+        forward, key = self.forward, self.key + character
+        forward.n_kept += 1
+        while key not in forward.begun:
+            key = key[1:]
+        if key not in forward.states:
+            forward.states[key] = State(forward, key)
+        value = self[character] = forward.states[key]
         return value
 
 
@@ -169,31 +221,29 @@ class SharedForward:
 
     def __init__(self, model: PieceModel) -> None:
         self.model, self.merges = model, model.kind == "bpe"
-        self.ends = Known(lambda key: self._ends(key))
-        #: For each piece of a BPE model which ones may come next.
-        self.follows = Known(self._after)
-        self.n_follows = 0
+        self.pieces = model.rank or model.ids
+        #: What pieces begin with.
+        self.begun = {p[:n] for p in self.pieces for n in range(len(p) + 1)} | {""}
+        self.states: dict[str, State] = {}
+        self.follows = Follows(self)
+        #: Steps of the automaton and pairs of pieces that are kept.
+        self.n_kept = 0
         #: What a character adds that a unigram model doesn't have.
         self.unknown = min(model.score.values(), default=0.0) - 10.0
 
-    def _after(self, before: str) -> Known:
-        """Whether pieces of a BPE model may come after one piece."""
-        model, rank = self.model, self.model.rank
-        known = before in rank
-
-        def fits(piece: str) -> bool:
-            self.n_follows += 1
-            return piece in rank and (not known or may_follow(model, before, piece))
+    def _ends(self, key: str) -> tuple[tuple[int, str], ...]:
+        """The pieces that these characters end with, from long to short, after their lengths."""
+        return tuple((len(key) - k, key[k:]) for k in range(len(key)) if key[k:] in self.pieces)
 
-        return Known(fits)
-
-    def _ends(self, key: str) -> tuple[int, ...]:
-        """Lengths, from long to short, of the pieces that may end with these (up to four) characters; those within the key are pieces."""
-        longer = self.model.lengths.get(key, ()) if len(key) == 4 else ()
-        found = {n for n in longer if n > 4} | {n for n in range(1, len(key) + 1) if key[-n:] in (self.model.rank or self.model.ids)}
-        if len(self.ends) > 100_000:
-            self.ends.clear()
-        return tuple(sorted(found, reverse=True))
+    def _start(self) -> State:
+        """The state of the empty prefix. What is kept beyond the limit goes; what lies along the last word's prefixes lives on with them."""
+        if self.n_kept > FOLLOWERS:
+            self.states.clear()
+            self.follows.clear()
+            self.n_kept = 0
+        if "" not in self.states:
+            self.states[""] = State(self, "")
+        return self.states[""]
 
     def walk(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Pieces of each word; words are sorted, so the walk is depth-first and each prefix is extended once."""
@@ -201,55 +251,51 @@ class SharedForward:
 
     def _walk_merges(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Of a BPE model: a prefix that can be reached at all has score 0, so its last piece is the first that leaves its seam open."""
-        ends, follows = self.ends, self.follows
-        last, adds = [""], [follows[""]]  # of each prefix: the piece that ends the way to it, and which ones may come next
+        follows = self.follows
+        states, adds = [self._start()], [follows[""]]  # of each prefix: its state, and the piece that ends the way to it with which ones may come next
         was = ""
         for word in words:
-            shared, limit = 0, min(len(word), len(was))
-            while shared < limit and word[shared] == was[shared]:
-                shared += 1
-            del last[shared + 1 :], adds[shared + 1 :]
-            was = word
-            for end in range(shared + 1, len(word) + 1):
-                for n in ends[word[end - 4 : end] if end > 4 else word[:end]]:
-                    start = end - n
-                    if start >= 0 and adds[start][piece := word[start:end]]:
+            shared = _shared(was, word)
+            del states[shared + 1 :], adds[shared + 1 :]
+            was, state = word, states[shared]
+            for character in word[shared:]:
+                state = state[character]
+                for n, piece in state.ends:
+                    if adds[-n][piece]:
                         break
                 else:
-                    piece = word[end - 1]
-                last.append(piece)
+                    piece = character
+                states.append(state)
                 adds.append(follows[piece])
             found, end = [], len(word)
             while end:
-                found.append(piece := last[end])
-                end -= len(piece)
+                last = adds[end]
+                found.append(last.piece)
+                end -= last.size
             found.reverse()
             yield found
-            if self.n_follows > FOLLOWERS:  # the answers along this word's prefixes live on in adds
-                follows.clear()
-                self.n_follows = 0
+            if self.n_kept > FOLLOWERS:
+                states[0], adds[0] = self._start(), follows[""]
 
     def _walk_scores(self, words: Iterable[str]) -> Iterator[list[str]]:
         """Of a unigram model: pieces add their own scores."""
-        ends, scores = self.ends, self.model.score
+        scores, states = self.model.score, [self._start()]
         best, last = [0.0], [""]  # of each prefix: the best score, and the piece that ends the way to it
         was = ""
         for word in words:
-            shared, limit = 0, min(len(word), len(was))
-            while shared < limit and word[shared] == was[shared]:
-                shared += 1
-            del best[shared + 1 :], last[shared + 1 :]
-            was = word
-            for end in range(shared + 1, len(word) + 1):
+            shared = _shared(was, word)
+            del states[shared + 1 :], best[shared + 1 :], last[shared + 1 :]
+            was, state = word, states[shared]
+            for character in word[shared:]:
+                state = state[character]
                 top, chosen = -math.inf, ""
-                for n in ends[word[end - 4 : end] if end > 4 else word[:end]]:
-                    if n <= end:
-                        piece = word[end - n : end]
-                        score = scores.get(piece, -math.inf) + best[end - n]
-                        if score > top:
-                            top, chosen = score, piece
+                for n, piece in state.ends:
+                    score = scores[piece] + best[-n]
+                    if score > top:
+                        top, chosen = score, piece
                 if not chosen:
-                    top, chosen = best[end - 1] + self.unknown, word[end - 1]
+                    top, chosen = best[-1] + self.unknown, character
+                states.append(state)
                 best.append(top)
                 last.append(chosen)
             found, end = [], len(word)
@@ -257,6 +303,16 @@ class SharedForward:
                 found.append(last[end])
                 end -= len(found[-1])
             yield found[::-1]
+            if self.n_kept > FOLLOWERS:
+                states[0] = self._start()
+
+
+def _shared(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n, limit = 0, min(len(a), len(b))
+    while n < limit and a[n] == b[n]:
+        n += 1
+    return n
 
 
 class Encoder:
@@ -266,28 +322,38 @@ class Encoder:
         self.model, self.cache = model, cache
         self.known_blanks: dict[int, list[int]] = {}
         self.forward = SharedForward(model)
+        self.kinds = np.full(0x110000, _ALONE if model.byte_ids else _BLANK + 1, np.uint16)
+        if model.byte_ids:
+            self.kinds[list(map(ord, model.kinds))] = list(model.kinds.values())
+        self.kinds[ord(MARK)] = _BLANK
         self._fresh()
 
     def _fresh(self) -> None:
         self.place: dict[str, int] = {}
         self.offsets, self.values, self.chars = np.zeros(1, np.int64), np.empty(0, np.int32), 0
 
-    def words(self, text: str) -> list[str]:
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Words of all texts one after another, as places in a list of distinct ones; that list; where each text's begin and end.
+
+        A word is a run of marks, where there is one, and characters that pieces join. A model without pieces for bytes
+        makes one unknown of a run of characters, so there only blanks cut.
+        """
         if self.model.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return []
-        text = (MARK if self.model.prefix else "") + text.replace(" ", MARK)
-        parts = text.split(MARK)
-        out, run = ([parts[0]] if parts[0] else []), 0
-        for part in parts[1:]:
-            run += 1
-            if part:
-                out.append(MARK * run + part)
-                run = 0
-        if run:
-            out.append(MARK * run)
-        return out
+            texts = [" ".join(x for x in (t or "").split(" ") if x) for t in texts]
+        lead = MARK if self.model.prefix else ""
+        marked = [lead + t if t else "" for t in texts]
+        starts = np.r_[0, np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))]
+        whole = "".join(marked).replace(" ", MARK)
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        kind = self.kinds[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = (kind[:-1] != _BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == _ALONE))
+        begins[starts[:-1][np.diff(starts) > 0]] = True
+        size = (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)  # bytes beyond the first
+        first = np.flatnonzero(begins)
+        at = np.r_[first + (np.cumsum(size, dtype=np.int64) - size)[first], len(codes) + int(size.sum(dtype=np.int64))]
+        words = pa.StringArray.from_buffers(len(first), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(whole.encode())).dictionary_encode()
+        return words.indices.to_numpy(), words.dictionary.to_pylist(), np.searchsorted(first, starts)
 
     def _learn(self, words: set[str]) -> None:
         made, sizes, ids_of = [], [], self.model.ids.get
@@ -330,17 +396,25 @@ class Encoder:
         """Ids of all texts one after another, and where each text's begin and end."""
         if self.chars > self.cache:
             self._fresh()
-        split = [self.words(x or "") for x in texts]
-        fresh = set().union(*split).difference(self.place)
+        groups, start = [], 0
+        while start < len(texts):
+            stop, held = start, 0
+            while stop < len(texts) and (stop == start or held < GROUP_CHARS):
+                held += len(texts[stop] or "")
+                stop += 1
+            groups.append(self.cut(texts[start:stop]))
+            start = stop
+        fresh = {w for _, words, _ in groups for w in words if w not in self.place}
         if fresh:
             self._learn(fresh)
-        place = self.place
-        at = np.array([place[w] for words in split for w in words], np.int64)
-        begin, n = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
-        ends = np.cumsum(n)
-        ids = self.values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(begin, n)]
-        bounds = np.r_[0, np.cumsum([len(w) for w in split], dtype=np.int64)]
-        return ids, np.r_[0, ends][bounds]
+        values, bounds = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for places, words, starts in groups:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            begin, n = self.offsets[at][places], (self.offsets[at + 1] - self.offsets[at])[places]
+            ends = np.r_[0, np.cumsum(n)]
+            values.append(self.values[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], n)])
+            bounds.append(bounds[-1][-1] + ends[starts[1:]])
+        return np.concatenate(values), np.concatenate(bounds)
 
 
 def decode(model: PieceModel, ids: list[int]) -> str:
@@ -372,7 +446,7 @@ def decode_all(model: PieceModel, ids: np.ndarray, bounds: np.ndarray, shown: np
     return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
 
-#: Characters of texts whose words are worked out together, ids that are decoded together.
+#: Characters of texts that are cut together, ids that are decoded together.
 GROUP_CHARS, GROUP_IDS = 1_500_000, 400_000
 
 
@@ -383,20 +457,8 @@ def encoded(text: Column, model: PieceModel, cache: int = CACHE_CHARS) -> Column
     def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(model, cache)
         for batch in batches:
-            values, bounds, start = [], [np.zeros(1, np.int64)], 0
-            texts = batch.to_pylist()
-            while start < len(texts):
-                stop, held = start, 0
-                while stop < len(texts) and (stop == start or held < GROUP_CHARS):
-                    held += len(texts[stop] or "")
-                    stop += 1
-                ids, ends = encoder.encode(texts[start:stop])
-                values.append(ids)
-                bounds.append(bounds[-1][-1] + ends[1:])
-                start = stop
-            flat = np.concatenate(values) if values else np.empty(0, np.int32)
-            del texts, values
-            yield pa.ListArray.from_arrays(pa.array(np.concatenate(bounds), pa.int32()), pa.array(flat, pa.int32()))
+            flat, bounds = encoder.encode(batch.to_pylist())
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32()))
             pa.default_memory_pool().release_unused()
 
     return apply(text)

@@ -320,6 +320,31 @@ def test_prefixes_are_shared():
     assert len(calls) <= len({w[:n] for w in words for n in range(1, len(w) + 1)})
 
 
+def test_words_are_cut_where_no_piece_joins():
+    """Signs and lines that follow a word don't make it another one to walk."""
+    encoder = pieces.Encoder(pieces.load_model())
+    texts = [f"{a}{sign}{b} {n}" for a in ("house", "été", "тест") for b in ("Day", "取获一个x", "42") for sign in (".", "!!", ",\n", "\n\n", "$$$", "7") for n in range(10, 30)]
+    ids, bounds = encoder.encode(texts)
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == lib.encode(texts, num_threads=1)
+    assert len(encoder.place) <= 40 and len(encoder.forward.states) < 200
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_runs_without_pieces_for_bytes_are_one_unknown(kind):
+    proto = pb.ModelProto.FromString(open(pieces.MODEL, "rb").read())
+    kept = [p for p in proto.pieces if p.type != 6]
+    del proto.pieces[:]
+    proto.pieces.extend(kept)
+    proto.trainer_spec.byte_fallback, proto.trainer_spec.model_type = False, kind
+    lib, encoder = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()), pieces.Encoder(pieces.model_of(proto))
+    texts = ["a\n\n🦖🦖b", "🦖", "x🦖\n y", "1\n2"]
+    ids, bounds = encoder.encode(texts)
+    mine = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert [[i for i in x if i == encoder.model.unknown] for x in mine] == [[i for i in x if i == encoder.model.unknown] for x in lib.encode(texts)]
+    assert mine == lib.encode(texts) or kind == 1
+
+
 def test_encode_documents(spark):
     rows = [(1, "Hello world", 0), (2, None, 0), (3, "", 0), (4, "a▁b", 0), (5, "word " * 20_000, 0), (5, "word " * 20_000, 0), (None, "é🙂\n", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece_ids int")
