@@ -54,6 +54,25 @@ def test_structure_and_maps(spark):
     assert maps[1]["groups"] == {"dates": {"1": "e"}, "personal": {"info_name": "n"}} and maps[1]["singles"] == {"full_text": "t", "plain": "p"}
 
 
+def test_values_are_normalised_once(spark):
+    """No filter repeats the normalisation, and what normalises to nothing goes all the same."""
+    rows = [(1, "contact_phone", "none"), (1, "contact_fax", " 1 "), (1, "a_date", "2024.1.2"), (1, "b_c", "  "), (1, "plain", None)]
+    out = eav.processed(spark.createDataFrame(rows, EAV))
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    filters = [x for x in plan if x.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any("lower(" in x for x in filters) and not any("_by(" in x for x in plan)
+    assert sorted(map(tuple, out.collect())) == [(1, "a", "date", "2024-01-02"), (1, "contact", "fax", "1")]
+
+
+def test_structure_takes_first_and_last(spark):
+    rows = [(1, "summary", "b", 2), (1, "summary", "z", 1), (1, "a_b", "y", 1), (1, "a_b", "x", 2), (2, "summary", None, 1), (2, "summary", "x", 2), (2, "c_d", None, 1), (2, "c_d", "w", 1), (2, "e_f", None, None), (2, "a_summary", "k", 1), (2, "a_summary", "m", 1)]
+    df = spark.createDataFrame(rows, EAV + ", n int")
+    by_order = {tuple(r) for r in eav.structure(df, "n").collect()}
+    assert by_order == {(1, None, "summary", "z"), (1, "a", "b", "x"), (2, "c", "d", "w"), (2, "e", "f", None), (2, "a", "summary", "m")}
+    by_value = {tuple(r) for r in eav.structure(df).collect()}
+    assert by_value == {(1, None, "summary", "b"), (1, "a", "b", "y"), (2, "c", "d", "w"), (2, "e", "f", None), (2, "a", "summary", "m")}
+
+
 def test_shred_and_reassemble(spark):
     docs = spark.createDataFrame([(1, "이름: 홍길동 a@b.co c@d.org 100원 2025-01-02", 0.5)], "document_id long, text string, confidence double")
     rows = eav.shred(docs.withColumn("entities", extract.structured(F.col("text"), False)))
